@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from newsmill.llm import line_dedup
+from newsmill.llm import bpe, line_dedup, secret_scan
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op4_secret_scan": secret_scan.query,
+    "op8_byte_bpe": bpe.query,
 }
 
 ORACLES = {
