@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -150,7 +151,7 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
     """Batches cut so that the column's values hold about ``most`` bytes, a row at least."""
     for batch in batches:
         col, start, size = batch.column(column), 0, 0
-        for i, n in enumerate(pa.compute.binary_length(col).to_pylist()):
+        for i, n in enumerate(pc.binary_length(col).to_pylist()):
             size += n or 0
             if size >= most:
                 yield batch.slice(start, i + 1 - start)
