@@ -4,8 +4,8 @@ A document is its ids and an end id; only a document longer than a sequence is c
 their checksums are made once; what is shuffled and packed is a row of numbers a piece.
 Pieces are dealt by hash into groups of about ``GROUP_PIECES``, so each task packs a bounded
 list whatever the size of the table: best fit by falling length, then the search. The search
-takes the emptiest underfull sequence and moves a piece into another one, or exchanges one
-for one, two for one or one for two, whenever that raises the sum of squared fills, until the
+takes the emptiest underfull sequences and moves a piece into another one, or exchanges one
+for one or two for one, whenever that raises the sum of squared fills, until the
 sequence is empty or nothing helps. A group's loss is at most about one sequence.
 
 Defined cases: a null text is empty; an empty text is the end id alone; rows with equal ids
@@ -30,6 +30,8 @@ from newsmill.session import materialize, ship_package
 CAPACITY = 2048
 #: Pieces that one task packs together.
 GROUP_PIECES = 8192
+#: The search: sources in a pass, passes that may go by without an emptied sequence, items of a source that are paired.
+SOURCES, PASSES, PAIRED_ITEMS = 24, 2, 8
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -111,58 +113,46 @@ class SwapSearch:
             self.owner[np.isin(self.item, back)] = source
 
     def _gain(self, source: int, moved: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Rise of the squared fills if ``moved`` tokens leave the source; negative where they don't fit."""
-        after = self.fill[target] + moved
-        gain = after**2 - self.fill[target] ** 2 + (self.fill[source] - moved) ** 2 - self.fill[source] ** 2
-        return np.where((after <= self.capacity) & (target != source) & (moved > 0) & (self.fill[target] > 0), gain, -1)
+        """Rise of the sum of squared fills if ``moved`` tokens go from source to target; -1 where they can't."""
+        to = self.fill[target]
+        gain = 2 * moved * (to - self.fill[source] + moved)
+        return np.where((moved > 0) & (to > 0) & (to + moved <= self.capacity) & (target != source), gain, -1)
 
     def step(self, source: int) -> bool:
-        """The best exchange that takes tokens from ``source``, if any."""
+        """Make the exchange that takes tokens from ``source`` and raises the sum the most, if there is one."""
         own = sorted(self.bins[source], key=lambda i: (-self.lengths[i], i))
-        best, what = 0, None
-        every = np.arange(len(self.bins))
-        takes = [[i] for i in own]
-        if len(own) <= 24:
-            takes += [[a, b] for k, a in enumerate(own) for b in own[k + 1 :]]
-        for out in takes:
-            n = int(self.lengths[out].sum())
-            if len(out) == 1:
-                gain = self._gain(source, np.full(len(every), n), every)
-                if len(gain) and gain.max() > best:
-                    best, what = gain.max(), (out, int(gain.argmax()), [])
-            gain = self._gain(source, n - self.size, self.owner)
-            if len(gain) and gain.max() > best:
-                at = int(gain.argmax())
-                best, what = gain.max(), (out, int(self.owner[at]), [int(self.item[at])])
-        if what is None and own:  # one for two
-            for out in own[:4]:
-                n = int(self.lengths[out])
-                for target in np.argsort(-self.fill, kind="stable")[:64].tolist():
-                    theirs = sorted(self.bins[target], key=lambda i: (self.lengths[i], i))[:8]
-                    for k, a in enumerate(theirs):
-                        for b in theirs[k + 1 :]:
-                            moved = n - int(self.lengths[a]) - int(self.lengths[b])
-                            gain = int(self._gain(source, np.array([moved]), np.array([target]))[0])
-                            if gain > best:
-                                best, what = gain, ([out], target, [a, b])
-        if what is None:
+        takes = [[i] for i in own] + [[a, b] for k, a in enumerate(own[:PAIRED_ITEMS]) for b in own[k + 1 : PAIRED_ITEMS]]
+        out = np.array([int(self.lengths[t].sum()) for t in takes], np.int64)[:, None]
+        move = self._gain(source, np.broadcast_to(out[: len(own)], (len(own), len(self.bins))), np.arange(len(self.bins)))
+        swap = self._gain(source, out - self.size[None, :], self.owner)
+        if max(move.max(initial=0), swap.max(initial=0)) <= 0:
             return False
-        self._shift(source, *what)
+        if move.max(initial=0) >= swap.max(initial=0):
+            t, target = np.unravel_index(int(move.argmax()), move.shape)
+            self._shift(source, takes[t], int(target), [])
+        else:
+            t, at = np.unravel_index(int(swap.argmax()), swap.shape)
+            self._shift(source, takes[t], int(self.owner[at]), [int(self.item[at])])
         return True
 
     def run(self, total: int) -> list[list[int]]:
-        """Stops when no fewer bins can hold the total, or no exchange helps."""
-        least = math.ceil(total / self.capacity)
-        stuck: set[int] = set()
-        while len(self.full) + int((self.fill > 0).sum()) > least:
-            open_bins = [b for b in np.argsort(self.fill, kind="stable").tolist() if self.fill[b] > 0 and b not in stuck]
-            if not open_bins:
+        """Passes over the emptiest bins, until no fewer bins can hold the total or ``PASSES`` in a row empty none."""
+        least, idle = math.ceil(total / self.capacity), 0
+        while idle < PASSES:
+            idle += 1
+            changed = False
+            for source in np.argsort(self.fill, kind="stable").tolist():
+                if len(self.full) + int((self.fill > 0).sum()) <= least:
+                    return self.full + [b for b in self.bins if b]
+                if not 0 < self.fill[source] < self.capacity:
+                    continue
+                if self.fill[source] > self.fill[self.fill > 0].min() and np.sum((self.fill > 0) & (self.fill < self.fill[source])) >= SOURCES:
+                    break
+                while self.fill[source] > 0 and self.step(source):
+                    changed = True
+                idle = 0 if self.fill[source] == 0 else idle
+            if not changed:
                 break
-            source = open_bins[0]
-            while self.fill[source] > 0 and self.step(source):
-                pass
-            if self.fill[source] > 0:
-                stuck.add(source)
         return self.full + [b for b in self.bins if b]
 
 
