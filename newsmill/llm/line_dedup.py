@@ -72,7 +72,8 @@ def drop_bitmaps(
     line number div 64 to a bitmap of the lines to drop; words without a bit are left out.
     """
     hashes = materialize(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
-    keys = repeated_keys(hashes, min_docs)
+    # Written, so that the join stands on two plain exchanges and Spark can split a hot key's rows.
+    keys = materialize(repeated_keys(hashes, min_docs), "repeated-keys")
     at = hashes.select("id", "row", F.posexplode("lines").alias("pos", "k")).where(F.col("k").isNotNull())
     at = at.select("id", "row", "pos", "k.h1", "k.h2")
     gone = at.join(keys, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "row", "pos")
