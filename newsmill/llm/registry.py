@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from newsmill.llm import bpe, line_dedup, packing, secret_scan, simhash, sorted_shards
+from newsmill.llm import bpe, line_dedup, packing, quality_rules, secret_scan, simhash, sorted_shards
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op4_secret_scan": secret_scan.query,
     "op2_simhash": simhash.query,
     "op5_sorted_shards": sorted_shards.query,
+    "op6_quality_rules": quality_rules.query,
     "op9_packing": packing.query,
     "op8_byte_bpe": bpe.query,
 }
