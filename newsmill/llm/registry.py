@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsmill.llm import bpe, line_dedup, packing, quality_rules, secret_scan, simhash, sorted_shards
+from newsmill.llm import bpe, embedding_dedup, line_dedup, packing, quality_rules, secret_scan, simhash, sorted_shards
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_simhash": simhash.query,
     "op5_sorted_shards": sorted_shards.query,
     "op6_quality_rules": quality_rules.query,
+    "op10_embedding_dedup": embedding_dedup.query,
     "op9_packing": packing.query,
     "op8_byte_bpe": bpe.query,
 }
