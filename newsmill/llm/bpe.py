@@ -15,15 +15,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from newsmill.llm.batches import slices
 from newsmill.llm.tokens import vocabulary_path
 from newsmill.session import ship_package
 
@@ -147,19 +146,6 @@ def codec(path: str) -> ByteBPE:
     return _loaded[path]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the column's values hold about ``most`` bytes, a row at least."""
-    for batch in batches:
-        col, start, size = batch.column(column), 0, 0
-        for i, n in enumerate(pc.binary_length(col).to_pylist()):
-            size += n or 0
-            if size >= most:
-                yield batch.slice(start, i + 1 - start)
-                start, size = i + 1, 0
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
-
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     names = [n for n in batch.schema.names if n != name]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), values], [*names, name])
@@ -175,7 +161,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
 
     def run(batches):
         bpe = codec(path or vocabulary_path("byte_bpe_50k.json"))
-        for b in _slices(batches, text_col, 4 << 20):
+        for b in slices(batches, text_col, 4 << 20):
             yield _with(b, ids_col, pa.array(bpe.encode(b.column(text_col).to_pylist()), pa.binary()))
 
     return df.mapInArrow(run, _schema(df, ids_col, T.BinaryType()))
@@ -187,7 +173,7 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path:
 
     def run(batches):
         bpe = codec(path or vocabulary_path("byte_bpe_50k.json"))
-        for b in _slices(batches, ids_col, 4 << 20):
+        for b in slices(batches, ids_col, 4 << 20):
             texts = [None if x is None else bpe.decode(x) for x in b.column(ids_col).to_pylist()]
             yield _with(b, text_col, pa.array(texts, pa.string()))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsmill.llm import bpe, embedding_dedup, line_dedup, packing, quality_rules, secret_scan, simhash, sorted_shards
+from newsmill.llm import bpe, chunk_dedup, embedding_dedup, line_dedup, packing, quality_rules, secret_scan, simhash, sorted_shards
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sorted_shards": sorted_shards.query,
     "op6_quality_rules": quality_rules.query,
     "op10_embedding_dedup": embedding_dedup.query,
+    "op7_chunk_dedup": chunk_dedup.query,
     "op9_packing": packing.query,
     "op8_byte_bpe": bpe.query,
 }

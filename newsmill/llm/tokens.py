@@ -2,24 +2,31 @@
 
 The word tokenizer normalises (NFC, lower case) and cuts inside white-space separated words
 only, so the ids of a text are those of its words in a row. A worker keeps the ids of words
-that it has seen; only new words go through the tokenizers library, a batch at a time.
+that it has seen, and of the pieces that the tokenizer cuts words into; only new pieces go
+through the tokenizers library's model, only words beyond ASCII through its normaliser and
+pre-tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import regex
 
 #: Words kept by a worker; beyond that many the memo starts anew. Results don't depend on it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 #: Longer words pass the memo by.
 MEMO_CHARS = 64
 #: str.split() also cuts at these four; the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WORD = regex.compile(r"\S+")
+#: How the vocabulary cuts an ASCII word in lower case (fixed by the vocabulary).
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Printable ASCII stands for itself in byte-level vocabularies; other characters don't.
+PRINTABLE = re.compile(r"[!-~]+")
 
 _loaded: dict = {}
 
@@ -43,26 +50,51 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.memo: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield b"".join(i.to_bytes(self.width, "little") for i in found.ids)
+        self.pieces: dict[str, bytes] = {}
+
+    def _packed(self, ids: Iterable[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _cut(self, word: str) -> list[str] | None:
+        """The model's pieces of a word; None where a special token may be meant."""
+        if "<|" in word:
+            return None
+        if PRINTABLE.fullmatch(word):
+            return ASCII_PIECES.findall(word.lower())
+        normal = self.tokenizer.normalizer.normalize_str(word)
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def _encode(self, word: str) -> bytes:
+        cut = self._cut(word)
+        if cut is None:
+            return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        pieces = self.pieces
+        for p in cut:
+            if p not in pieces:
+                if len(pieces) > MEMO_WORDS:
+                    pieces.clear()
+                    return self._encode(word)
+                pieces[p] = self._packed([t.id for t in self.tokenizer.model.tokenize(p)])
+        found = b"".join([pieces[p] for p in cut])
+        for p in cut:
+            if len(p) > MEMO_CHARS:
+                pieces.pop(p, None)
+        return found
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         memo = self.memo
         for text in texts:
             words = WORD.findall(text) if SEPARATORS.search(text or "") else (text or "").split()
-            new = list({w for w in words if w not in memo})
-            if new:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                    new = list(set(words))
-                for at in range(0, len(new), 4096):
-                    memo.update(zip(part := new[at : at + 4096], self._encode(part)))
-            yield b"".join(map(memo.__getitem__, words))
-            for w in new:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            long = []
+            for w in set(words).difference(memo):
+                memo[w] = self._encode(w)
                 if len(w) > MEMO_CHARS:
-                    memo.pop(w, None)
+                    long.append(w)
+            yield b"".join([memo[w] for w in words])
+            for w in long:
+                del memo[w]
 
 
 def encoder(path: str) -> WordEncoder:
