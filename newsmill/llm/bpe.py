@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from newsmill.llm.batches import slices
-from newsmill.llm.tokens import vocabulary_path
+from newsmill.llm.tokens import byte_letters, vocabulary_path
 from newsmill.session import ship_package
 
 #: How byte-level vocabularies cut a text into pieces (fixed by the vocabulary).
@@ -36,13 +36,6 @@ BATCH_SYMBOLS = 1 << 20
 _loaded: dict = {}
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsmill.llm.batches import slices
 from newsmill.llm.tokens import encoder, vocabulary_path
 from newsmill.session import materialize, ship_package
 
@@ -42,7 +43,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         enc = encoder(path or vocabulary_path("word_bpe_49k.json"))
-        for b in batches:
+        for b in slices(batches, "text", 1 << 20):
             rows: list[tuple] = []
             for doc, raw in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist())):
                 ids = np.frombuffer(raw, f"<u{enc.width}").astype("<u4")
@@ -54,7 +55,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PIECES)], schema=PIECES)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

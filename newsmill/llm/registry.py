@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from newsmill.llm import bpe, chunk_dedup, embedding_dedup, line_dedup, packing, quality_rules, secret_scan, simhash, sorted_shards
+from newsmill.llm import bpe, chunk_dedup, embedding_dedup, line_dedup, ngram_quality, packing, quality_rules, secret_scan, simhash, sorted_shards
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op4_secret_scan": secret_scan.query,
     "op2_simhash": simhash.query,
+    "op3_ngram_quality": ngram_quality.query,
     "op5_sorted_shards": sorted_shards.query,
     "op6_quality_rules": quality_rules.query,
     "op10_embedding_dedup": embedding_dedup.query,

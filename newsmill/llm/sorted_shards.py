@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from newsmill.llm.batches import slices
 from newsmill.llm.tokens import encoder, vocabulary_path
 from newsmill.session import shared_path, ship_package
 
@@ -155,7 +156,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         end = end_id.to_bytes(enc.width, "little")
 
         def entries():
-            for b in batches:
+            for b in slices(batches, "text", 1 << 20):
                 for doc, ids in zip(b.column(0).to_pylist(), enc.ids(b.column(1).to_pylist())):
                     yield key_of(doc), ids + end
 

@@ -17,16 +17,16 @@ from collections.abc import Iterable, Iterator
 import regex
 
 #: Words kept by a worker; beyond that many the memo starts anew. Results don't depend on it.
-MEMO_WORDS = 800_000
+MEMO_WORDS, MEMO_PIECES = 300_000, 500_000
 #: Longer words pass the memo by.
 MEMO_CHARS = 64
 #: str.split() also cuts at these four; the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WORD = regex.compile(r"\S+")
-#: How the vocabulary cuts an ASCII word in lower case (fixed by the vocabulary).
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: Printable ASCII stands for itself in byte-level vocabularies; other characters don't.
-PRINTABLE = re.compile(r"[!-~]+")
+#: Words of printable ASCII and accented Latin letters, whose normal form is a lower-case letter for each letter.
+LATIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+#: How the vocabulary cuts such a word in lower case (fixed by the vocabulary).
+LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
 
 _loaded: dict = {}
 
@@ -38,6 +38,13 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """ids(texts): for each text its ids as little-endian unsigned 16-bit integers."""
 
@@ -49,6 +56,8 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.model, self.normalizer, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.letters = [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
         self.memo: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -59,10 +68,10 @@ class WordEncoder:
         """The model's pieces of a word; None where a special token may be meant."""
         if "<|" in word:
             return None
-        if PRINTABLE.fullmatch(word):
-            return ASCII_PIECES.findall(word.lower())
-        normal = self.tokenizer.normalizer.normalize_str(word)
-        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        if LATIN.fullmatch(word):
+            cut = LATIN_PIECES.findall(word.lower())
+            return cut if word.isascii() else ["".join([self.letters[b] for b in p.encode()]) for p in cut]
+        return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word))]
 
     def _encode(self, word: str) -> bytes:
         cut = self._cut(word)
@@ -71,10 +80,10 @@ class WordEncoder:
         pieces = self.pieces
         for p in cut:
             if p not in pieces:
-                if len(pieces) > MEMO_WORDS:
+                if len(pieces) > MEMO_PIECES:
                     pieces.clear()
                     return self._encode(word)
-                pieces[p] = self._packed([t.id for t in self.tokenizer.model.tokenize(p)])
+                pieces[p] = self._packed([t.id for t in self.model.tokenize(p)])
         found = b"".join([pieces[p] for p in cut])
         for p in cut:
             if len(p) > MEMO_CHARS:

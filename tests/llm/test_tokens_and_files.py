@@ -140,3 +140,13 @@ def test_digest_columns(spark):
     row = next(r for r in bpe.query(spark, "/root/testdata/sf0.001").collect() if r.doc_id == 7)
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(F.col("doc_id") == 7).first().text
     assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_word_encoder_on_latin_words():
+    letters = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA0, 0x250), 0x301, 0x3A3, 0x130, 0x1E9E, 0x212A]]
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 9, 6000)]
+    words += [a + b for a in ("'s", "'T", "ÉE", "x1", "İa") for b in letters]
+    enc = encoder(vocabulary_path("word_bpe_49k.json"))
+    lib = enc.tokenizer.encode_batch(words, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.ids(words)] == [x.ids for x in lib]
