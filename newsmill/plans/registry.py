@@ -1,4 +1,7 @@
 """All queries over the reference's operators, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from newsmill.plans import commerce, engagement
+
+_MODULES = (engagement, commerce)
+QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+ORACLES: dict = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
