@@ -12,9 +12,11 @@ A text's perplexity needs its n-grams' rows of that table. If the table has at m
 pages, each page asks for its distinct n-grams, the requests are joined with the sharded
 table, and each page meets its answers. Both ways give the same result.
 
-A document is kept if its perplexity is at most ``margin`` times the ``quantile`` of the
-trusted texts of its language and length class (short texts scatter more). A class without
-trusted texts takes its language's limit, then the limit over all.
+One in ``HELD_OUT`` trusted texts (by a hash of the id) is not trained on: the model scores it
+like any other text, so limits come from these. A document is kept if its perplexity is at
+most ``margin`` times the ``quantile`` of the held-out texts of its language and length class
+(short texts scatter more). A class of fewer than ``LEAST_HELD_OUT`` takes its language's
+limit, then the limit over all.
 
 Trusted ids reach the texts through a filter of 2 ** ``FILTER_BITS`` bits, whatever their
 number, then an exact join; so texts that can't be trusted are not shuffled.
@@ -44,6 +46,7 @@ PAD = 1
 BROADCAST_GRAMS = 4_000_000
 FILTER_BITS = 25
 PAGE_BYTES = 1 << 20
+HELD_OUT, LEAST_HELD_OUT = 10, 20
 LENGTHS = (200, 1000)  # length classes in characters: below, between, from
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio's odd multiplier
@@ -178,7 +181,8 @@ def train(texts: DataFrame) -> DataFrame:
     backoff = weights[0]
     for w in weights[1:]:
         backoff = backoff.unionByName(w)
-    return materialize(every.join(backoff, "gram", "left"), "model")
+    # Contexts of pads alone are no n-grams; they have a weight and no probability.
+    return materialize(every.join(backoff, "gram", "full"), "model")
 
 
 class Tables:
@@ -330,13 +334,16 @@ def classify(
     quantile: float = 0.99, margin: float = 1.25, broadcast_grams: int = BROADCAST_GRAMS,
 ) -> DataFrame:
     """(id, lang, n_chars, perplexity, limit, kept) of every row; ``trusted`` has a column ``id``."""
+    held_out = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(HELD_OUT)) == 0
+    trusted = trusted.select(F.col("id").cast("bigint").alias("id")).where("id IS NOT NULL").distinct()
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    scored = materialize(perplexities(source, trusted, broadcast_grams), "perplexities")
+    scored = materialize(perplexities(source, trusted.where(~held_out), broadcast_grams), "perplexities")
     scored = scored.withColumn("l", F.coalesce("lang", F.lit(""))).withColumn("size", sum((F.col("n_chars") >= x).cast("int") for x in LENGTHS))
-    good = scored.join(trusted.select("id").distinct(), "id", "left_semi").where("perplexity IS NOT NULL")
+    good = scored.join(trusted.where(held_out), "id", "left_semi").where("perplexity IS NOT NULL")
     at = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    by_class = materialize(good.groupBy("l", "size").agg(at.alias("limit_class")), "limits")
-    by_lang = materialize(good.groupBy("l").agg(at.alias("limit_lang")), "limits")
+    enough = F.count(F.lit(1)) >= LEAST_HELD_OUT
+    by_class = materialize(good.groupBy("l", "size").agg(F.when(enough, at).alias("limit_class")), "limits")
+    by_lang = materialize(good.groupBy("l").agg(F.when(enough, at).alias("limit_lang")), "limits")
     over_all = good.agg(at.alias("limit_all"))  # one row
     limits = scored.join(by_class, ["l", "size"], "left").join(by_lang, "l", "left").crossJoin(F.broadcast(over_all))
     limit = F.coalesce("limit_class", "limit_lang", "limit_all")

@@ -132,9 +132,10 @@ def guess_spans(text: str, min_log10_guesses: float) -> list[tuple[int, int, str
         return []
     found = []
     for m in CONTEXT.finditer(text):
-        cost = log10_guesses(m[1])
+        value = m[1].rstrip(".,;:!?)]}")
+        cost = log10_guesses(value)
         if cost >= min_log10_guesses:
-            found.append((m.start(1), m.end(1), "guess", cost))
+            found.append((m.start(1), m.start(1) + len(value), "guess", cost))
     return found
 
 
