@@ -81,6 +81,8 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             inside = ~SPACES[data]
             first = inside.copy()
             first[1:] &= ~inside[:-1]
+            begin = ends[:-1][ends[:-1] < len(data)]
+            first[begin] = inside[begin]  # whatever the text before ends with
             words = np.diff(np.r_[0, np.cumsum(first, dtype=np.int32)][cut])
             of = np.searchsorted(cut, ends)  # a text's border among the chunks' borders
             starts = points[cut]
