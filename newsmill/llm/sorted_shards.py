@@ -185,26 +185,33 @@ def footers(spark: SparkSession, path: str) -> DataFrame:
     return _shards(spark, path).mapInArrow(run, "shard string, first_id long, n_docs long, n_tokens long")
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, doc_id, shard_start, ids, width): each entry, in order within its shard; shard_start counts the shard's ids before it."""
+def _read(spark: SparkSession, path: str, values: str, columns) -> DataFrame:
+    """(shard, doc_id, shard_start, …): each entry in order within its shard; shard_start counts the shard's ids before it.
+
+    ``columns(entries, width)`` makes the arrays that ``values`` declares, within the same Python pass.
+    """
     ship_package(spark)
+    names = ["shard", "doc_id", "shard_start", *(x.split()[0] for x in values.split(", "))]
 
     def run(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                s = Shard(data.as_py())
+                s = Shard(data.as_buffer())
                 start = 0
                 for block in range(len(s.blocks)):
                     rows = list(s._scan(block))
                     sizes = np.array([len(v) // s.width for _, v in rows], np.int64)
                     starts = start + np.r_[0, np.cumsum(sizes)[:-1]]
                     start += int(sizes.sum())
-                    yield pa.RecordBatch.from_pydict({
-                        "shard": [name] * len(rows), "doc_id": pa.array([id_of(k) for k, _ in rows], pa.int64()),
-                        "shard_start": pa.array(starts, pa.int64()), "ids": pa.array([v for _, v in rows], pa.binary()), "width": pa.array([s.width] * len(rows), pa.int32()),
-                    })
+                    ids = pa.array([id_of(k) for k, _ in rows], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), ids, pa.array(starts, pa.int64()), *columns([v for _, v in rows], s.width)], names)
+
+    return _shards(spark, path).mapInArrow(run, "shard string, doc_id long, shard_start long, " + values)
 
-    return _shards(spark, path).mapInArrow(run, "shard string, doc_id long, shard_start long, ids binary, width int")
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, doc_id, shard_start, ids, width) of every entry."""
+    return _read(spark, path, "ids binary, width int", lambda v, width: [pa.array(v, pa.binary()), pa.array([width] * len(v), pa.int32())])
 
 
 def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
@@ -229,16 +236,11 @@ def token_starts(spark: SparkSession, path: str) -> DataFrame:
     The first pass reads footers; their running sum has one row a shard.
     """
 
-    def run(batches):
-        for b in batches:
-            sizes, crcs = [], []
-            for ids, width in zip(b.column("ids"), b.column("width").to_pylist()):
-                wide = np.frombuffer(ids.as_py(), f"<u{width}").astype("<u4")
-                sizes.append(len(wide))
-                crcs.append(zlib.crc32(wide.tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("doc_id"), b.column("shard_start"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["shard", "doc_id", "shard_start", "n_tokens", "ids_crc32"])
-
-    rows = read_shards(spark, path).mapInArrow(run, "shard string, doc_id long, shard_start long, n_tokens long, ids_crc32 long")
+    def digests(values: list[bytes], width: int) -> list[pa.Array]:
+        wide = [np.frombuffer(v, f"<u{width}").astype("<u4") for v in values]
+        return [pa.array([len(w) for w in wide], pa.int64()), pa.array([zlib.crc32(w.tobytes()) for w in wide], pa.int64())]
+
+    rows = _read(spark, path, "n_tokens long, ids_crc32 long", digests)
     order = Window.orderBy(F.col("first_id").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
     before = footers(spark, path).select("shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
     return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")

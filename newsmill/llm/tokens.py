@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import regex
 
 #: Words kept by a worker; beyond that many the memo starts anew. Results don't depend on it.
-MEMO_WORDS, MEMO_PIECES = 300_000, 500_000
+MEMO_WORDS, MEMO_PIECES = 200_000, 400_000
 #: Longer words pass the memo by.
 MEMO_CHARS = 64
 #: str.split() also cuts at these four; the tokenizer doesn't.
