@@ -17,7 +17,7 @@ a passage that a third of all documents hold can be split. Texts are never shuff
 Defined cases: a null text is empty; an empty text has no chunks; text without white space
 is cut every ``MOST_BYTES`` bytes, between code points; a document of a null id neither makes
 nor has repeats; rows that repeat an id are one document, whose copies don't count as
-another's; an empty table gives an empty table; other columns are not read.
+another's, and rows that repeat id and text give their spans once; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -110,15 +110,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     at = table.select("id", "row", F.posexplode("digests").alias("seq", "digest"))
     hits = at.join(repeated, "digest").select("id", "row", "seq", "first_id")
     order = Window.partitionBy("id", "row").orderBy("seq")
-    runs = hits.withColumn("run", F.col("seq") - F.row_number().over(order))
-    spans = runs.groupBy("id", "row", "run").agg(F.collect_list(F.struct("seq", "first_id")).alias("hits"))
+    # Rows that repeat an id and a text repeat their hits: equal places have one rank, sets hold them once.
+    runs = hits.withColumn("run", F.col("seq") - F.dense_rank().over(order))
+    spans = runs.groupBy("id", "row", "run").agg(F.collect_set(F.struct("seq", "first_id")).alias("hits"))
     spans = spans.join(table.select("id", "row", "starts", "words"), ["id", "row"])
     first, last = F.array_min("hits.seq"), F.array_max("hits.seq")
     spans = spans.select("id", "row", "hits", "starts", "words", F.aggregate(F.slice("words", first + 1, last - first + 1), F.lit(0), lambda a, x: a + x).alias("n_words"))
     at_text = F.transform("hits", lambda h: F.struct(
         h["seq"].alias("seq"), h["first_id"].alias("first_id"), F.col("starts")[h["seq"]].alias("start"), F.col("starts")[h["seq"] + 1].alias("end"), F.col("words")[h["seq"]].alias("w"),
     ))
-    parts = spans.where(F.col("n_words") >= min_words).select("id", "row", F.explode(at_text).alias("x")).select("id", "row", "x.*")
+    parts = spans.where(F.col("n_words") >= min_words).select("id", "row", F.explode(at_text).alias("x")).select("id", "row", "x.*").dropDuplicates(["id", "row", "seq"])
     parts = parts.withColumn("kept", F.col("first_id") == F.col("id"))
     by_kind = Window.partitionBy("id", "row", "kept").orderBy("seq")
     parts = parts.withColumn("run", F.col("seq") - F.row_number().over(by_kind))

@@ -274,9 +274,8 @@ def answers(grams: DataFrame, model: DataFrame) -> DataFrame:
         context = model.where((F.char_length("gram") == k - 1) & F.col("backoff").isNotNull()).select(F.col("gram").alias(f"c{k}"), F.col("backoff").alias(f"b{k}"))
         out = out.join(context, F.substring("gram", ORDER - k + 1, k - 1) == F.col(f"c{k}"), "left")
         weight = weight + F.coalesce(F.col(f"b{k}"), F.lit(0.0))
-    empty = model.where("gram = ''").select(F.col("logp").alias("p0"))
-    out = out.crossJoin(F.broadcast(empty.limit(1)))  # one row
-    return out.select("gram", F.coalesce(value, F.col("p0") + weight).alias("logp"))
+    unseen = F.lit(model.where("gram = '' AND logp IS NOT NULL").select("logp").first()[0])  # one number
+    return out.select("gram", F.coalesce(value, unseen + weight).alias("logp"))
 
 
 def score_with_joins(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -344,9 +343,9 @@ def classify(
     enough = F.count(F.lit(1)) >= LEAST_HELD_OUT
     by_class = materialize(good.groupBy("l", "size").agg(F.when(enough, at).alias("limit_class")), "limits")
     by_lang = materialize(good.groupBy("l").agg(F.when(enough, at).alias("limit_lang")), "limits")
-    over_all = good.agg(at.alias("limit_all"))  # one row
-    limits = scored.join(by_class, ["l", "size"], "left").join(by_lang, "l", "left").crossJoin(F.broadcast(over_all))
-    limit = F.coalesce("limit_class", "limit_lang", "limit_all")
+    over_all = F.lit(good.agg(at).first()[0]).cast("double")  # one number
+    limits = scored.join(by_class, ["l", "size"], "left").join(by_lang, "l", "left")
+    limit = F.coalesce("limit_class", "limit_lang", over_all)
     return limits.select("id", "lang", "n_chars", "perplexity", limit.alias("limit"), F.coalesce(F.col("perplexity") <= limit, F.lit(True)).alias("kept"))
 
 

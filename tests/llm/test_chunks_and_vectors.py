@@ -113,6 +113,13 @@ def test_repeats_equal_the_plain_rule(spark):
     assert chunk_dedup.repeats(df.where("false")).count() == 0
 
 
+def test_repeats_of_repeated_rows(spark):
+    docs = list(enumerate(planted()))
+    df = spark.createDataFrame([*docs, *docs[:7], docs[40]], "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r[c] for c in ("id", "start", "end", "n_words", "first_id", "kept")) for r in chunk_dedup.repeats(df).collect())
+    assert got == sorted(plain_spans(docs))
+
+
 def test_removal_keeps_one_copy(spark):
     docs = list(enumerate(planted()))
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, words string")
