@@ -1,16 +1,18 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of characters, of order ``ORDER``: with characters the table of known n-grams
-grows far more slowly than the corpus, and texts that the model has seen score hardly better
-than new ones. Counts of the highest order and continuation counts of the lower ones come
+The model is of words (``WORDS``, order 3) in the registered query: lower-cased runs of letters
+and digits, single other marks, and single characters of scripts that are written without
+blanks. Its table grows with the corpus, so it stays sharded. ``CHARACTERS`` (order ``ORDER``)
+is a model of small table for other uses. Counts of the highest order and continuation counts of the lower ones come
 from all trusted texts; discounts from the counts of counts of each order. Probabilities are
 joins of count tables that are sharded by n-gram, context and suffix, and make one table of
 (n-gram, log10 probability, log10 backoff weight).
 
-A text's perplexity needs its n-grams' rows of that table. If the table has at most
-``BROADCAST_GRAMS`` rows (checked), it goes to every task. Beyond that, texts are cut into
-pages, each page asks for its distinct n-grams, the requests are joined with the sharded
-table, and each page meets its answers. Both ways give the same result.
+A text's perplexity needs its n-grams' rows of that table. Texts are cut into pages, each page
+asks for its distinct n-grams, the requests are joined with the sharded table (each order's
+distinct n-grams once), and each page meets its answers. The registered query always does so.
+A caller may let a table of at most ``broadcast_grams`` rows (checked) go to every task
+instead. Both ways give the same result.
 
 One in ``HELD_OUT`` trusted texts (by a hash of the id) is not trained on: the model scores it
 like any other text, so limits come from these. A document is kept if its perplexity is at
@@ -21,7 +23,7 @@ limit, then the limit over all.
 Trusted ids reach the texts through a filter of 2 ** ``FILTER_BITS`` bits, whatever their
 number, then an exact join; so texts that can't be trusted are not shuffled.
 
-Defined cases: a null or empty text has no perplexity and is kept, for nothing speaks against
+Defined cases: a null or empty text, or one without words, has no perplexity and is kept, for nothing speaks against
 it; a null language is a language; without trusted texts nothing has a perplexity and all are
 kept; rows that repeat an id are scored each; extra columns are not read.
 """
@@ -29,12 +31,15 @@ kept; rows that repeat an id are scored each; extra columns are not read.
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmill.llm.batches import slices
@@ -52,12 +57,62 @@ LENGTHS = (200, 1000)  # length classes in characters: below, between, from
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio's odd multiplier
 
 
-def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of texts end to end, each after ORDER - 1 pads, and the texts' borders."""
-    pad = chr(PAD) * (ORDER - 1)
-    clean = [pad + (t or "").replace(chr(PAD), " ") for t in texts]
-    codes = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), "<u4")
-    return codes, np.cumsum([0, *map(len, clean)])
+# Thai, Lao, Burmese, Khmer, kana and Han are written without blanks.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+|[^\w\s]")
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What n-grams consist of: ``order`` tokens of ``width`` places in a ``kind`` value."""
+
+    order: int
+    kind: str
+    width: int
+    code: str
+
+    def part(self, gram: Column | str, start: int, k: int) -> Column:
+        """``k`` tokens of a gram from token ``start``, counted from 1."""
+        return F.substring(gram, (start - 1) * self.width + 1, k * self.width)
+
+    def has(self, k: int) -> Column:
+        return F.char_length("gram") == k * self.width  # bytes of a binary value
+
+    def pack(self, codes: np.ndarray) -> list:
+        """Grams of rows of codes."""
+        raw, step = codes.astype(self.code).tobytes(), codes.shape[1] * self.width
+        raw = raw if self.kind == "binary" else raw.decode("utf-32-le", "surrogatepass")
+        return [raw[i : i + step] for i in range(0, len(raw), step)]
+
+    def unpack(self, grams: list) -> np.ndarray:
+        """Codes of grams of one length."""
+        raw = b"".join(grams) if self.kind == "binary" else "".join(grams).encode("utf-32-le", "surrogatepass")
+        return np.frombuffer(raw, self.code).reshape(len(grams), -1)
+
+
+CHARACTERS = Unit(ORDER, "string", 1, "<u4")
+#: Words are known by 64-bit hashes; 100 million different ones have an equal pair with probability 3e-4.
+WORDS = Unit(3, "binary", 8, "<u8")
+
+
+def symbols(texts: list[str | None], unit: Unit = CHARACTERS) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of texts (code points or hashes of words) end to end, each text after order - 1 pads, and the texts' borders."""
+    if unit.kind == "string":
+        pad = chr(PAD) * (unit.order - 1)
+        clean = [pad + (t or "").replace(chr(PAD), " ") for t in texts]
+        codes = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), "<u4")
+        return codes, np.cumsum([0, *map(len, clean)])
+    name: dict[str, int] = {}
+    flat, ends = [], [0]
+    for t in texts:
+        flat += [PAD] * (unit.order - 1)
+        words = WORD.findall((t or "").lower())
+        for w in words:
+            if w not in name:
+                name[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        flat += [name[w] for w in words]
+        ends.append(len(flat))
+    return np.array(flat, np.uint64), np.array(ends)
 
 
 def hashes(codes: np.ndarray, order: int) -> np.ndarray:
@@ -72,12 +127,12 @@ def hashes(codes: np.ndarray, order: int) -> np.ndarray:
     return h
 
 
-def gram_names(grams: list[str]) -> np.ndarray:
-    """The same names for strings of one length."""
+def gram_names(grams: list, unit: Unit = CHARACTERS) -> np.ndarray:
+    """The same names for grams of one length."""
     if not grams:
         return np.empty(0, np.uint64)
-    n = len(grams[0])
-    codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+    codes = unit.unpack(grams)
+    n = codes.shape[1]
     h = np.full(len(codes), n, np.uint64)
     for i in range(n):
         h = (h ^ codes[:, i].astype(np.uint64)) * MULTIPLIER
@@ -85,20 +140,18 @@ def gram_names(grams: list[str]) -> np.ndarray:
     return h
 
 
-def _scored_places(ends: np.ndarray) -> np.ndarray:
-    """Places of the texts' own characters."""
+def _scored_places(ends: np.ndarray, unit: Unit) -> np.ndarray:
+    """Places of the texts' own tokens."""
     place = np.ones(int(ends[-1]), bool)
-    for k in range(ORDER - 1):
+    for k in range(unit.order - 1):
         place[ends[:-1] + k] = False
     return np.flatnonzero(place)
 
 
-def _distinct(codes: np.ndarray, places: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct highest n-grams that end at ``places``, their counts and names."""
-    names, first, counts = np.unique(hashes(codes, ORDER)[places], return_index=True, return_counts=True)
-    at = places[first][:, None] + np.arange(1 - ORDER, 1)
-    raw = codes[at].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") if len(at) else ""
-    return [raw[i : i + ORDER] for i in range(0, len(raw), ORDER)], counts, names
+def _distinct(codes: np.ndarray, places: np.ndarray, unit: Unit) -> tuple[list, np.ndarray]:
+    """Distinct highest n-grams that end at ``places`` and their counts."""
+    names, first, counts = np.unique(hashes(codes, unit.order)[places], return_index=True, return_counts=True)
+    return unit.pack(codes[places[first][:, None] + np.arange(1 - unit.order, 1)]), counts
 
 
 def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -120,16 +173,16 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return maybe.join(trusted.select("id").distinct(), "id", "left_semi")
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
+def gram_counts(texts: DataFrame, unit: Unit = CHARACTERS) -> DataFrame:
     """(gram, n) of the highest order; tasks count before they shuffle."""
 
     def run(batches):
         for b in slices(batches, "text", 4 << 20):
-            codes, ends = symbols(b.column("text").to_pylist())
-            grams, counts, _ = _distinct(codes, _scored_places(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["gram", "n"])
+            codes, ends = symbols(b.column("text").to_pylist(), unit)
+            grams, counts = _distinct(codes, _scored_places(ends, unit), unit)
+            yield pa.RecordBatch.from_arrays([pa.array(grams, unit.kind), pa.array(counts, pa.int64())], ["gram", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, f"gram {unit.kind}, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(levels: list[DataFrame]) -> list[tuple[float, float, float]]:
@@ -148,21 +201,21 @@ def _discounts(levels: list[DataFrame]) -> list[tuple[float, float, float]]:
     return out
 
 
-def train(texts: DataFrame) -> DataFrame:
-    """(gram, logp, backoff): log10 of the probability of the last character after the others, and of the weight that the gram as a context leaves to lower orders (null if it is none)."""
-    levels = {ORDER: materialize(gram_counts(texts), "grams")}
-    for k in range(ORDER - 1, 0, -1):
-        lower = levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+def train(texts: DataFrame, unit: Unit = CHARACTERS) -> DataFrame:
+    """(gram, logp, backoff): log10 of the probability of the last token after the others, and of the weight that the gram as a context leaves to lower orders (null if it is none)."""
+    levels = {unit.order: materialize(gram_counts(texts, unit), "grams")}
+    for k in range(unit.order - 1, 0, -1):
+        lower = levels[k + 1].groupBy(unit.part("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         levels[k] = materialize(lower, "grams")
     discounts = dict(zip(levels, _discounts(list(levels.values()))))
     alphabet = levels[1].count()
     below, grams_of, weights = None, [], []
-    for k in range(1, ORDER + 1):
+    for k in range(1, unit.order + 1):
         one, two, more = discounts[k]
         n = F.col("n")
         off = F.when(n == 1, F.lit(one)).when(n == 2, F.lit(two)).otherwise(F.lit(more))
         left = F.lit(one) * F.count_if(n == 1) + F.lit(two) * F.count_if(n == 2) + F.lit(more) * F.count_if(n >= 3)
-        grams = levels[k].withColumn("context", F.substring("gram", 1, k - 1))
+        grams = levels[k].withColumn("context", unit.part("gram", 1, k - 1))
         contexts = materialize(grams.groupBy("context").agg(F.sum("n").alias("total"), left.alias("left")), "contexts")
         joined = grams.join(contexts, "context").withColumn("own", F.greatest(n - off, F.lit(0.0)) / F.col("total"))
         rest = F.col("left") / F.col("total")
@@ -170,12 +223,12 @@ def train(texts: DataFrame) -> DataFrame:
             p = joined.select("gram", (F.col("own") + rest / F.lit(alphabet + 1.0)).alias("p"))
         else:
             lower = below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-            p = joined.withColumn("suffix", F.substring("gram", 2, k - 1)).join(lower, "suffix").select("gram", (F.col("own") + rest * F.col("lower")).alias("p"))
+            p = joined.withColumn("suffix", unit.part("gram", 2, k - 1)).join(lower, "suffix").select("gram", (F.col("own") + rest * F.col("lower")).alias("p"))
         below = materialize(p, "probabilities")
         grams_of.append(below.select("gram", F.log10("p").alias("logp")))
         weights.append(contexts.select(F.col("context").alias("gram"), F.log10(F.col("left") / F.col("total")).alias("backoff")))
-    # The empty gram is what a character gets that the model has never seen.
-    every = contexts.sparkSession.createDataFrame([("", -math.log10(alphabet + 1.0))], "gram string, logp double")
+    # The empty gram is what a token gets that the model has never seen.
+    every = contexts.sparkSession.createDataFrame([(-math.log10(alphabet + 1.0),)], "logp double").select(F.lit("").cast(unit.kind).alias("gram"), "logp")
     for g in grams_of:
         every = every.unionByName(g)
     backoff = weights[0]
@@ -188,9 +241,9 @@ def train(texts: DataFrame) -> DataFrame:
 class Tables:
     """The model for one task: names, log10 probabilities and weights of each order, sorted by name."""
 
-    def __init__(self, order: np.ndarray, names: np.ndarray, logp: np.ndarray, backoff: np.ndarray):
-        self.of = {}
-        for k in range(ORDER + 1):
+    def __init__(self, order: np.ndarray, names: np.ndarray, logp: np.ndarray, backoff: np.ndarray, unit: Unit):
+        self.of, self.order = {}, unit.order
+        for k in range(unit.order + 1):
             at = np.flatnonzero(order == k)
             at = at[np.argsort(names[at], kind="stable")]
             self.of[k] = names[at], logp[at], np.nan_to_num(backoff[at])
@@ -201,9 +254,9 @@ class Tables:
         return at, known[at] == names
 
     def score(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the character at each place."""
+        """log10 of the probability of the token at each place."""
         out, weight, todo = np.zeros(len(places)), np.zeros(len(places)), np.arange(len(places))
-        for k in range(ORDER, 0, -1):
+        for k in range(self.order, 0, -1):
             at, hit = self._find(k, hashes(codes, k)[places[todo]])
             out[todo[hit]] = weight[todo[hit]] + self.of[k][1][at[hit]]
             todo = todo[~hit]
@@ -219,66 +272,74 @@ class Tables:
 
 
 def _totals(ends: np.ndarray, places: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Characters and log10 probability of each text."""
+    """Tokens and log10 probability of each text."""
     text = np.searchsorted(ends, places, side="right") - 1
     return np.bincount(text, minlength=len(ends) - 1), np.bincount(text, scores, minlength=len(ends) - 1)
 
 
-SCORED = "id long, lang string, n_chars long, logp double"
+SCORED = "id long, lang string, n_chars long, n_tokens long, logp double"
 
 
-def _scored(ids: pa.Array, langs: pa.Array, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, langs, pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["id", "lang", "n_chars", "logp"])
+def _scored(ids: pa.Array, langs: pa.Array, texts: pa.Array, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    chars = pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())
+    return pa.RecordBatch.from_arrays([ids, langs, chars, pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["id", "lang", "n_chars", "n_tokens", "logp"])
 
 
-def named(model: DataFrame) -> DataFrame:
+def named(model: DataFrame, unit: Unit = CHARACTERS) -> DataFrame:
     """(k, name, logp, backoff): the model with names for grams."""
 
     def run(batches):
         for b in batches:
             grams = b.column("gram").to_pylist()
-            k = np.array([len(g) for g in grams], np.int32)
+            k = np.array([len(g) // unit.width for g in grams], np.int32)
             names = np.zeros(len(grams), np.uint64)
             for n in np.unique(k):
                 at = np.flatnonzero(k == n)
-                names[at] = gram_names([grams[i] for i in at]) if n else 0
+                names[at] = gram_names([grams[i] for i in at], unit) if n else 0
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(names.view(np.int64)), b.column("logp"), b.column("backoff")], ["k", "name", "logp", "backoff"])
 
     return model.select("gram", "logp", "backoff").mapInArrow(run, "k int, name long, logp double, backoff double")
 
 
-def score_with_broadcast(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(id, lang, n_chars, logp) of the documents (id, lang, text); for a model of checked size."""
-    t = named(model).toArrow()
+def score_with_broadcast(docs: DataFrame, model: DataFrame, unit: Unit = CHARACTERS) -> DataFrame:
+    """(id, lang, n_chars, n_tokens, logp) of the documents (id, lang, text); for a model of checked size."""
+    t = named(model, unit).toArrow()
     columns = [t.column(c).to_numpy() for c in ("k", "name", "logp", "backoff")]
     shared = docs.sparkSession.sparkContext.broadcast(columns)
 
     def run(batches):
         order, names, logp, backoff = shared.value
-        tables = Tables(order, names.view(np.uint64), logp, backoff)
+        tables = Tables(order, names.view(np.uint64), logp, backoff, unit)
         for b in slices(batches, "text", PAGE_BYTES):
-            codes, ends = symbols(b.column("text").to_pylist())
-            places = _scored_places(ends)
-            yield _scored(b.column("id"), b.column("lang"), *_totals(ends, places, tables.score(codes, places)))
+            codes, ends = symbols(b.column("text").to_pylist(), unit)
+            places = _scored_places(ends, unit)
+            yield _scored(b.column("id"), b.column("lang"), b.column("text"), *_totals(ends, places, tables.score(codes, places)))
 
     return docs.select("id", "lang", "text").mapInArrow(run, SCORED)
 
 
-def answers(grams: DataFrame, model: DataFrame) -> DataFrame:
-    """(gram, logp) of highest n-grams, by joins with the sharded model."""
-    out, weight, value = grams, F.lit(0.0), None
-    for k in range(ORDER, 0, -1):
-        m = model.where(F.char_length("gram") == k).select(F.col("gram").alias(f"g{k}"), F.col("logp").alias(f"p{k}"))
-        out = out.join(m, F.substring("gram", ORDER - k + 1, k) == F.col(f"g{k}"), "left")
-        value = F.col(f"p{k}") + weight if value is None else F.coalesce(value, F.col(f"p{k}") + weight)
-        context = model.where((F.char_length("gram") == k - 1) & F.col("backoff").isNotNull()).select(F.col("gram").alias(f"c{k}"), F.col("backoff").alias(f"b{k}"))
-        out = out.join(context, F.substring("gram", ORDER - k + 1, k - 1) == F.col(f"c{k}"), "left")
-        weight = weight + F.coalesce(F.col(f"b{k}"), F.lit(0.0))
-    unseen = F.lit(model.where("gram = '' AND logp IS NOT NULL").select("logp").first()[0])  # one number
-    return out.select("gram", F.coalesce(value, unseen + weight).alias("logp"))
+def answers(grams: DataFrame, model: DataFrame, unit: Unit = CHARACTERS) -> DataFrame:
+    """(gram, logp) of different highest n-grams, by joins with the sharded model: each order's different n-grams
+    meet their own rows, their contexts' weights and the answers of the order below."""
+    asked = {unit.order: grams}
+    for k in range(unit.order - 1, 0, -1):
+        asked[k] = materialize(asked[k + 1].select(unit.part("gram", 2, k).alias("gram")).distinct(), "asked")
+    unseen = F.lit(model.where(unit.has(0) & F.col("logp").isNotNull()).select("logp").first()[0])  # one number
+    below = None
+    for k in range(1, unit.order + 1):
+        own = model.where(unit.has(k)).select("gram", F.col("logp").alias("own"))
+        out = asked[k].join(own, "gram", "left").withColumn("context", unit.part("gram", 1, k - 1))
+        context = model.where(unit.has(k - 1) & F.col("backoff").isNotNull()).select(F.col("gram").alias("context"), "backoff")
+        out = out.join(context, "context", "left")
+        if below is None:
+            out = out.withColumn("lower", unseen)
+        else:
+            out = out.withColumn("suffix", unit.part("gram", 2, k - 1)).join(below.select(F.col("gram").alias("suffix"), F.col("logp").alias("lower")), "suffix")
+        below = materialize(out.select("gram", F.coalesce("own", F.coalesce("backoff", F.lit(0.0)) + F.col("lower")).alias("logp")), "answers")
+    return below
 
 
-def score_with_joins(docs: DataFrame, model: DataFrame) -> DataFrame:
+def score_with_joins(docs: DataFrame, model: DataFrame, unit: Unit = CHARACTERS) -> DataFrame:
     """The same for a model of any size: pages of texts meet the rows of their n-grams."""
 
     def cut(batches):
@@ -295,48 +356,50 @@ def score_with_joins(docs: DataFrame, model: DataFrame) -> DataFrame:
         for b in batches:
             pages_of = b.column("page")
             for page in pc.unique(pages_of):
-                codes, ends = symbols(b.filter(pc.equal(pages_of, page)).column("text").to_pylist())
-                grams, _, _ = _distinct(codes, _scored_places(ends))
-                yield pa.RecordBatch.from_arrays([pa.array([page.as_py()] * len(grams), pa.int64()), pa.array(grams, pa.string())], ["page", "gram"])
+                codes, ends = symbols(b.filter(pc.equal(pages_of, page)).column("text").to_pylist(), unit)
+                grams, _ = _distinct(codes, _scored_places(ends, unit), unit)
+                yield pa.RecordBatch.from_arrays([pa.array([page.as_py()] * len(grams), pa.int64()), pa.array(grams, unit.kind)], ["page", "gram"])
 
-    wanted = materialize(pages.select("page", "text").mapInArrow(ask, "page long, gram string").distinct(), "requests")
-    known = materialize(answers(wanted.select("gram").distinct(), model), "answers")
+    # A page that lies in several batches may ask for an n-gram in each; equal answers do no harm.
+    wanted = materialize(pages.select("page", "text").mapInArrow(ask, f"page long, gram {unit.kind}"), "requests")
+    known = answers(materialize(wanted.select("gram").distinct(), "asked"), model, unit)
     given = wanted.join(known, "gram")
 
     def score(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        codes, ends = symbols([None if pd.isna(t) else t for t in own["text"]])
-        places = _scored_places(ends)
-        names = gram_names(found["gram"].tolist())
+        texts = [None if pd.isna(t) else t for t in own["text"]]
+        codes, ends = symbols(texts, unit)
+        places = _scored_places(ends, unit)
+        names = gram_names(found["gram"].tolist(), unit)
         order = np.argsort(names, kind="stable")
-        at = order[np.searchsorted(names[order], hashes(codes, ORDER)[places])] if len(places) else np.empty(0, int)
+        at = order[np.searchsorted(names[order], hashes(codes, unit.order)[places])] if len(places) else np.empty(0, int)
         n, total = _totals(ends, places, found["logp"].to_numpy()[at])
-        return pd.DataFrame({"id": own["id"], "lang": own["lang"], "n_chars": n, "logp": total})
+        return pd.DataFrame({"id": own["id"], "lang": own["lang"], "n_chars": [len(t or "") for t in texts], "n_tokens": n, "logp": total})
 
     return pages.groupBy("page").cogroup(given.groupBy("page")).applyInPandas(score, SCORED)
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, unit: Unit = CHARACTERS) -> DataFrame:
     """(id, lang, n_chars, perplexity) of every row of ``docs`` (id, lang, text); ``trusted`` has the ids (id) of trusted documents."""
     ship_package(docs.sparkSession)
-    model = train(trusted_texts(docs, trusted))
+    model = train(trusted_texts(docs, trusted), unit)
     size = model.count()
     if size == 1 + 1 or size == 1:  # no n-gram at all
-        scored = docs.select("id", "lang", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.lit(None).cast("double").alias("logp"))
+        scored = docs.select("id", "lang", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("double").alias("logp"))
     else:
-        scored = (score_with_broadcast if size <= broadcast_grams else score_with_joins)(docs, model)
-    rate = F.when(F.col("n_chars") > 0, F.pow(F.lit(10.0), -F.col("logp") / F.col("n_chars")))
+        scored = (score_with_broadcast if size <= broadcast_grams else score_with_joins)(docs, model, unit)
+    rate = F.when(F.col("n_tokens") > 0, F.pow(F.lit(10.0), -F.col("logp") / F.col("n_tokens")))
     return scored.select("id", "lang", "n_chars", rate.alias("perplexity"))
 
 
 def classify(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    quantile: float = 0.99, margin: float = 1.25, broadcast_grams: int = BROADCAST_GRAMS,
+    quantile: float = 0.99, margin: float = 1.25, broadcast_grams: int = BROADCAST_GRAMS, unit: Unit = CHARACTERS,
 ) -> DataFrame:
     """(id, lang, n_chars, perplexity, limit, kept) of every row; ``trusted`` has a column ``id``."""
     held_out = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(HELD_OUT)) == 0
     trusted = trusted.select(F.col("id").cast("bigint").alias("id")).where("id IS NOT NULL").distinct()
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    scored = materialize(perplexities(source, trusted.where(~held_out), broadcast_grams), "perplexities")
+    scored = materialize(perplexities(source, trusted.where(~held_out), broadcast_grams, unit), "perplexities")
     scored = scored.withColumn("l", F.coalesce("lang", F.lit(""))).withColumn("size", sum((F.col("n_chars") >= x).cast("int") for x in LENGTHS))
     good = scored.join(trusted.where(held_out), "id", "left_semi").where("perplexity IS NOT NULL")
     at = F.percentile_approx("perplexity", quantile, 10_000) * margin
@@ -352,5 +415,5 @@ def classify(
 def query(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     trusted = labels.where("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("id"))
-    found = classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), trusted)
+    found = classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), trusted, broadcast_grams=0, unit=WORDS)
     return found.select(F.col("id").alias("doc_id"), "n_chars", "perplexity", "limit", "kept")
