@@ -3,10 +3,13 @@
 Vectors are compared only within a label. Equal vectors of a label are one row with a weight.
 Iterative quantisation centres a bounded sample, projects it on its principal components and
 turns these by the rotation that brings them closest to their own signs; several rotations
-from different starts give ``CODE_BITS`` balanced bits. The code is cut into substrings; each
-is a table, and vectors that agree on a substring are candidates. Two vectors of cosine c
-differ in a bit with probability acos(c) / pi; at 0.98 a 16-bit substring agrees with
-probability 0.35, one of 16 with probability 0.999. Candidates are reranked with the original
+from different starts give ``CODE_BITS`` balanced bits. These tell vectors apart well, but the
+angle around the mean is wider than the vectors' own where they have a common direction. So
+``ANGLE_BITS`` more are the signs of the uncentred vectors along random orthogonal directions.
+The code is cut into substrings; each is a table, and vectors that agree on a substring are
+candidates. Two vectors of cosine c differ in an angle bit with probability acos(c) / pi,
+whatever the other vectors are; at 0.98 a 16-bit substring agrees with probability 0.35, one of
+16 with probability 0.999. Candidates are reranked with the original
 vectors in double precision; a link counts in the first table that holds it, so links of a
 vector are sums over tables, without any list of pairs.
 
@@ -30,7 +33,7 @@ from newsmill.session import materialize, ship_package
 
 #: Vectors that the fit reads at most, whatever the table's size.
 SAMPLE = 8192
-CODE_BITS, TABLE_BITS, ROUNDS = 256, 16, 30
+CODE_BITS, ANGLE_BITS, TABLE_BITS, ROUNDS = 256, 256, 16, 30
 
 
 def quantiser(sample: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +57,13 @@ def quantiser(sample: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray
     return mean, np.concatenate(columns, axis=1)[:, :CODE_BITS]
 
 
+def directions(d: int) -> np.ndarray:
+    """Random directions as columns, orthogonal as far as there are dimensions; those of a length are always the same."""
+    rng = np.random.default_rng(d)
+    frames = [np.linalg.qr(rng.standard_normal((d, min(d, ANGLE_BITS))))[0] for _ in range(-(-ANGLE_BITS // d))]
+    return np.concatenate(frames, axis=1)[:, :ANGLE_BITS]
+
+
 def _valid(v: Column) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
@@ -86,17 +96,18 @@ def _pack(vectors: DataFrame) -> DataFrame:
 
 def encode(rows: DataFrame) -> DataFrame:
     """``rows`` (with dim, vec) and their code as bytes; one quantiser for each vector length."""
-    models = {r.dim: _fit(rows, r.dim) for r in rows.select("dim").distinct().collect()}
+    models = {r.dim: (*_fit(rows, r.dim), directions(r.dim)) for r in rows.select("dim").distinct().collect()}
     names = rows.columns
 
     def run(batches):
         for b in batches:
-            code = np.empty((b.num_rows, CODE_BITS // 8), np.uint8)
+            code = np.empty((b.num_rows, (CODE_BITS + ANGLE_BITS) // 8), np.uint8)
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                mean, projection = models[int(d)]
-                bits = (_matrix(b.column("vec").take(pa.array(at))) - mean) @ projection >= 0
+                mean, projection, angles = models[int(d)]
+                x = _matrix(b.column("vec").take(pa.array(at)))
+                bits = np.concatenate([(x - mean) @ projection >= 0, x @ angles >= 0], axis=1)
                 code[at] = np.packbits(bits, axis=1, bitorder="little")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in code], pa.binary())], [*names, "code"])
 
@@ -146,7 +157,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     same = packed.groupBy("label", "dim", "vec").agg(F.min("id").alias("member"), F.count(F.lit(1)).alias("weight"))
     coded = materialize(encode(materialize(same, "distinct-vectors")), "codes")
     tables = F.transform(
-        F.sequence(F.lit(0), F.lit(CODE_BITS // TABLE_BITS - 1)),
+        F.sequence(F.lit(0), F.lit((CODE_BITS + ANGLE_BITS) // TABLE_BITS - 1)),
         lambda t: F.struct(t.alias("t"), F.substring(F.hex("code"), t * (TABLE_BITS // 4) + 1, F.lit(TABLE_BITS // 4)).alias("k")),
     )
     keys = coded.where("member IS NOT NULL").select("label", "dim", "member", F.explode(tables).alias("x"))
