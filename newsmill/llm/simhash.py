@@ -1,20 +1,19 @@
-"""SimHash near-dedup over pivot distance tables.
+"""SimHash near-dedup over tables of bit segments, with pivot distances as a filter.
 
 A text's fingerprint has the bits that over half of its shingles' hashes have. Documents of
-one fingerprint are one row from then on. Every fingerprint gets its Hamming distances to
-reference fingerprints (pivots), once:
-
-- local pivots lie within a segment of the 64 bits: references that differ in one bit of the
-  segment have distances that differ by one each way, so two fingerprints have equal distances
-  to a segment's pivots exactly if they agree on the segment. ``most`` differing bits touch at
-  most ``most`` segments; the distances to the pivots of the other ones are equal. There is
-  a table for each choice of that many segments, keyed by these equal distances;
-- full-width pivots: where the distances of two fingerprints to any of them differ by more
+one fingerprint are one row from then on. Candidates come from agreeing bit segments, not from
+pivots:
+
+- ``most`` differing bits touch at most ``most`` segments of the 64 bits, so two linked
+  fingerprints agree on the other ones. There is a table for each choice of that many
+  segments, keyed by the fingerprint's own bits there;
+- pivots only discard: every fingerprint gets its Hamming distances to full-width reference
+  fingerprints, once; where the distances of two fingerprints to any of them differ by more
   than ``most``, so do the fingerprints (triangle inequality). Candidates of a table are
   discarded by the largest such difference; the rest are verified bit by bit.
 
-Full-width pivots alone can't make candidates: distances of 64-bit fingerprints lie around
-32 with a deviation of 4, so most pairs agree within 4 on any one of them.
+Pivots can't make candidates: distances of 64-bit fingerprints lie around 32 with a deviation
+of 4, so most pairs agree within 4 on any one of them.
 
 The number of segments follows the number of fingerprints, so that a table's buckets hold
 few by chance; every choice finds every pair. Linked fingerprints form components.
