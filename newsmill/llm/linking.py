@@ -3,8 +3,8 @@
 A row of a key table names a bucket and a member. Buckets of one member go. A bucket larger
 than a block is cut into blocks by a hash of the member, and each pair of blocks is a group
 of its own, so no task holds a large bucket and every pair of members still meets once.
-Groups return a row a member (its least linked partner and how many links it has there),
-never their pairs.
+Groups return a row a member (the least member that its links reach there, and how many links it
+has), never their pairs.
 """
 
 from __future__ import annotations
@@ -99,39 +99,41 @@ def pairs_in(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Stars:
-    """Collects links between rows; gives each linked row the least member of what it reaches here."""
+    """Collects links between rows; gives each linked row the least member of what it reaches here.
+
+    Components are kept up to date link by link (union by the least member, paths compressed over the
+    whole table at once), so neither a chain's length nor the number of links costs memory.
+    """
 
     def __init__(self, member: np.ndarray, weight: np.ndarray | None = None):
         self.member, self.weight = member, np.ones(len(member), np.int64) if weight is None else weight
-        self.root = member.copy()
+        self.by_rank = np.argsort(member, kind="stable")
+        self.rank = np.empty(len(member), np.int64)
+        self.rank[self.by_rank] = np.arange(len(member))
+        self.parent = np.arange(len(member))  # of ranks; a root is its component's least
         self.links = np.zeros(len(member), np.int64)
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.linked = np.zeros(len(member), bool)
 
     def add(self, a: np.ndarray, b: np.ndarray, counted: np.ndarray | None = None) -> None:
-        self.pairs.append((a, b))
-        np.minimum.at(self.root, a, self.member[b])
-        np.minimum.at(self.root, b, self.member[a])
         for x, y in ((a, b), (b, a)):
+            self.linked[x] = True
             weight = self.weight[y] if counted is None else self.weight[y] * counted
             self.links += np.bincount(x, weight, len(self.links)).astype(np.int64)
+        u, v = self.rank[a], self.rank[b]
+        while True:
+            u, v = self.parent[u], self.parent[v]
+            apart = u != v
+            if not apart.any():
+                return
+            u, v = u[apart], v[apart]
+            np.minimum.at(self.parent, np.maximum(u, v), np.minimum(u, v))
+            while (self.parent != (up := self.parent[self.parent])).any():
+                self.parent = up
 
     def rows(self) -> pa.RecordBatch:
-        """Links between rows give (member, root) edges with the same components as the links: every row points to
-        its least linked partner, and where two linked rows point apart, so do their roots to each other."""
-        linked = np.zeros(len(self.member), bool)
-        root = self.root
-        for _ in range(64):
-            before = root.copy()
-            for a, b in self.pairs:
-                linked[a] = linked[b] = True
-                least = np.minimum(root[a], root[b])
-                np.minimum.at(root, a, least)
-                np.minimum.at(root, b, least)
-            if (before == root).all():
-                break
-        else:
-            raise AssertionError("a group has a longer chain than its block allows")
-        at = np.flatnonzero(linked)
+        """(member, root, links) of the linked rows: edges with the same components as the links."""
+        root = self.member[self.by_rank[self.parent[self.rank]]]
+        at = np.flatnonzero(self.linked)
         return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (self.member, root, self.links)], ["member", "root", "links"])
 
 
