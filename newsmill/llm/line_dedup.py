@@ -5,24 +5,29 @@ ends and with A-Z in lower case. Only 128-bit hashes of the keys travel. A key o
 ``min_chars`` code points that at least ``min_docs`` documents hold is repeated: all its
 lines go except those of the largest id that holds it.
 
-Plan: hashes of a document's lines are written once (ids and hashes, no text). Document
-counts and the keeper of each key are a partial aggregate, so a line that a third of all
-documents hold reaches the final stage as one row a task. Only rows of repeated keys are
-then range-partitioned by document and position, where they become bitmaps, 64 lines a word.
-
-Defined cases: a null or empty text is one empty line; a row with a null id is a document
-whose id is smaller than all others; each row counts as a document, also when rows repeat
-an id; an empty table gives an empty table; other columns are left alone.
+Plan: hashes of a document's lines are written once (ids and hashes, no text). Its long lines
+are range-partitioned by hash and id and sorted by hash, id, text and position. Ids are part of
+the range, so a line that a third of all documents hold is spread over many ranges. One pass
+over each sorted range marks the first occurrence of a key in a document and folds the
+document's places of the key into bitmaps, 64 lines a word; both need no further exchange.
+What a range knows of a key (documents, greatest id) is one row, and these rows are added up
+over the ranges' borders. Bitmaps of repeated keys are joined to one map a document.
+
+Defined cases: a null or empty text is one empty line; rows that repeat an id are one
+document, which null ids are, too (it is smaller than all others); an empty table gives an
+empty table; columns named like a result (n_lines, n_dropped, kept) are replaced, others left
+alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmill.session import materialize
 
 SPACE = " \t\n\x0b\f\r"
+RESULTS = ("n_lines", "n_dropped", "kept")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,15 +57,26 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     )
 
 
-def repeated_keys(hashes: DataFrame, min_docs: int) -> DataFrame:
+def held_lines(hashes: DataFrame) -> DataFrame:
+    """(h1, h2, id, row, word, bits, first): a document's bitmap of each key; one row of a key and id is ``first``."""
+    at = hashes.select("id", "row", F.posexplode("lines").alias("pos", "k")).where(F.col("k").isNotNull())
+    ranged = at.select("k.h1", "k.h2", "id", "row", "pos").repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "row", "pos")
+    first = F.row_number().over(Window.partitionBy("h1", "h2", "id").orderBy("row", "pos")) == 1
+    return (
+        ranged.withColumn("first", first)
+        .groupBy("h1", "h2", "id", "row", F.expr("pos div 64").cast("int").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, pmod(pos, 64))")).alias("bits"), F.bool_or("first").alias("first"))
+    )
+
+
+def repeated_keys(held: DataFrame, min_docs: int) -> DataFrame:
     """(h1, h2, keeper) of the keys that at least ``min_docs`` documents hold."""
-    held = hashes.select("id", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("k"))
     return (
-        held.groupBy("k.h1", "k.h2")
+        held.where("first").groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
-    )
+    )
 
 
 def drop_bitmaps(
@@ -72,18 +88,11 @@ def drop_bitmaps(
     line number div 64 to a bitmap of the lines to drop; words without a bit are left out.
     """
     hashes = materialize(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
+    held = materialize(held_lines(hashes), "held-lines")
     # Written, so that the join stands on two plain exchanges and Spark can split a hot key's rows.
-    keys = materialize(repeated_keys(hashes, min_docs), "repeated-keys")
-    at = hashes.select("id", "row", F.posexplode("lines").alias("pos", "k")).where(F.col("k").isNotNull())
-    at = at.select("id", "row", "pos", "k.h1", "k.h2")
-    gone = at.join(keys, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "row", "pos")
-    bit = F.expr("shiftleft(1L, pmod(pos, 64))")
-    words = (
-        gone.repartitionByRange("id", "row", "pos")
-        .sortWithinPartitions("id", "row", "pos")
-        .groupBy("id", "row", F.expr("pos div 64").cast("int").alias("word"))
-        .agg(F.bit_or(bit).alias("bits"))
-    )
+    keys = materialize(repeated_keys(held, min_docs), "repeated-keys")
+    gone = held.join(keys, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    words = gone.groupBy("id", "row", "word").agg(F.bit_or("bits").alias("bits"))
     return words.groupBy("id", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
@@ -102,8 +111,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     with_lines = joined.withColumn("_lines", lines).withColumn("_dense", F.when(F.col("_words").isNotNull(), dense))
     stays = lambda line, i: F.getbit(F.element_at("_dense", (i / 64).cast("int") + 1), i % 64) == 0
     kept = F.array_join(F.filter("_lines", stays), "\n")
+    others = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in RESULTS]
     return with_lines.select(
-        "_doc.*",
+        *others,
         F.size("_lines").cast("bigint").alias("n_lines"),
         F.coalesce(dropped, F.lit(0)).cast("bigint").alias("n_dropped"),
         F.when(F.col("_words").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias("kept"),

@@ -30,13 +30,13 @@ def ascii_lower(t):
 
 
 def plain_lines(docs, min_chars=40, min_docs=5):
-    """docs: [(id, text)]; id None is smaller than all."""
+    """docs: [(id, text)]; id None is smaller than all; rows of an id are one document."""
     held = defaultdict(list)
     key = lambda line: ascii_lower(line.strip(SPACE))
     rank = lambda i: -math.inf if i is None else i
     for i, t in docs:
         for k in {key(x) for x in (t or "").split("\n")}:
-            if len(k) >= min_chars:
+            if len(k) >= min_chars and i not in held[k]:
                 held[k].append(i)
     keeper = {k: max(v, key=rank) for k, v in held.items() if len(v) >= min_docs}
     out = []
@@ -68,9 +68,11 @@ def test_line_dedup(spark):
 
 def test_line_dedup_of_repeated_rows(spark):
     line = "a line that is certainly longer than forty characters"
-    df = frame(spark, [line, line, line, "z\n" + line, line + "\nq"], ids=[1, 1, 2, 3, 3])
-    got = sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(df).collect())
-    assert got == [(1, 1), (1, 1), (2, 1), (3, 0), (3, 0)]
+    texts, ids = [line, line, line, "z\n" + line, line + "\nq", line, line, line], [1, 1, 2, 3, 3, None, None, 4]
+    for n in (8, 7):  # five documents, then four
+        got = sorted(((r.doc_id or 0, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(frame(spark, texts[:n], ids=ids[:n])).collect()), key=repr)
+        assert got == sorted(((i or 0, a, b) for i, a, b, _ in plain_lines(list(zip(ids[:n], texts[:n])))), key=repr)
+        assert sum(x[2] for x in got) == (7 if n == 8 else 0)
 
 
 # --- secrets
