@@ -35,7 +35,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -365,17 +364,17 @@ def score_with_joins(docs: DataFrame, model: DataFrame, unit: Unit = CHARACTERS)
     known = answers(materialize(wanted.select("gram").distinct(), "asked"), model, unit)
     given = wanted.join(known, "gram")
 
-    def score(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        texts = [None if pd.isna(t) else t for t in own["text"]]
+    def score(own: pa.Table, found: pa.Table) -> pa.Table:
+        texts = own.column("text").to_pylist()
         codes, ends = symbols(texts, unit)
         places = _scored_places(ends, unit)
-        names = gram_names(found["gram"].tolist(), unit)
+        names = gram_names(found.column("gram").to_pylist(), unit)
         order = np.argsort(names, kind="stable")
         at = order[np.searchsorted(names[order], hashes(codes, unit.order)[places])] if len(places) else np.empty(0, int)
-        n, total = _totals(ends, places, found["logp"].to_numpy()[at])
-        return pd.DataFrame({"id": own["id"], "lang": own["lang"], "n_chars": [len(t or "") for t in texts], "n_tokens": n, "logp": total})
+        n, total = _totals(ends, places, found.column("logp").to_numpy()[at])
+        return pa.Table.from_batches([_scored(*(own.column(c).combine_chunks() for c in ("id", "lang", "text")), n, total)])
 
-    return pages.groupBy("page").cogroup(given.groupBy("page")).applyInPandas(score, SCORED)
+    return pages.groupBy("page").cogroup(given.groupBy("page")).applyInArrow(score, SCORED)
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, unit: Unit = CHARACTERS) -> DataFrame:

@@ -64,15 +64,16 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
+    """(id, row, fp): ``row`` is the XXH64 of the text, which tells rows of one id apart; the fingerprint is a signed long."""
     ship_package(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], "<u8").view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(2)], "<u8").view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "row", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "id long, fp long")
+    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "id long, row long, fp long")
 
 
 def segment_masks(segments: int) -> list[int]:
@@ -130,10 +131,22 @@ def fingerprint_components(fps: DataFrame, most: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = 4) -> DataFrame:
-    """(id, fp, component) of every row."""
+    """(id, row, fp, component) of every row."""
     fps = materialize(fingerprints(docs, id_col, text_col, words), "document-fingerprints")
     found = materialize(fingerprint_components(fps, most), "fingerprint-components")
-    return fps.join(found, "fp").select("id", "fp", "component")
+    return fps.join(found, "fp").select("id", "row", "fp", "component")
+
+
+def keepers(found: DataFrame) -> DataFrame:
+    """(id, row, copies): the row that stays of each component, and how many rows equal it in id and text.
+
+    It is the row of the smallest id (a null id is the greatest), of these the one of the smallest
+    text hash. A fingerprint that only rows without an id have is a component of its own.
+    """
+    alone = F.when(F.col("component").isNull(), F.col("fp"))
+    rows = found.groupBy("component", alone.alias("alone"), "id", "row").agg(F.count(F.lit(1)).alias("copies"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "copies")).alias("k")
+    return rows.groupBy("component", "alone").agg(best).select("k.id", "k.row", "k.copies")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
