@@ -39,10 +39,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    found = simhash.near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    stays = docs.join(found, docs["doc_id"].eqNullSafe(found["id"]), "left_semi")
-    return stays.select(*COLUMNS)
+    """Of each group of near-duplicates one row stays: the one of the smallest id.
+
+    Rows are told apart by id and text. Where rows repeat an id, the smallest text hash stays; of
+    rows that repeat both, one stays. Rows without an id stay only where no row of an id is like them.
+    """
+    stays = materialize(simhash.keepers(simhash.near_duplicates(docs)), "keepers")
+    once = _only(docs, stays.where("copies = 1"))
+    repeated = _only(docs, stays.where("copies > 1")).withColumn("_row", F.xxhash64("text"))
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "_row"]).drop("_row"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
