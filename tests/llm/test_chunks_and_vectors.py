@@ -11,38 +11,57 @@ from newsmill.llm import chunk_dedup, embedding_dedup
 from newsmill.llm.batches import joined_bytes
 
 
+def is_unspaced(c):
+    o = ord(c)
+    return 0xE00 <= o < 0xF00 or 0x1000 <= o < 0x10C0 or 0x1780 <= o < 0x1800 or 0x3000 <= o < 0xA000 or o >= 0x20000
+
+
 def plain_chunks(text):
-    """Byte by byte: a chunk ends after white space where the hash of the last bytes is low."""
-    data, out, start = (text or "").encode(), [], 0
-    for i in range(len(data)):
+    """Character by character: a chunk ends where the hash of the last bytes is low for what stands there."""
+    text = text or ""
+    data, out, start, end, since = text.encode(), [], 0, 0, 0
+    for c in text:
+        end += len(c.encode())
+        space = c in " \t\n\x0b\x0c\r"
+        if space:
+            since = end - 1
         h = 0
-        for b in data[max(0, i + 1 - chunk_dedup.WINDOW) : i + 1]:
+        for b in data[max(0, end - chunk_dedup.WINDOW) : end]:
             h = ((h << 2) + int(chunk_dedup.GEAR[b])) & 0xFFFFFFFF
-        end = i + 1
-        if end >= chunk_dedup.WINDOW and chr(data[i]) in " \t\n\x0b\x0c\r" and h < (1 << 32) // chunk_dedup.MEAN_WORDS:
+        n = [chunk_dedup.MEAN_WORDS] * space + [2 * chunk_dedup.MEAN_WORDS] * is_unspaced(c) + [6 * chunk_dedup.MEAN_WORDS] * (end - 1 - since >= chunk_dedup.STRETCH)
+        if end >= chunk_dedup.WINDOW and any(h < (1 << 32) // x for x in n):
             out.append((start, end))
             start = end
     if start < len(data):
         out.append((start, len(data)))
     wide = []
     for a, b in out:
-        whole = b
-        while whole - a > 0:
-            if b - a <= chunk_dedup.MOST_BYTES:
-                break
-            cuts = []
-            for at in range(a + chunk_dedup.MOST_BYTES, b, chunk_dedup.MOST_BYTES):
-                while data[at] & 0xC0 == 0x80:
-                    at -= 1
-                cuts.append(at)
-            edges = [a, *cuts, b]
-            wide += list(zip(edges, edges[1:]))
-            break
-        if b - a <= chunk_dedup.MOST_BYTES:
-            wide.append((a, b))
+        cuts = []
+        for at in range(a + chunk_dedup.MOST_BYTES, b, chunk_dedup.MOST_BYTES):
+            while data[at] & 0xC0 == 0x80:
+                at -= 1
+            cuts.append(at)
+        edges = [a, *cuts, b]
+        wide += list(zip(edges, edges[1:]))
     return [data[a:b] for a, b in wide]
 
 
+def halves(text):
+    """Half words that begin at each byte."""
+    out, before, at, since = [], True, 0, 0
+    for c in text or "":
+        space, n = c in " \t\n\x0b\x0c\r", len(c.encode())
+        if space:
+            since = at
+        for k in range(at, at + n):
+            over = k - since - chunk_dedup.STRETCH
+            first = k == at
+            dense = over >= 0 and over % 3 == 0
+            out.append(1 if first and is_unspaced(c) else 1 if dense else 2 * (first and not space and before))
+        before, at = space, at + n
+    return out
+
+
 def texts(rng, n, words=4000, length=120):
     vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéü", k=rng.randint(2, 9))) for _ in range(words)]
     return [" ".join(rng.choices(vocabulary, k=length)) for _ in range(n)]
@@ -52,7 +71,8 @@ def test_borders_equal_the_plain_rule():
     import pyarrow as pa
 
     rng = random.Random(1)
-    some = [None, "", "x", "é" * 6000, "a " * 100, *texts(rng, 20), "no-space" * 3000]
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3000))
+    some = [None, "", "x", "é" * 6000, "a " * 100, *texts(rng, 20), "no-space" * 3000, han, "ไทย" * 50 + han[:200] + " \U00020001" * 40, "".join(rng.choices("abcdef", k=5000))]
     data, ends = joined_bytes(pa.array(some))
     cut = chunk_dedup.borders(data, ends).tolist()
     raw = data.tobytes()
@@ -61,33 +81,38 @@ def test_borders_equal_the_plain_rule():
         assert [raw[a:b] for a, b in zip(inside, inside[1:])] == plain_chunks(t)
 
 
-def plain_spans(docs, min_words=10):
+def plain_spans(docs, min_words=20):
     held = defaultdict(set)
     chunks = {i: plain_chunks(t) for i, t in docs}
-    for i, cs in chunks.items():
-        for c in cs:
-            held[c].add(i)
+    pairs = {i: list(zip(cs, cs[1:])) if len(cs) != 1 else [(cs[0], b"")] for i, cs in chunks.items()}
+    for i, ps in pairs.items():
+        for p in ps:
+            held[p].add(i)
     out = set()
     for i, cs in chunks.items():
-        hit = [len(held[c]) > 1 for c in cs]
+        h, edge = halves(dict(docs)[i]), np.cumsum([0, *map(len, cs)])
+        size = [sum(h[a:b]) for a, b in zip(edge, edge[1:])]
+        at = np.cumsum([0, *(len(c.decode()) for c in cs)])
+        hit = [len(held[p]) > 1 for p in pairs[i]]
         k = 0
-        while k < len(cs):
+        while k < len(hit):
             if not hit[k]:
                 k += 1
                 continue
             end = k
-            while end < len(cs) and hit[end]:
+            while end < len(hit) and hit[end]:
                 end += 1
-            if sum(len(c.split()) for c in cs[k:end]) >= min_words:
-                at = sum(len(c.decode()) for c in cs[:k])
+            stop = min(end + 1, len(cs))  # chunks k to stop
+            if sum(size[k:stop]) >= 2 * min_words:
+                least = [min(held[p]) for p in pairs[i]]
+                first = [max(least[x] for x in (c - 1, c) if k <= x < end) for c in range(k, stop)]
                 j = k
-                while j < end:
-                    kind, stop = min(held[cs[j]]) == i, j
-                    while stop < end and (min(held[cs[stop]]) == i) == kind:
-                        stop += 1
-                    size = sum(len(c.decode()) for c in cs[j:stop])
-                    out.add((i, at, at + size, sum(len(c.split()) for c in cs[j:stop]), min(min(held[c]) for c in cs[j:stop]), kind))
-                    at, j = at + size, stop
+                while j < stop:
+                    kind, to = first[j - k] == i, j
+                    while to < stop and (first[to - k] == i) == kind:
+                        to += 1
+                    out.add((i, int(at[j]), int(at[to]), sum(size[j:to]) // 2, min(first[j - k : to - k]), kind))
+                    j = to
             k = end
     return out
 
@@ -100,7 +125,8 @@ def planted():
         w = base[i].split(" ")
         at = rng.randrange(len(w))
         base[i] = " ".join(w[:at] + [shared[i % 5]] + w[at:])
-    return base + [base[1], base[3] + " more words here", "", None]
+    odd = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400)) + "abc" * 60 + " ไทย ไทย" * 9
+    return base + [base[1], base[3] + " more words here", "", None, "x" + odd, odd + "y", "x" * 200 + " " + odd]
 
 
 def test_repeats_equal_the_plain_rule(spark):
@@ -109,7 +135,7 @@ def test_repeats_equal_the_plain_rule(spark):
     got = {tuple(r[c] for c in ("id", "start", "end", "n_words", "first_id", "kept")) for r in chunk_dedup.repeats(df).collect()}
     assert got == plain_spans(docs)
     caught = {x[0] for x in got}
-    assert set(range(0, 40, 2)) | {1, 3, 40, 41} == caught
+    assert set(range(0, 40, 2)) | {1, 3, 40, 41, 44, 45, 46} == caught
     assert chunk_dedup.repeats(df.where("false")).count() == 0
 
 
@@ -143,6 +169,19 @@ def test_an_insertion_changes_few_chunks():
     assert len(set(a) - set(b)) <= 4
 
 
+@pytest.mark.parametrize("letters", [(0x4E00, 0x9000), (0x3041, 0x3096), (0xE01, 0xE3A), (0x61, 0x7B)])
+def test_a_shifted_passage_without_white_space_is_found(spark, letters):
+    rng = random.Random(6)
+    some = lambda n: "".join(chr(rng.randrange(*letters)) for _ in range(n))
+    passage = some(3000)
+    docs = [(1, some(701) + passage + some(90)), (2, some(44) + passage), (3, passage[:1500] + "x" + passage[1500:]), (4, some(2000))]
+    cut = plain_chunks(passage[:1500] + "x" + passage[1500:])
+    assert len(set(plain_chunks(passage)) - set(cut)) <= 4
+    got = chunk_dedup.repeats(spark.createDataFrame(docs, "doc_id long, text string"), min_words=1).collect()
+    covered = {i: sum(r.end - r.start for r in got if r.id == i) for i in (1, 2, 3, 4)}
+    assert covered[4] == 0 and all(covered[i] > 2700 for i in (1, 2, 3))
+
+
 # --- vectors
 
 
