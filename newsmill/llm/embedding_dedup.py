@@ -9,16 +9,20 @@ angle around the mean is wider than the vectors' own where they have a common di
 The code is cut into substrings; each is a table, and vectors that agree on a substring are
 candidates. Two vectors of cosine c differ in an angle bit with probability acos(c) / pi,
 whatever the other vectors are; at 0.98 a 16-bit substring agrees with probability 0.35, one of
-16 with probability 0.999. Candidates are reranked with the original
-vectors in double precision; a link counts in the first table that holds it, so links of a
-vector are sums over tables, without any list of pairs.
+16 with probability 0.999. Candidates first meet with their codes alone: a pair whose angle bits
+differ in more places than a linked pair's do (by eight deviations) goes, and only vectors that
+still have a candidate travel. These are reranked with the original vectors in double precision; a
+link counts in the first table that holds it, so links of a vector are sums over tables, without
+any list of pairs.
 
-The fit reads at most ``SAMPLE`` vectors (those of the smallest hashes); all vectors are indexed.
+The fit reads at most ``SAMPLE`` vectors (those of the smallest hashes) of each of the ``FITTED``
+commonest vector lengths; all vectors are indexed. Vectors of other lengths have more angle bits
+in the place of learned ones.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components,
 and one with a null label, links with nothing; vectors of different lengths aren't compared;
 rows with a null id get their vector's component but name none; an empty table gives an
-empty table.
+empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsmill.llm.linking import candidate_groups, components, link_groups
+from newsmill.llm.linking import candidate_groups, components, link_groups, meeting
 from newsmill.session import materialize, ship_package
 
 #: Vectors that the fit reads at most, whatever the table's size.
 SAMPLE = 8192
 CODE_BITS, ANGLE_BITS, TABLE_BITS, ROUNDS = 256, 256, 16, 30
+#: Vector lengths that get a quantiser of their own, the commonest.
+FITTED = 64
 
 
 def quantiser(sample: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -57,11 +63,17 @@ def quantiser(sample: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray
     return mean, np.concatenate(columns, axis=1)[:, :CODE_BITS]
 
 
-def directions(d: int) -> np.ndarray:
+def directions(d: int, bits: int = ANGLE_BITS, seed: int = 0) -> np.ndarray:
     """Random directions as columns, orthogonal as far as there are dimensions; those of a length are always the same."""
-    rng = np.random.default_rng(d)
-    frames = [np.linalg.qr(rng.standard_normal((d, min(d, ANGLE_BITS))))[0] for _ in range(-(-ANGLE_BITS // d))]
-    return np.concatenate(frames, axis=1)[:, :ANGLE_BITS]
+    rng = np.random.default_rng([d, seed])
+    frames = [np.linalg.qr(rng.standard_normal((d, min(d, bits))))[0] for _ in range(-(-bits // d))]
+    return np.concatenate(frames, axis=1)[:, :bits]
+
+
+def most_apart(cosine: float) -> int:
+    """Angle bits in which vectors of at least this cosine differ at most, up to eight deviations."""
+    p = np.arccos(min(max(cosine, -1.0), 1.0)) / np.pi
+    return int(np.ceil(ANGLE_BITS * p + 8 * np.sqrt(ANGLE_BITS * p * (1 - p))))
 
 
 def _valid(v: Column) -> Column:
@@ -69,51 +81,65 @@ def _valid(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of unit length from packed doubles."""
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Rows of unit length, as doubles, from packed floats or doubles."""
     rows = column.to_pylist()
-    x = np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+    kind = "<f4" if rows and len(rows[0]) == 4 * dim else "<f8"
+    x = np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _fit(rows: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").toArrow()
-    return quantiser(_matrix(sample.column("vec")))
+    return quantiser(_matrix(sample.column("vec"), dim))
 
 
 def _pack(vectors: DataFrame) -> DataFrame:
-    """Arrays of numbers to packed doubles."""
+    """Arrays of numbers to packed numbers of their own width."""
     ship_package(vectors.sparkSession)
+    width = 4 if vectors.schema["vec"].dataType.elementType.typeName() == "float" else 8
 
     def run(batches):
         for b in batches:
-            packed = [np.array(v, "<f8").tobytes() for v in b.column("vec").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([len(p) // 8 for p in packed], pa.int32()), pa.array(packed, pa.binary())], ["id", "label", "dim", "vec"])
+            packed = [np.array(v, f"<f{width}").tobytes() for v in b.column("vec").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([len(p) // width for p in packed], pa.int32()), pa.array(packed, pa.binary())], ["id", "label", "dim", "vec"])
 
     return vectors.mapInArrow(run, "id long, label string, dim int, vec binary")
 
 
 def encode(rows: DataFrame) -> DataFrame:
-    """``rows`` (with dim, vec) and their code as bytes; one quantiser for each vector length."""
-    models = {r.dim: (*_fit(rows, r.dim), directions(r.dim)) for r in rows.select("dim").distinct().collect()}
+    """``rows`` (with dim, vec) and their code as bytes, the angle bits last."""
+    common = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(FITTED).collect()
+    models = {r.dim: _fit(rows, r.dim) for r in common}
     names = rows.columns
 
     def run(batches):
         for b in batches:
             code = np.empty((b.num_rows, (CODE_BITS + ANGLE_BITS) // 8), np.uint8)
             dims = b.column("dim").to_numpy()
-            for d in np.unique(dims):
+            for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                mean, projection, angles = models[int(d)]
-                x = _matrix(b.column("vec").take(pa.array(at)))
-                bits = np.concatenate([(x - mean) @ projection >= 0, x @ angles >= 0], axis=1)
+                mean, projection = models.get(d) or (0.0, directions(d, CODE_BITS, 1))
+                x = _matrix(b.column("vec").take(pa.array(at)), d)
+                bits = np.concatenate([(x - mean) @ projection >= 0, x @ directions(d) >= 0], axis=1)
                 code[at] = np.packbits(bits, axis=1, bitorder="little")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in code], pa.binary())], [*names, "code"])
 
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", code binary")
 
 
+def angle_check(least: float):
+    """Pairs that may be linked, by their angle bits."""
+    most = most_apart(least)
+
+    def check(table: pa.Table):
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), "<u8").reshape(table.num_rows, -1)[:, CODE_BITS // 64 :]
+        return lambda a, b: np.bitwise_count(codes[a] ^ codes[b]).sum(1, dtype=np.int64) <= most
+
+    return check
+
+
 def cosine_check(least: float):
     step = TABLE_BITS // 8
 
@@ -126,7 +152,7 @@ def cosine_check(least: float):
         by_dim, place = {}, np.zeros(table.num_rows, np.int64)
         for d in np.unique(dims):
             at = np.flatnonzero(dims == d)
-            by_dim[d] = _matrix(table.column("vec").take(pa.array(at)).combine_chunks())
+            by_dim[d] = _matrix(table.column("vec").take(pa.array(at)).combine_chunks(), int(d))
             place[at] = np.arange(len(at))
 
         def linked(a, b):
@@ -150,7 +176,9 @@ def cosine_check(least: float):
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least_cosine: float = 0.98) -> DataFrame:
     """(id, links, component) of every row: vectors linked directly, and the smallest id that links reach."""
-    named = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    floats = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    vec = F.col(vec_col) if floats else F.col(vec_col).cast("array<double>")
+    named = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), vec.alias("vec"))
     valid = F.col("label").isNotNull() & _valid(F.col("vec"))
     # Null components would fail the packing; such rows never get there.
     packed = materialize(_pack(named.where(valid)), "vectors")
@@ -163,7 +191,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     keys = coded.where("member IS NOT NULL").select("label", "dim", "member", F.explode(tables).alias("x"))
     keys = keys.select(F.xxhash64("label", "dim", "x.t", "x.k").alias("bucket"), F.struct("member", F.col("x.t").alias("t")).alias("member"))
     groups = candidate_groups(keys).select("bucket", "first", "second", "block", F.col("member.member").alias("member"), F.col("member.t").alias("table"))
-    groups = groups.join(coded, "member")
+    may = materialize(meeting(groups.join(coded.select("member", "code"), "member"), angle_check(least_cosine)), "candidates")
+    groups = may.join(coded, "member")
     linked = materialize(link_groups(groups, cosine_check(least_cosine), weighted=True), "stars")
     counts = linked.groupBy("member").agg(F.sum("links").alias("n"))
     found = components(linked.select(F.col("member").alias("u"), F.col("root").alias("v")))
@@ -182,3 +211,20 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), F.col("links").alias("n_links"), F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach AS (
+  SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, l.b FROM reach JOIN l ON l.a = reach.r
+), n AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT reach.vec_id::BIGINT AS vec_id, coalesce(max(n.n), 0)::BIGINT AS n_links, min(r)::BIGINT AS component_id, reach.vec_id = min(r) AS kept
+FROM reach LEFT JOIN n ON n.a = reach.vec_id GROUP BY reach.vec_id
+"""

@@ -161,6 +161,22 @@ def link_groups(rows: DataFrame, check: Callable[[pa.Table], Callable], weighted
     return grouped(rows).mapInArrow(run, STARS)
 
 
+def meeting(rows: DataFrame, check: Callable[[pa.Table], Callable]) -> DataFrame:
+    """The rows of candidate groups that pass ``check`` with at least one other row of their group (bucket, first, second, block, member, table)."""
+    names = ["bucket", "first", "second", "block", "member", "table"]
+
+    def run(batches):
+        for table in whole_groups(batches):
+            test = check(table)
+            keep = np.zeros(table.num_rows, bool)
+            for a, b in pairs_in(table):
+                near = test(a, b)
+                keep[a[near]] = keep[b[near]] = True
+            yield from table.select(names).filter(pa.array(keep)).to_batches()
+
+    return grouped(rows).mapInArrow(run, "bucket long, first int, second int, block int, member long, table int")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v); a component's name is its least node.
 

@@ -249,6 +249,29 @@ def test_odd_vectors(spark):
     assert found(spark, same) == {i: (499, 0) for i in range(500)}
 
 
+def test_ragged_lengths_and_doubles(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "FITTED", 2)
+    rng = np.random.default_rng(4)
+    rows = []
+    for d in (3, 5, 8, 8, 8, 40):
+        x = clustered(rng, 10, d, 0.15)
+        rows += [(len(rows) + i, v, 1) for i, v in enumerate(x.tolist())]
+    exact = brute(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.id: (r.links, r.component) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(n for n, _ in exact.values()) > 200 and sum(n for n, _ in got.values()) >= 0.98 * sum(n for n, _ in exact.values())
+    assert all(got[i][0] <= exact[i][0] for i in exact)
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{d}/embeddings.parquet')")
+    assert sorted(map(tuple, con.execute(embedding_dedup.SQL).fetchall())) == sorted(map(tuple, embedding_dedup.query(spark, d).collect()))
+
+
 def test_codes_are_balanced(spark):
     x = np.random.default_rng(9).standard_normal((2000, 64)) + 3.0
     mean, projection = embedding_dedup.quantiser(x)
