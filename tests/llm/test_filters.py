@@ -104,12 +104,18 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(df.where("false")).count() == 0
 
 
-def cheapest(value):
+def cheapest(value, rank):
     """The least cost over all segmentations, by recursion over the first segment."""
     from functools import lru_cache
 
     S = secret_scan
 
+    def whole_repeats(low, size):
+        k = 1
+        while low[k * size : (k + 1) * size] == low[:size]:
+            k += 1
+        return k
+
     @lru_cache(None)
     def best(i, in_brute):
         if i == len(value):
@@ -120,8 +126,11 @@ def cheapest(value):
             out.append(best(i + 1, False) + S.JOINT_COST)
         for j in range(i + 1, len(value) + 1):
             part, low = value[i:j], value[i:j].lower()
-            if len(part) > 1 and low in S.RANK:
-                out.append(best(j, False) + S.SEGMENT_COST + math.log10(S.RANK[low]) + (0.6 if part != low else 0))
+            if len(part) > 1 and low in rank:
+                out.append(best(j, False) + S.SEGMENT_COST + math.log10(rank[low]) + (0.6 if part != low else 0))
+            if 2 <= len(part) <= S.UNIT and (k := whole_repeats(value[i:].lower(), len(part))) > 1:
+                unit = min(sum(map(S._class_cost, part)), math.log10(rank.get(low, 10**99)))
+                out.append(best(i + k * len(part), False) + S.SEGMENT_COST + unit + math.log10(k))
             if (m := S.DATE.match(value, i)) and m.end() == j:
                 out.append(best(j, False) + S.SEGMENT_COST + (4.6 if len(part) > 4 else 2.1))
             if len(part) >= 3:
@@ -134,16 +143,30 @@ def cheapest(value):
     return best(0, False)
 
 
-@pytest.mark.parametrize("value", ["password", "Password1", "qwerty123", "aaaa", "zzxcvbn", "summer2019", "19990101x", "your_api_key", "Xk9#mQ2$vLp7", "abcabc", "p", "hunter22", "aaabbb", "lkjhpoiu"])
+@pytest.mark.parametrize("value", ["password", "Password1", "qwerty123", "aaaa", "zzxcvbn", "summer2019", "19990101x", "your_api_key", "Xk9#mQ2$vLp7", "abcabc", "p", "hunter22", "aaabbb", "lkjhpoiu", "x7kx7kx7k!", "dragonDragon", "correct horse battery", "zażółćzażółć"])
 def test_guess_cost_is_the_least(value):
-    assert secret_scan.log10_guesses(value) == pytest.approx(cheapest(value))
+    for words in ([], ["correct", "horse", "zażółć"]):
+        g = secret_scan.Guesser(words)
+        assert g.log10_guesses(value) == pytest.approx(cheapest(value, g.rank))
 
 
 def test_guess_cost_tells_secrets_from_placeholders():
-    for weak in ("password123", "changeme", "your_api_key_here", "qwertyuiop", "aaaaaaaaaaaa", "2024-01-31"):
-        assert secret_scan.log10_guesses(weak) < 10
+    g = secret_scan.Guesser()
+    for weak in ("password123", "changeme", "your_api_key_here", "qwertyuiop", "aaaaaaaaaaaa", "2024-01-31", "x1x1x1x1x1x1x1x1"):
+        assert g.log10_guesses(weak) < 10
     for strong in ("Xk9#mQ2$vLp7", "f33e61083db5dbdf4bd2369d2f80176e", "tR7!pQz0&wLm"):
-        assert secret_scan.log10_guesses(strong) >= 10
+        assert g.log10_guesses(strong) >= 10
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    texts = ["It was successful and available, an important incorrect thing."] * 4 + ["SUCCESSFUL available", "login: successful", "auth: incorrect.", "pwd: 'correct horse battery staple zebra'", "auth = Zq8vNw3rTx"]
+    df = frame(spark, texts)
+    words = secret_scan.ranked_words(df, least_docs=5)
+    counts = Counter(w for t in texts for w in set(re.findall(r"[^\W\d_]+", t.lower())) if 3 <= len(w) <= 24)
+    assert words == sorted((w for w, n in counts.items() if n >= 5), key=lambda w: (-counts[w], w))
+    got = {r.doc_id: [(x.kind, x.value) for x in r.secrets] for r in secret_scan.find_secrets(df, words=[*words, "incorrect"]).collect()}
+    assert got == {**{i: [] for i in range(7)}, 7: [("guess", "correct horse battery staple zebra")], 8: [("guess", "Zq8vNw3rTx")]}
+    assert secret_scan.ranked_words(df.where("false")) == [] and secret_scan.ranked_words(df, most=1, least_docs=1) == words[:1]
 
 
 def test_redaction(spark):
