@@ -75,10 +75,24 @@ def test_shards_round_trip_and_lookup(spark, docs, tmp_path):
         by_id.setdefault(d, []).append(ids)
     for r in got:
         assert r.ids_crc32 in [zlib.crc32(np.array(x, "<u4").tobytes()) for x in by_id[r.doc_id]]
-    found = sorted_shards.lookup(spark, path, [3, -5, 8, 77]).collect()
-    assert sorted(r.doc_id for r in found) == [-5, 3, 3, 8]
-    for r in found:
-        assert np.frombuffer(bytes(r.ids), "<u2").tolist() in by_id[r.doc_id]
+    found = sorted_shards.lookup(spark, path, [3, -5, 8, 77, None])
+    assert [i for i, _ in found] == [None, -5, 3, 3, 8]
+    for i, ids in found:
+        assert np.frombuffer(ids, "<u2").tolist() in by_id[i]
+
+
+def test_shards_roll_and_lookups_read_blocks(spark, tmp_path):
+    path = f"{tmp_path}/rolled"
+    df = spark.range(400).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text")).repartition(2)
+    sorted_shards.write_shards(df, path, shard_blocks=4, block_bytes=200)
+    feet = sorted_shards.footers(spark, path).collect()
+    assert len(feet) > 8 and sum(r.n_docs for r in feet) == 400
+    assert all(a.last_id < b.first_id for a, b in zip(sorted(feet, key=lambda r: r.first_id), sorted(feet, key=lambda r: r.first_id)[1:]))
+    rows = sorted_shards.token_starts(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [3 * i for i in range(400)]
+    assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows][:-1]]).tolist()
+    assert sorted_shards.places(spark, path, [600]).count() <= 2
+    assert [i for i, _ in sorted_shards.lookup(spark, path, [600, 601, 9999, 0, 1197])] == [0, 600, 1197]
 
 
 def test_shards_of_an_empty_table(spark, docs, tmp_path):
