@@ -196,18 +196,36 @@ def test_statistics(text):
     assert quality_rules.text_statistics(text)[:5] == plain_statistics(text)
 
 
-def plain_mcd(x, inner=0.75, steps=3):
+def plain_mcd(x, inner=0.75):
     """The same estimate with numpy over one group."""
-    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
-    scale = np.maximum((q[2] - q[0]) / 1.349, quality_rules.FLOORS)
-    d = (((x - q[1]) / scale) ** 2).sum(1)
-    spread = inner / quality_rules.chi_squared_cdf(quality_rules.chi_squared_quantile(inner, quality_rules.D), quality_rules.D + 2)
-    for _ in range(steps):
-        near = x[d <= np.quantile(d, inner, method="inverted_cdf")]
-        cov = spread * np.cov(near.T, bias=True) + np.diag(quality_rules.FLOORS**2)
-        y = x - near.mean(0)
-        d = (y @ np.linalg.inv(cov) * y).sum(1)
-    return d
+    Q = quality_rules
+
+    def matrix(triangle):
+        w = np.zeros((Q.D, Q.D))
+        w[np.tril_indices(Q.D)] = triangle
+        return w
+
+    def distances(m, w):
+        return (((x - m) @ matrix(w).T) ** 2).sum(1)
+
+    bins = np.floor(x / Q.FLOORS * Q.BINS)
+    low, mid, high = np.quantile(bins, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    scale = np.maximum((high - low) * Q.FLOORS / Q.BINS / 1.349, Q.FLOORS)
+    middle = (mid + 0.5) * Q.FLOORS / Q.BINS
+    cut = np.cov(np.clip((x - middle) / scale, -Q.WRAP, Q.WRAP).T, bias=True)
+    spread = inner / Q.chi_squared_cdf(Q.chi_squared_quantile(inner, Q.D), Q.D + 2)
+    found = []
+    for cov in (np.diag(scale**2), cut * np.outer(scale, scale)):
+        m, w, old = middle, Q.whitened(cov)[0], math.inf
+        while True:
+            b = np.floor(np.log2(distances(m, w) + 1e-9) * Q.FINE)
+            near = x[b <= np.sort(b)[math.ceil(inner * len(b)) - 1]]
+            m, (w, logdet) = near.mean(0), Q.whitened(spread * np.cov(near.T, bias=True))
+            if logdet >= old - Q.LEAST_GAIN:
+                break
+            old = logdet
+        found.append((logdet, distances(m, w)))
+    return min(found, key=lambda f: f[0])[1]
 
 
 def vector(t):
@@ -232,6 +250,9 @@ def test_quality_rules(spark):
     assert [rows[i].distance for i in fit] == pytest.approx(plain_mcd(np.array([vector(texts[i]) for i in fit])), rel=1e-6)
     assert all(rows[i].kept for i in range(150)) and not any(rows[i].kept for i in range(150, len(texts)))
     assert rows[158].distance is None
+    again = {r.doc_id: r.distance for r in quality_rules.judge(df.repartition(7), carry=("doc_id", "stats", "n_chars")).collect()}
+    assert again == pytest.approx({i: r.distance for i, r in rows.items()})
+    assert quality_rules.judge(df.withColumn("kept", F.lit("x")), carry=("doc_id", "kept")).columns.count("kept") == 1
     assert quality_rules.judge(df.where("false")).count() == 0
 
 
