@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsmill.functions import wordlists as L
+from newsmill.functions.repeats import repeated_phrases
 
 VN = "[" + L.vietnamese_letters() + "]"
 LETTER = r"\p{L}"
 URL = r"(?i)https?://\S+"
 CAPS = r"(?U)\b[A-ZÀÁẠẢÃÂẦẤẬẨẪĂẰẮẶẲẴ]{5,}\b"
-REPEATED = r"(.{10,}?)\1{2,}"
 
 
 def strip(c: Column) -> Column:
@@ -35,17 +36,17 @@ def quoted(keywords: list[str]) -> str:
 # --- cleaning
 
 
-def distinct_paragraphs(text: Column) -> Column:
-    """The first of each paragraph, untrimmed; equal means equal when trimmed; blank ones go."""
-    paragraphs = F.filter(F.split(text, "\n\n"), lambda p: strip(p) != "")
-    start = F.array().cast("array<struct<key:string,raw:string>>")
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    def keep(seen: Column, p: Column) -> Column:
-        key = strip(p)
-        again = F.exists(seen, lambda s: s["key"] == key)
-        return F.when(again, seen).otherwise(F.concat(seen, F.array(F.struct(key.alias("key"), p.alias("raw")))))
 
-    return F.array_join(F.transform(F.aggregate(paragraphs, start, keep), lambda s: s["raw"]), "\n\n")
+def distinct_paragraphs(text: Column) -> Column:
+    """The first of each paragraph, untrimmed; equal means equal when trimmed; blank ones go."""
+    keyed = F.filter(F.transform(F.split(text, "\n\n"), lambda p, i: F.struct(strip(p).alias("key"), i.alias("i"), p.alias("raw"))), lambda s: s["key"] != "")
+    first = lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["key"] != x["key"]))
+    in_order = F.sort_array(F.transform(_let(F.sort_array(keyed), first), lambda x: F.struct(x["i"].alias("i"), x["raw"].alias("raw"))))
+    return F.array_join(F.transform(in_order, lambda x: x["raw"]), "\n\n")
 
 
 def without_artifacts(text: Column) -> Column:
@@ -74,17 +75,23 @@ def structure_score(text: Column) -> Column:
     return F.least(F.lit(1.0), F.size(F.filter(F.split(text, "\n\n"), lambda p: strip(p) != "")) / 3.0)
 
 
+def count_of(text: Column, without: Column) -> Column:
+    return F.char_length(text) - F.char_length(without)
+
+
 def vietnamese_ratio(text: Column) -> Column:
-    letters = F.regexp_count(text, F.lit(LETTER))
-    return F.when(letters == 0, 0.0).otherwise(F.least(F.lit(1.0), F.regexp_count(text, F.lit(VN)) / letters))
+    """Letters with Vietnamese marks among all letters, counted by what is left when they are taken out."""
+    letters = count_of(text, F.regexp_replace(text, LETTER + "+", ""))
+    marked = count_of(text, F.translate(text, L.vietnamese_letters(), ""))
+    return F.when(letters == 0, 0.0).otherwise(F.least(F.lit(1.0), marked / letters))
 
 
-def spam_score(text: Column, repeats: bool = True) -> Column:
-    """``repeats``: count repeated phrases too; their pattern looks back and is slow on long texts."""
+def spam_score(text: Column) -> Column:
+    """The mean of links, words in capitals and repeated phrases."""
     n = F.greatest(F.size(words(text)), F.lit(1))
     urls = F.least(F.lit(1.0), F.regexp_count(text, F.lit(URL)) * 10.0 / n)
     caps = F.least(F.lit(1.0), F.regexp_count(text, F.lit(CAPS)) / 5.0)
-    again = F.least(F.lit(1.0), F.regexp_count(text, F.lit(REPEATED)) / 3.0) if repeats else F.lit(0.0)
+    again = F.least(F.lit(1.0), repeated_phrases(text) / 3.0)
     return F.when(strip(text) == "", 0.0).otherwise((urls + caps + again) / 3.0)
 
 
@@ -157,9 +164,11 @@ def moderation(url: Column, title: Column, text: Column, blocked: list[str] = L.
 # --- language and summaries
 
 
-def language(text: Column, least: float = 0.05) -> Column:
-    """'vi' for short texts or many Vietnamese letters among the first 2000 characters, else 'other'."""
-    return F.when(F.char_length(strip(text)) < 20, "vi").when(vietnamese_ratio(F.substring(text, 1, 2000)) >= least, "vi").otherwise("other")
+def language(text: Column, least: float = 0.05, detector: Callable[[Column], Column] | None = None) -> Column:
+    """'vi' for short texts or many Vietnamese letters among the first 2000 characters; else what ``detector``
+    makes of the first 3000 ('vi' if that is null), or 'other' without one. The two lengths belong to the rule."""
+    rest = F.lit("other") if detector is None else F.coalesce(detector(F.substring(text, 1, 3000)), F.lit("vi"))
+    return F.when(F.char_length(strip(text)) < 20, "vi").when(vietnamese_ratio(F.substring(text, 1, 2000)) >= least, "vi").otherwise(rest)
 
 
 def translated(text: Column, translation: Column, language_: Column, least: float = 0.3) -> Column:
@@ -176,7 +185,7 @@ def first_words(text: Column, n: int = 12) -> Column:
     return F.array_join(F.slice(words(text), 1, n), " ")
 
 
-def extractive_summary(text: Column, reasons: list[str] = L.GENERIC_REASONS) -> Column:
+def extractive_summary(text: Column, reasons: list[str] = L.FALLBACK_REASONS) -> Column:
     """struct(title_ai, summary_bullets of three, reason); the reason follows from the text's hash."""
     s = sentences(text)
     title = F.when(F.size(s) > 0, first_words(s[0])).otherwise(F.substring(text, 1, 80))
@@ -216,3 +225,35 @@ def summary_scores(title: Column, bullets: Column, reason: Column, original: Col
     names = ("title_length", "bullet_count", "bullet_length", "reason", "no_invented_urls")
     scores = (title_score, bullet_count, bullet_length, reason_score, faithful)
     return F.struct(*[s.alias(k) for s, k in zip(scores, names)], overall.alias("overall"), (overall >= 0.6).alias("valid"))
+
+
+# --- prompts, batches of articles, attempts
+
+
+def prompt(text: Column, topic: Column, templates: dict[str, str], default: str, most: int = 4000) -> Column:
+    """The topic's template, or the default one, with the article in the place of ``{text}``; an article's first ``most`` characters are what a model takes."""
+    named = F.create_map(*[F.lit(x) for kv in templates.items() for x in kv]) if templates else F.create_map().cast("map<string,string>")
+    return F.replace(F.coalesce(F.try_element_at(named, topic), F.lit(default)), F.lit("{text}"), F.substring(text, 1, most))
+
+
+def batch_prompt(texts: Column, head: str, most: int = 4000) -> Column:
+    """One prompt of several articles, each after a line ``[ARTICLE n]``."""
+    marked = F.transform(texts, lambda t, i: F.concat(F.lit("\n[ARTICLE "), (i + 1).cast("string"), F.lit("]\n"), F.substring(t, 1, most), F.lit("\n")))
+    return F.replace(F.replace(F.lit(head), F.lit("{count}"), F.size(texts).cast("string")), F.lit("{articles}"), F.array_join(marked, ""))
+
+
+def batch_replies(raw: Column, count: Column) -> Column:
+    """The part of a reply that belongs to each article, from 1 to ``count``: what stands after its last mark, or null."""
+    parts = F.slice(F.split(raw, r"\[ARTICLE\s+(?=\d+\])"), 2, F.greatest(F.size(F.split(raw, r"\[ARTICLE\s+(?=\d+\])")) - 1, F.lit(1)))
+    named = F.transform(parts, lambda p: F.struct(F.try_to_number(F.regexp_extract(p, r"^(\d+)\]", 1), F.lit("9" * 18)).cast("bigint").alias("n"), F.regexp_replace(p, r"^\d+\]", "").alias("part")))
+    return F.transform(F.sequence(F.lit(1), count), lambda k: F.try_element_at(F.filter(named, lambda x: x["n"] == k), F.lit(-1))["part"])
+
+
+def report_text(text: Column, most: int = 500) -> Column:
+    """What a reader's report keeps: no tags, trimmed, 500 characters (the form's limit)."""
+    return F.substring(strip(F.regexp_replace(text, "<[^>]*>", "")), 1, most)
+
+
+def first_content(*extractors: Column) -> Column:
+    """What the first extractor found that found anything."""
+    return F.coalesce(*[F.when(strip(x) != "", x) for x in extractors])

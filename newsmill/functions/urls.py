@@ -21,6 +21,21 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.substring(text, 1, 4000), 256)
 
 
+def ip_hash(address: Column) -> Column:
+    """Sixteen hex digits that stand for an address."""
+    return F.substring(F.sha2(address, 256), 1, 16)
+
+
+def etag(ids: Column) -> Column:
+    """A page's mark: the hash of its ids as a JSON list."""
+    return F.md5(F.to_json(ids))
+
+
+def is_image_url(url: Column) -> Column:
+    """Whether an image's address can be asked for; asking is the crawler's work."""
+    return F.coalesce(F.startswith(url, F.lit("http")), F.lit(False))
+
+
 def authority(url: Column) -> Column:
     """Host with port and user, in lower case; empty without one."""
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))

@@ -26,7 +26,6 @@ class Settings:
     window_hours: int = 48
     title_threshold: float = 0.8
     embed_threshold: float = 0.8
-    repeated_phrases: bool = False
 
 
 def process(articles: DataFrame, known_urls: DataFrame | None, settings: Settings = Settings()) -> DataFrame:
@@ -43,7 +42,7 @@ def process(articles: DataFrame, known_urls: DataFrame | None, settings: Setting
         known = known_urls.select(url_hash(F.col("url")).alias("h")).distinct().withColumn("known", F.lit(True))
         rows = rows.withColumn("h", url_hash(F.col("url"))).join(known, "h", "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("h")
     t = F.col("text")
-    quality = X.overall_quality(X.length_score(t), X.structure_score(t), X.vietnamese_ratio(t), X.spam_score(t, s.repeated_phrases))
+    quality = X.overall_quality(X.length_score(t), X.structure_score(t), X.vietnamese_ratio(t), X.spam_score(t))
     rows = rows.withColumn("quality", quality).withColumn("m", X.moderation(F.col("url"), F.col("title_original"), t, s.blocked, s.flagged, list(s.block_domains), list(s.allow_domains)))
     gate = (
         F.when(F.col("known"), "duplicate").when(F.col("m.status") == "blocked", "blocked")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from newsmill.operators.engagement import since
 from newsmill.session import ship_package
@@ -37,22 +38,26 @@ def subscribers(users: DataFrame, topics: DataFrame) -> DataFrame:
 
 def within_caps(candidates: DataFrame, by_type: dict[str, int], overall: int, hours: int = 24) -> DataFrame:
     """``candidates`` (user_id, article_id, type, created_at) and accepted: at most ``overall`` and ``by_type`` accepted
-    ones in the hours before. Refused candidates don't count, so this is a fold over each user's rows in time."""
+    ones in the hours before. Refused candidates don't count, so this is a fold over a user's rows in time: rows come
+    sorted by user and time, and what is carried along is what the present user accepted within the hours."""
     ship_package(candidates.sparkSession)
-    span = pd.Timedelta(hours=hours)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["created_at", "article_id", "type"], kind="stable")
-        sent: deque = deque()
-        accepted = []
-        for t, kind in zip(rows["created_at"], rows["type"]):
-            while sent and t - sent[0][0] >= span:
-                sent.popleft()
-            ok = len(sent) < overall and sum(k == kind for _, k in sent) < by_type.get(kind, overall)
-            if ok:
-                sent.append((t, kind))
-            accepted.append(ok)
-        return rows.assign(accepted=accepted)
-
-    schema = "user_id long, article_id long, type string, created_at timestamp_ntz, accepted boolean"
-    return candidates.select("user_id", "article_id", "type", "created_at").groupBy("user_id").applyInPandas(fold, schema)
+    span = hours * 3_600_000_000
+
+    def fold(batches):
+        user, sent = None, deque()
+        for b in batches:
+            accepted = []
+            for u, t, kind in zip(b.column("user_id").to_pylist(), b.column("created_at").cast("int64").to_pylist(), b.column("type").to_pylist()):
+                if u != user:
+                    user, sent = u, deque()
+                while sent and t - sent[0][0] >= span:
+                    sent.popleft()
+                ok = len(sent) < overall and sum(k == kind for _, k in sent) < by_type.get(kind, overall)
+                if ok:
+                    sent.append((t, kind))
+                accepted.append(ok)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(accepted, pa.bool_())], [*b.schema.names, "accepted"])
+
+    rows = candidates.select("user_id", "article_id", "type", "created_at").where("created_at IS NOT NULL")
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "created_at", "article_id", "type")
+    return rows.mapInArrow(fold, StructType([*rows.schema.fields, StructField("accepted", BooleanType())]))
