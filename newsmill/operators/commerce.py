@@ -83,3 +83,76 @@ def subscription_intervals(payments: DataFrame) -> DataFrame:
 def auto_hide(reports: DataFrame, least: int = 3) -> DataFrame:
     """Articles that at least ``least`` different users reported."""
     return reports.groupBy("article_id").agg(F.count_distinct("user_id").alias("reporters")).where(F.col("reporters") >= least)
+
+
+def affiliate_totals(links: DataFrame) -> DataFrame:
+    return links.agg(F.coalesce(F.sum("clicks"), F.lit(0)).alias("clicks"), F.coalesce(F.sum("impressions"), F.lit(0)).alias("impressions"))
+
+
+def active_subscription(subscriptions: DataFrame, as_of: str) -> DataFrame:
+    """Each user's subscription that is active or on trial and hasn't expired; of several the first by id."""
+    live = subscriptions.where(F.col("status").isin("active", "trial") & (F.col("expires_on") > F.lit(as_of).cast("date")))
+    return live.groupBy("user_id").agg(F.min_by(F.struct("subscription_id", "status", "expires_on"), "subscription_id").alias("s")).select("user_id", "s.*")
+
+
+def crawlable(sources: DataFrame, as_of: str) -> DataFrame:
+    """``sources`` (auto_disabled, disabled_until, failures) with decision: ``skip`` while disabled, ``re-enable`` after it (the failures start anew), else ``crawl``."""
+    skip = F.col("auto_disabled") & (F.col("disabled_until") > F.lit(as_of).cast("timestamp_ntz"))
+    decision = F.when(F.coalesce(skip, F.lit(False)), "skip").when(F.col("auto_disabled"), "re-enable").otherwise("crawl")
+    out = sources.withColumn("decision", decision)
+    again = F.col("decision") == "re-enable"
+    return out.withColumn("failures", F.when(again, 0).otherwise(F.col("failures"))).withColumn("auto_disabled", F.col("auto_disabled") & ~again).withColumn("disabled_until", F.when(~again, F.col("disabled_until")))
+
+
+def delete_keys(existing: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """``existing`` without the rows of ``keys``; unknown keys delete nothing."""
+    return existing.join(keys.select(*by).distinct(), by, "left_anti")
+
+
+def domain_delays(requests: DataFrame, least_micros: int = 1_500_000) -> DataFrame:
+    """When each request (request_id, domain, at) is made if a domain's requests keep a distance.
+
+    Each waits for the one before: the greatest of its own time and that one's plus the distance. Unrolled,
+    this is n distances and the greatest of (at - n distances) so far, a running maximum.
+    """
+    w = Window.partitionBy("domain").orderBy("at", "request_id")
+    behind = F.row_number().over(w) * F.lit(least_micros)
+    rows = requests.withColumn("_behind", behind)
+    made = F.max(F.col("at") - F.col("_behind")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_behind")
+    return rows.withColumn("made_at", made).withColumn("waited", F.col("made_at") - F.col("at")).drop("_behind")
+
+
+def domain_stats(requests: DataFrame, now_micros: int, most: int = 20) -> DataFrame:
+    """The ``most`` domains asked last and the seconds since, in tenths."""
+    last = requests.groupBy("domain").agg(F.max("at").alias("last")).orderBy(F.desc("last"), "domain").limit(most)
+    return last.select("domain", half_up((F.lit(now_micros) - F.col("last")) / 1e6, 1).alias("last_request_ago_sec"))
+
+
+def provider_status(calls: DataFrame, most: int | None = None) -> DataFrame:
+    """Each provider's calls (provider, ok): rate in thousandths, healthy below three calls or from one half, use of the limit."""
+    total, rate = F.count(F.lit(1)), F.count_if("ok") / F.count(F.lit(1))
+    use = F.lit(None).cast("double") if most is None else half_up(total / float(most) * 100.0, 1)
+    return calls.groupBy("provider").agg(total.alias("total"), half_up(rate, 3).alias("success_rate"), ((total < 3) | (rate >= 0.5)).alias("healthy"), use.alias("usage_pct"))
+
+
+def classifier_metrics(classified: DataFrame) -> DataFrame:
+    """total, keyword_hits, llm_calls, cache_hits and the rate of hits over classified articles (via)."""
+    n = lambda v: F.count_if(F.col("via") == v)
+    rate = half_up(n("keyword") / F.greatest(F.count(F.lit(1)), F.lit(1)), 3)
+    return classified.agg(F.count(F.lit(1)).alias("total"), n("keyword").alias("keyword_hits"), n("model").alias("llm_calls"), n("cache").alias("cache_hits"), rate.alias("keyword_hit_rate"))
+
+
+def recent_records(records: DataFrame, key: str, order: str, tie: str, most: int = 1000) -> DataFrame:
+    """What a bounded list of records holds for each key: the last ``most``."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc(tie))
+    return records.withColumn("age", F.row_number().over(w)).where(F.col("age") <= most)
+
+
+def best_summary(attempts: DataFrame, fallback: DataFrame, least: float = 0.6) -> DataFrame:
+    """(article_id, attempt, quality, provider): of an article's attempts (article_id, attempt, quality, provider) the first of
+    enough quality, else the best above zero, else what ``fallback`` (article_id) has, with quality 0."""
+    good = F.col("quality") >= least
+    order = F.struct(good.alias("good"), F.when(good, F.lit(0.0)).otherwise(F.col("quality")).alias("q"), (-F.col("attempt")).alias("a"))
+    best = attempts.where("quality > 0").groupBy("article_id").agg(F.max_by(F.struct("attempt", "quality", "provider"), order).alias("b"))
+    joined = fallback.select("article_id").join(best, "article_id", "left")
+    return joined.select("article_id", "b.attempt", F.coalesce("b.quality", F.lit(0.0)).alias("quality"), F.coalesce("b.provider", F.lit("extractive_fallback")).alias("provider"))

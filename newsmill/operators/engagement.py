@@ -106,3 +106,18 @@ def preferences(interactions: DataFrame, articles: DataFrame, latest: int = 50)
 
 def expire(df: DataFrame, as_of: str, days: int, time: str = "created_at") -> DataFrame:
     return since(df, as_of, f"{days} DAYS", time)
+
+
+def gated_views(interactions: DataFrame, opens: tuple[str, ...]) -> DataFrame:
+    """Views of each user and day that count: those from the day's first action in ``opens`` on, for that makes the day's row; days without one have no row."""
+    day = F.to_date("created_at")
+    opened = interactions.where(F.col("action").isin(*opens)).groupBy("user_id", day.alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.min("created_at").alias("opened_at"))
+    views = interactions.where("action = 'view'").select("user_id", day.alias("day"), "created_at")
+    counted = views.join(opened, ["user_id", "day"]).where("created_at >= opened_at").groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("articles_viewed"))
+    return opened.join(counted, ["user_id", "day"], "left").select("user_id", "day", "sessions", F.coalesce("articles_viewed", F.lit(0)).alias("articles_viewed"))
+
+
+def unique_users(rollup: DataFrame, dau: DataFrame) -> DataFrame:
+    """``rollup`` (day, unique_users) with the activity's daily users (day, active_users) in their place, where these are known and not zero."""
+    users = F.coalesce(F.nullif("active_users", F.lit(0)), F.col("unique_users"))
+    return rollup.join(dau, "day", "left").withColumn("unique_users", users).drop("active_users")

@@ -55,8 +55,9 @@ def cursor_page(df: DataFrame, cursor: int | None, size: int, key: str = "articl
     return got.withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > size).orderBy(F.desc(key)).limit(size)
 
 
-def interleave(items: DataFrame, ads: DataFrame, every: int = 5) -> DataFrame:
-    """Ads after each ``every`` items. ``items``: item_id, pos; ``ads``: ad_id, pos; positions from 1."""
+def interleave(items: DataFrame, ads: DataFrame, every: int = 5, most: int = 50) -> DataFrame:
+    """Ads after each ``every`` items of a page. ``items``: item_id, pos; ``ads``: ad_id, pos; positions from 1, a page has at most ``most``."""
+    items, ads = items.where(F.col("pos") <= most), ads.where(F.col("pos") <= most)
     slots = F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / every)
     n = items.withColumn("slots", slots)
     rows = n.select(F.lit("article").alias("kind"), F.col("item_id").alias("id"), F.col("pos").alias("major"), F.lit(0).alias("minor"))
@@ -66,10 +67,14 @@ def interleave(items: DataFrame, ads: DataFrame, every: int = 5) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.orderBy("major", "minor"))).select("position", "kind", "id")
 
 
-def personalise(articles: DataFrame, weights: DataFrame, as_of: str, k: int = 10) -> DataFrame:
-    """Each user's k best of ``articles`` by topic weight (0.1 for others) and recency."""
+def personalise(articles: DataFrame, weights: DataFrame, as_of: str, k: int = 10, most: int = 50) -> DataFrame:
+    """Each user's k best of ``articles`` (article_id, topic, created_at, rank) by topic weight (0.1 for others) and recency.
+
+    It is a list of ``most`` by rank, as a page asks for, that is ordered anew for each user.
+    """
     users = weights.select("user_id").distinct()
-    pairs = users.crossJoin(articles.select("article_id", "topic", "created_at")).join(weights, ["user_id", "topic"], "left")
+    few = articles.select("article_id", "topic", "created_at", "rank").orderBy("rank", "article_id").limit(most).drop("rank")
+    pairs = users.crossJoin(F.broadcast(few)).join(weights, ["user_id", "topic"], "left")
     score = 0.6 * F.coalesce("weight", F.lit(0.1)) + 0.4 * freshness(as_of, 72.0)
     w = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("created_at"), "article_id")
     ranked = pairs.withColumn("score", half_up(score, 6)).withColumn("rank", F.row_number().over(w))
@@ -89,3 +94,50 @@ def reading_seconds(*texts: Column) -> Column:
     joined = F.trim(F.concat_ws(" ", *texts))
     words = F.when(joined == "", 0).otherwise(F.size(F.split(joined, r"\s+")))
     return F.least(F.greatest(F.ceil(words / 200.0 * 60.0), F.lit(15)), F.lit(60)).cast("bigint")
+
+
+def feed_items(articles: DataFrame, bookmarked: DataFrame, trending: bool = False) -> DataFrame:
+    """The feed's projection of articles (article_id, title_original, title_ai, url, topic, source, published_at, created_at, summary_bullets, reason): defaults for what is missing, and marks."""
+    mark = bookmarked.select("article_id").distinct().withColumn("_mark", F.lit(True))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    none = F.lit("")
+    return articles.join(mark, "article_id", "left").select(
+        F.col("article_id").cast("string").alias("id"), F.col("title_original").alias("titleOriginal"), F.coalesce("title_ai", none).alias("titleAi"),
+        F.coalesce("summary_bullets", F.array().cast("array<string>")).alias("summaryBullets"), F.coalesce("reason", none).alias("reason"), "url",
+        F.coalesce("topic", F.lit("ai")).alias("topic"), "source", F.coalesce(day("published_at"), none).alias("publishedAt"),
+        F.coalesce("_mark", F.lit(False)).alias("isBookmarked"), day("created_at").alias("createdAt"),
+        reading_seconds(F.coalesce("title_ai", F.col("title_original"), none), F.array_join(F.coalesce("summary_bullets", F.array().cast("array<string>")), " "), F.coalesce("reason", none)).alias("readingTimeSec"),
+        F.lit(False).alias("isSponsored"), F.lit(trending).alias("isTrending"),
+    )
+
+
+def page_count(total: Column, size: int, least: int = 1) -> Column:
+    """Pages of a listing: at least one for readers' lists, none for an empty list of an administrator (``least`` 0)."""
+    return F.greatest(F.ceil(total / float(size)), F.lit(least)).cast("bigint")
+
+
+def article_affiliates(articles: DataFrame, links: DataFrame, most: int = 2) -> DataFrame:
+    """``articles`` and the first ``most`` active links of their topic (an empty list without any); links are ranked once a topic."""
+    top = top_per_key(links.where("is_active"), "topic", most, F.desc("commission"), "link_id")
+    lists = top.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "link_id"))), lambda x: x["link_id"]).alias("affiliate_ids"))
+    return articles.join(lists, "topic", "left").withColumn("affiliate_ids", F.coalesce("affiliate_ids", F.array().cast("array<bigint>")))
+
+
+def trending_by_topic(interactions: DataFrame, articles: DataFrame, as_of: str, k: int = 50) -> DataFrame:
+    """What a cache of trending articles holds: the day's k most used articles of each topic, and of all topics (null)."""
+    counts = since(interactions, as_of, "24 HOURS").groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.join(articles.select("article_id", "topic"), "article_id").select("article_id", "n", F.explode(F.array("topic", F.lit(None).cast("string"))).alias("topic"))
+    return top_per_key(rows, "topic", k, F.desc("n"), "article_id").select("topic", "article_id", "n", F.col("rn").alias("rank"))
+
+
+def embedding_input(title: Column, text: Column, most: int = 4000) -> Column:
+    """What an encoder of articles takes: title and text, 4000 characters (the encoder's limit)."""
+    return F.substring(F.concat_ws("\n", title, text), 1, most)
+
+
+def with_embeddings(articles: DataFrame, encoder, text: str = "embedding_input") -> DataFrame:
+    """``articles`` and a unit vector by ``encoder`` (a Column function, such as a pandas or Arrow UDF around a model)."""
+    from newsmill.functions.vectors import norm
+
+    raw = articles.withColumn("_e", encoder(F.col(text)))
+    return raw.withColumn("embedding", F.transform("_e", lambda x: x / F.greatest(norm(F.col("_e")), F.lit(1e-12)))).drop("_e")

@@ -68,7 +68,19 @@ def topic_scores(spark, d):
     return rows.select("doc_id", *[F.col("s")[t].cast("bigint").alias(f"n_{t}") for t in FIXTURE_TOPICS], X.best_topic(F.col("s"), list(FIXTURE_TOPICS)).alias("topic"))
 
 
-@query()
+def _hybrid_sql() -> str:
+    names = list(FIXTURE_TOPICS)
+    tokens = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+')"
+    count = lambda w, k: f"len(list_filter({w}, lambda x: list_contains({k!r}, x)))"
+    best = lambda p: "CASE " + " ".join(f"WHEN {p}{t} > 0 AND {p}{t} = greatest({', '.join(p + o for o in names)}) THEN '{t}'" for t in names) + " ELSE 'lifestyle' END"
+    most = f"greatest({', '.join('k_' + t for t in names)})::DOUBLE"
+    return with_views("v_articles", body=f""" , w AS (SELECT article_id, {tokens.format('title_original')} AS a, {tokens.format('content_clean')} AS b FROM v_articles),
+ k AS (SELECT article_id, {', '.join(f"2 * {count('a', FIXTURE_TOPICS[t])} + {count('b', FIXTURE_TOPICS[t])} AS k_{t}" for t in names)} FROM w),
+ c AS (SELECT *, {', '.join(f"0.4::DOUBLE * (CASE WHEN {most} > 0 THEN k_{t}::DOUBLE / {most} ELSE 0.0::DOUBLE END) + 0.6::DOUBLE * (((article_id + {i}) % 7)::DOUBLE / 7.0::DOUBLE) AS c_{t}" for i, t in enumerate(names))} FROM k)
+SELECT article_id, CASE WHEN {' + '.join('k_' + t for t in names)} > 2 OR article_id % 5 <> 0 THEN {best('k_')} ELSE {best('c_')} END AS topic FROM c""")
+
+
+@query(_hybrid_sql())
 def hybrid_topics(spark, d):
     """Keyword topics, with scores of a model joined in for a fifth of the articles (here: made from the id)."""
     a = v.articles(spark, d)
@@ -98,10 +110,10 @@ def lang_heuristic(spark, d):
     return _docs(spark, d).select("doc_id", X.language(F.col("text")).alias("language"))
 
 
-@query("""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(trim(substr(text, 1, 400), ' '), '\\s+'), lambda x: true)) AS n, trim(substr(text, 1, 400), ' ') = '' AS blank FROM documents)
+@query("""WITH w AS (SELECT doc_id, len(regexp_split_to_array(trim(text, ' '), '[ \\t\\n\\x0B\\f\\r]+')) AS n, trim(text, ' ') = '' AS blank FROM documents)
 SELECT doc_id, CAST(least(greatest(ceil((CASE WHEN blank THEN 0 ELSE n END)::DOUBLE / 200.0::DOUBLE * 60.0::DOUBLE), 15), 60) AS BIGINT) AS seconds FROM w""")
 def reading_time(spark, d):
-    return _docs(spark, d).select("doc_id", reading_seconds(F.substring("text", 1, 400)).alias("seconds"))
+    return _docs(spark, d).select("doc_id", reading_seconds(F.col("text")).alias("seconds"))
 
 
 @query()
@@ -171,10 +183,11 @@ def page_domains(spark, d):
     return v.pages(spark, d).select("page_id", name.alias("domain"), U.is_vietnamese(name).alias("vietnamese"))
 
 
-@query()
+@query(f"SELECT {HOST} AS domain, 2 * count(*) AS n FROM pages WHERE {HOST} <> '' GROUP BY 1 HAVING 2 * count(*) >= 3")
 def backlinks(spark, d):
-    """Domains that pages link to, as candidates for new sources."""
-    return feeds.domain_counts(v.pages(spark, d), "html", 1)
+    """Domains that texts link to at least three times, as candidates for new sources (here each page names its address twice)."""
+    text = F.concat(F.lit('<a href="'), F.col("url"), F.lit('">see</a> or '), F.col("url"), F.lit(" "), F.regexp_replace("html", "https?://", ""))
+    return feeds.domain_counts(v.pages(spark, d).select(text.alias("t")), "t", 3)
 
 
 @query()
@@ -205,7 +218,7 @@ def feed_autodetect(spark, d):
     return feeds.feed_links(v.pages(spark, d))
 
 
-@query()
+@query("SELECT 'pages' AS source, url, CAST(page_id AS VARCHAR) AS title, '2024-01-16 03:00:00' AS published_at, 'https://i.example/' || page_id || '.jpg' AS image_url FROM pages")
 def rss_entries(spark, d):
     """Pages wrapped as feeds and read back."""
     p = v.pages(spark, d)
@@ -244,7 +257,9 @@ def related_articles(spark, d):
     return search.related(e, "label")
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(vec_id % 720 AS INTEGER)) AS t FROM embeddings), n AS (SELECT *, row_number() OVER (ORDER BY t, vec_id) AS n FROM e),
+ p AS (SELECT a.vec_id AS later, b.vec_id AS earlier, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS s FROM n a JOIN n b ON a.n > b.n AND a.n - b.n <= 200 AND b.t >= a.t - INTERVAL 48 HOURS)
+SELECT later, earlier, floor(s * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM p WHERE s >= 0.4::DOUBLE""")
 def dedup_embedding_pairs(spark, d):
     """Pairs of similar vectors among neighbours in arrival order."""
     e = _timed(v.embeddings(spark, d)).withColumn("title_original", F.lit(None).cast("string"))
@@ -275,10 +290,12 @@ def dedup_title_pairs(spark, d):
     return dedup.similar_pairs(a).select("later", "earlier")
 
 
-@query("SELECT label AS cluster_id, count(*) AS article_count, floor(avg(embedding[1]::DOUBLE) * 1000000 + 0.5) / 1000000 AS first_component FROM embeddings GROUP BY 1")
+@query("""WITH e AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS i FROM embeddings), n AS (SELECT label, count(*) AS article_count FROM embeddings GROUP BY 1)
+SELECT e.label AS cluster_id, n.article_count, e.i::INTEGER AS i, floor(avg(e.x) * 1000000 + 0.5) / 1000000 AS x FROM e JOIN n ON n.label = e.label GROUP BY 1, 2, 3""")
 def cluster_centroids(spark, d):
+    """Each cluster's size and the components of its centroid."""
     c = dedup.clusters(v.embeddings(spark, d).select(F.col("label").alias("cluster_id"), "embedding"))
-    return c.select("cluster_id", "article_count", half_up(F.col("centroid")[0], 6).alias("first_component"))
+    return c.select("cluster_id", "article_count", F.posexplode("centroid").alias("i", "x")).withColumn("x", half_up(F.col("x"), 6))
 
 
 @query(with_views("v_articles", body=""" , s AS (SELECT article_id, 2.0::DOUBLE * len(list_filter(regexp_split_to_array(lower(title_original), '\\s+'), lambda x: x IN ('the', 'and'))) + len(list_filter(regexp_split_to_array(lower(content_clean), '\\s+'), lambda x: x IN ('the', 'and'))) AS score FROM v_articles)

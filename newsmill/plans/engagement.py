@@ -160,15 +160,14 @@ RANKED = SCORES + f""", cand AS (SELECT * FROM scores ORDER BY feed_score DESC,
  scored AS (SELECT u.user_id, c.article_id, c.topic, c.created_at,
   (CASE WHEN coalesce(c.feed_score, 0) <> 0 THEN c.feed_score ELSE greatest(0.0::DOUBLE, 1.0::DOUBLE - {AGE.format(AS_OF)} / 48.0::DOUBLE) END)
    + (CASE WHEN list_contains(u.interests, c.topic) THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) - (CASE WHEN s.user_id IS NOT NULL THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END) AS score
-  FROM v_users u CROSS JOIN cand c LEFT JOIN (SELECT DISTINCT user_id, article_id FROM v_interactions WHERE action = 'view') s ON s.user_id = u.user_id AND s.article_id = c.article_id
-  WHERE u.user_id < 40),
+  FROM v_users u CROSS JOIN cand c LEFT JOIN (SELECT DISTINCT user_id, article_id FROM v_interactions WHERE action = 'view') s ON s.user_id = u.user_id AND s.article_id = c.article_id),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, created_at DESC, article_id) AS rank FROM scored)"""
 
 
 def _ranked(spark, d):
-    """The feeds of the users below 40, a stated set of users."""
+    """The feeds of all users."""
     viewed = v.interactions(spark, d).where("action = 'view'")
-    return feed.ranked_feed(_scores(spark, d), v.users(spark, d).where("user_id < 40"), viewed, AS_OF)
+    return feed.ranked_feed(_scores(spark, d), v.users(spark, d), viewed, AS_OF)
 
 
 @query(with_views("v_interactions", "v_articles", "v_quality", "v_users", body=RANKED + " SELECT user_id, article_id, topic, floor(score * 1000 + 0.5) / 1000 AS score, rank FROM ranked WHERE rank <= 20"))
@@ -231,15 +230,17 @@ def ttl_expiry(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("kept"), F.date_format(F.min("created_at"), "yyyy-MM-dd HH:mm:ss").alias("oldest"))
 
 
-@query(with_views("v_interactions", "v_articles", body="""
-SELECT a.article_id, EXISTS (SELECT 1 FROM v_interactions i WHERE i.article_id = a.article_id AND i.user_id = 3 AND i.action = 'view') AS viewed,
- EXISTS (SELECT 1 FROM v_interactions i WHERE i.article_id = a.article_id AND i.user_id = 3 AND i.action = 'bookmark') AS bookmarked FROM v_articles a"""))
+@query(with_views("v_interactions", body="""
+SELECT DISTINCT i.user_id, i.article_id, EXISTS (SELECT 1 FROM v_interactions b WHERE b.article_id = i.article_id AND b.user_id = i.user_id AND b.action = 'bookmark') AS bookmarked,
+ EXISTS (SELECT 1 FROM v_interactions b WHERE b.article_id = i.article_id AND b.user_id = i.user_id AND b.action = 'share') AS shared FROM v_interactions i WHERE i.action = 'view'"""))
 def article_flags(spark, d):
-    """Whether one user viewed and bookmarked each article (mark joins)."""
-    own = v.interactions(spark, d).where("user_id = 3")
-    marks = own.groupBy("article_id").agg(F.bool_or(F.col("action") == "view").alias("viewed"), F.bool_or(F.col("action") == "bookmark").alias("bookmarked"))
-    no = F.lit(False)
-    return v.articles(spark, d).join(marks, "article_id", "left").select("article_id", F.coalesce("viewed", no).alias("viewed"), F.coalesce("bookmarked", no).alias("bookmarked"))
+    """What every user viewed, marked as bookmarked and shared by that user (mark joins)."""
+    i, keys = v.interactions(spark, d), ["user_id", "article_id"]
+    out = i.where("action = 'view'").select(*keys).distinct()
+    for action, name in (("bookmark", "bookmarked"), ("share", "shared")):
+        mark = i.where(F.col("action") == action).select(*keys).distinct().withColumn(name, F.lit(True))
+        out = out.join(mark, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
 
 
 @query(with_views("v_interactions", body=" , w AS (SELECT user_id, article_id, created_at, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, article_id) AS rn FROM v_interactions WHERE action = 'view') SELECT user_id, article_id, " + STAMP.format("created_at") + ", rn FROM w WHERE rn <= 20"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmill.functions.text import parsed_date, strip
+from newsmill.operators.engagement import since
 from newsmill.functions.urls import domain, is_skipped, is_vietnamese, links, source_name, xml_escaped
 
 
@@ -116,3 +117,36 @@ def newest_cached(rows: DataFrame, most: int = 50) -> DataFrame:
     """A client's cache: the latest copy of each id, the newest ``most``."""
     w = Window.partitionBy("id").orderBy(F.desc("cached_at"))
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn").orderBy(F.desc("cached_at"), "id").limit(most)
+
+
+def news_sitemap(articles: DataFrame, base: str, name: str, language: str, as_of: str, most: int = 1000) -> DataFrame:
+    """One row of XML: the newest visible articles of the last 48 hours with their titles."""
+    recent = since(articles.where(F.col("processing_status").isin("done", "fallback")), as_of, "48 HOURS")
+    top = recent.orderBy(F.desc("created_at"), F.desc("article_id")).limit(most)
+    title = xml_escaped(F.coalesce("title_ai", F.col("title_original"), F.lit("")), quotes=False)
+    news = f"<news:publication><news:name>{name}</news:name><news:language>{language}</news:language></news:publication>"
+    url = F.concat(
+        F.lit(f"<url><loc>{base}/article/"), F.col("article_id").cast("string"), F.lit(f"</loc><news:news>{news}<news:publication_date>"),
+        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("</news:publication_date><news:title>"), title, F.lit("</news:title></news:news></url>"),
+    )
+    listed = top.agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("created_at", "article_id", url.alias("u"))))), lambda x: x["u"]).alias("urls"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:news="http://www.google.com/schemas/sitemap-news/0.9">'
+    return listed.select(F.concat(F.lit(head), F.array_join("urls", ""), F.lit("</urlset>")).alias("xml"))
+
+
+def news_domains(feeds: DataFrame) -> DataFrame:
+    """(domain, n) of a news aggregator's feeds (xml): each item counts for its source's address, or else its link; local domains that aren't skipped."""
+    item = F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)(<item\b.*?</item>)"), 1)).alias("item")
+    i = F.col("item")
+    url = F.coalesce(_attribute(i, "source", "url"), F.nullif(_tag(i, "link"), F.lit("")))
+    named = feeds.select(item).select(domain(url).alias("domain")).where(is_vietnamese(F.col("domain")) & ~is_skipped(F.col("domain")))
+    return named.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+def crawled(pages: DataFrame) -> DataFrame:
+    """(source, url, title, published_at, image_url) of fetched sources (page_id, source, type, url, body): pages of type ``html_scrape`` are listings, all others feeds."""
+    listed = listing_links(pages.where("type = 'html_scrape'").select("page_id", "url", F.col("body").alias("html")))
+    names = pages.select("page_id", "source")
+    a = listed.join(names, "page_id").select("source", F.col("link").alias("url"), "title", F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("image_url"))
+    b = rss_entries(pages.where("type IS NULL OR type <> 'html_scrape'").select("source", F.col("body").alias("xml")))
+    return a.unionByName(b.withColumn("published_at", F.col("published_at").cast("timestamp")))

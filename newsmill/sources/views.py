@@ -117,6 +117,27 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def affiliates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """link_id, title, topic, commission, is_active, clicks, impressions."""
+    k, size = F.col("p_partkey").cast("bigint"), F.col("p_size").cast("bigint")
+    return table(spark, sf_dir, "part").select(
+        k.alias("link_id"), F.col("p_name").alias("title"), _pick(TOPICS, k).alias("topic"), size.cast("double").alias("commission"),
+        (k % 3 != 0).alias("is_active"), (size * 3).alias("clicks"), (size * 40).alias("impressions"),
+    )
+
+
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subscription_id, user_id, status, expires_on."""
+    status = F.when(F.col("o_orderstatus") == "F", "active").when(F.col("o_orderstatus") == "O", "trial").otherwise("expired")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("subscription_id"), F.col("o_custkey").cast("bigint").alias("user_id"), status.alias("status"), F.date_add(F.to_date("o_orderdate"), 365).alias("expires_on"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request_id, domain, at (microseconds) of a crawler's requests, all made within 17 minutes."""
+    n = F.col("event_id").cast("bigint")
+    return table(spark, sf_dir, "events").select(n.alias("request_id"), F.concat(F.lit("d"), (F.col("user_id") % 50).cast("string")).alias("domain"), (F.pmod(n * 7919, F.lit(1_000_000)) * 1000).alias("at"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
@@ -158,6 +179,11 @@ SQL_VIEWS = {
     "v_ads": f"""SELECT CAST(p_partkey AS BIGINT) AS ad_id, CAST(round(p_retailprice * 100) AS BIGINT) AS budget_cents, CAST(p_size AS BIGINT) * 3000 AS spent_cents,
         {_of(('active', 'active', 'paused', 'expired'), 'p_partkey')} AS status, DATE '2024-01-01' + CAST(p_partkey % 60 AS INTEGER) AS end_on,
         {_of(TOPICS, 'p_partkey')} AS topic, CAST(p_size AS BIGINT) * 100 AS impressions, CAST(p_size AS BIGINT) * (p_partkey % 100) AS viewable_impressions, p_name AS name FROM part""",
+    "v_affiliates": f"""SELECT CAST(p_partkey AS BIGINT) AS link_id, p_name AS title, {_of(TOPICS, 'p_partkey')} AS topic, CAST(p_size AS DOUBLE) AS commission,
+        p_partkey % 3 <> 0 AS is_active, CAST(p_size AS BIGINT) * 3 AS clicks, CAST(p_size AS BIGINT) * 40 AS impressions FROM part""",
+    "v_subscriptions": """SELECT CAST(o_orderkey AS BIGINT) AS subscription_id, CAST(o_custkey AS BIGINT) AS user_id,
+        CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'trial' ELSE 'expired' END AS status, CAST(o_orderdate AS DATE) + 365 AS expires_on FROM orders""",
+    "v_requests": """SELECT CAST(event_id AS BIGINT) AS request_id, 'd' || (user_id % 50) AS domain, (CAST(event_id AS BIGINT) * 7919 % 1000000) * 1000 AS "at" FROM events""",
     "v_sources": """SELECT CAST(s_suppkey AS BIGINT) AS source_id, s_name AS name, CAST(s_suppkey % 11 AS DOUBLE) / 10.0 AS success_rate,
         s_suppkey % 4 <> 3 AS is_active, s_acctbal < 0 AS auto_disabled FROM supplier""",
 }
