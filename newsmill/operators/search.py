@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,19 @@ from newsmill.functions.vectors import cosine, dot
 from newsmill.operators.engagement import half_up
 
 
+#: Query vectors that are broadcast at most; more meet the vectors block by block.
+BROADCAST_QUERIES = 2_000
+
+
 def nearest(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
-    """The k rows of ``vectors`` with the greatest inner product with each of a few query vectors (query_id, q)."""
-    pairs = vectors.crossJoin(F.broadcast(query)).withColumn("score", dot(F.col("embedding"), F.col("q")))
+    """The k rows of ``vectors`` with the greatest inner product with each query vector (query_id, q)."""
+    blocks = math.ceil(query.count() / BROADCAST_QUERIES)
+    if blocks <= 1:
+        pairs = vectors.crossJoin(F.broadcast(query))
+    else:
+        asked = query.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        pairs = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block").drop("block")
+    pairs = pairs.select("query_id", "article_id", dot(F.col("embedding"), F.col("q")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "article_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "article_id", half_up(F.col("score"), 6).alias("score"), "rank")
 

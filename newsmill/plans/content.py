@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsmill.functions import html, text as X, urls as U, vectors as V, wordlists as L
 from newsmill.operators import dedup, ingest, search
 from newsmill.operators.engagement import half_up
-from newsmill.operators.feed import reading_seconds
+from newsmill.operators.feed import reading_seconds, top_per_key
 from newsmill.session import ship_package
 from newsmill.sources import feeds
 from newsmill.sources import views as v
@@ -192,10 +192,14 @@ def backlinks(spark, d):
 
 @query()
 def discovery(spark, d):
-    """Unknown domains linked from pages, with the length score of their page as a quality."""
+    """Unknown domains linked from pages, by the mean quality of three of their pages."""
     linked = feeds.domain_counts(v.pages(spark, d), "html")
-    own = v.pages(spark, d).select(U.domain(F.col("url")).alias("domain"), F.char_length("html").alias("n"))
-    quality = own.groupBy("domain").agg(F.least(F.lit(1.0), F.avg("n") / 4000.0).alias("quality"))
+    text = X.strip(F.regexp_replace("html", "<[^>]*>", " "))
+    own = v.pages(spark, d).select("page_id", U.domain(F.col("url")).alias("domain"), text.alias("t"))
+    three = top_per_key(own, "domain", 3, "page_id")
+    t = F.col("t")
+    score = X.overall_quality(X.length_score(t), X.structure_score(t), X.vietnamese_ratio(t), X.spam_score(t))
+    quality = three.withColumn("s", score).groupBy("domain").agg(half_up(F.avg("s"), 3).alias("quality"))
     news = own.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
     known = own.where("domain LIKE 'a%'")
     found = feeds.discovered(linked, news, known, quality)

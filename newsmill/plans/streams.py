@@ -25,12 +25,8 @@ def _start(df):
     return df.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-def _utc(spark):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")  # windows and days are UTC
-
-
 def _stream(spark, d, late=jobs.LATE):
-    _utc(spark)
+    """Windows and days are those of the session's time zone, which the driver contract and the library's sessions set to UTC."""
     return jobs.interactions_stream(spark, d, late)
 
 
@@ -38,24 +34,24 @@ def _stream(spark, d, late=jobs.LATE):
  w AS (SELECT article_id, b AS start FROM s UNION ALL SELECT article_id, b - INTERVAL 30 MINUTES FROM s)
 SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, article_id, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 2"""))
 def stream_trending_push(spark, d):
-    return _start(jobs.available_now(jobs.trending_push(_stream(spark, d), 2), "complete"))
+    return _start(jobs.available_now(jobs.trending_push(_stream(spark, d), 2), ("start", "article_id")))
 
 
 @query(with_views("v_interactions", "v_articles", body=""" SELECT strftime(time_bucket(INTERVAL 2 HOURS, i.created_at), '%Y-%m-%d %H:%M:%S') AS start, a.topic, count(*) AS n
 FROM v_interactions i JOIN v_articles a ON a.article_id = i.article_id GROUP BY 1, 2 HAVING count(*) >= 3"""))
 def stream_topic_updates(spark, d):
-    return _start(jobs.available_now(jobs.topic_updates(_stream(spark, d), v.articles(spark, d), 3), "complete"))
+    return _start(jobs.available_now(jobs.topic_updates(_stream(spark, d), v.articles(spark, d), 3), ("start", "topic")))
 
 
 @query(with_views("v_interactions", body=""" SELECT strftime(created_at, '%Y-%m-%d') AS day, user_id, count(*) AS sessions, count(*) FILTER (WHERE action = 'view') AS articles_viewed FROM v_interactions GROUP BY 1, 2"""))
 def stream_daily_activity(spark, d):
-    return jobs.available_now(jobs.daily_activity(_stream(spark, d)), "complete").select("day", "user_id", "sessions", "articles_viewed")
+    return jobs.available_now(jobs.daily_activity(_stream(spark, d)), ("day", "user_id")).select("day", "user_id", "sessions", "articles_viewed")
 
 
 @query(with_views("v_interactions", body=""" SELECT strftime(time_bucket(INTERVAL 5 MINUTES, created_at), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS total, count(*) FILTER (WHERE action = 'other') AS errors,
  floor(count(*) FILTER (WHERE action = 'other')::DOUBLE / count(*)::DOUBLE * 10000.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS rate FROM v_interactions GROUP BY 1"""))
 def stream_error_rates(spark, d):
-    return _start(jobs.available_now(jobs.error_rates(_stream(spark, d)), "complete")).select("start", "total", "errors", "rate")
+    return _start(jobs.available_now(jobs.error_rates(_stream(spark, d)), ("start",))).select("start", "total", "errors", "rate")
 
 
 def _calls(spark, d):
@@ -67,12 +63,30 @@ def _calls(spark, d):
 @query(with_views("v_interactions", body=""" SELECT strftime(time_bucket(INTERVAL 10 MINUTES, created_at), '%Y-%m-%d %H:%M:%S') AS start, 'p' || (user_id % 3) AS provider, count(*) AS total,
  count(*) < 3 OR count(*) FILTER (WHERE action <> 'other')::DOUBLE / count(*)::DOUBLE >= 0.5::DOUBLE AS healthy FROM v_interactions GROUP BY 1, 2"""))
 def stream_provider_health(spark, d):
-    return _start(jobs.available_now(jobs.provider_health(_calls(spark, d)), "complete")).select("start", "provider", "total", "healthy")
+    return _start(jobs.available_now(jobs.provider_health(_calls(spark, d)), ("start", "provider"))).select("start", "provider", "total", "healthy")
 
 
-@query()
+@query(with_views("v_interactions", body=""" , c AS (SELECT time_bucket(INTERVAL 10 SECONDS, created_at) AS b, 'p' || (user_id % 3) AS provider FROM v_interactions), w AS (SELECT b - to_seconds(10 * k) AS start, provider FROM c, range(6) AS t(k))
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, provider, count(*) AS used, count(*) >= 0.8 * 3 AS warn FROM w GROUP BY 1, 2"""))
 def stream_rate_usage(spark, d):
-    return _start(jobs.available_now(jobs.rate_usage(_calls(spark, d), 3), "complete"))
+    return _start(jobs.available_now(jobs.rate_usage(_calls(spark, d), 3), ("start", "provider")))
+
+
+@query("SELECT DISTINCT md5(CAST(regexp_extract(props, '([0-9]+)', 1) AS VARCHAR)) AS url_hash FROM events WHERE regexp_extract(props, '([0-9]+)', 1) <> ''")
+def stream_first_of_url(spark, d):
+    """Each URL's first arrival (the stream reads all files at once, so nothing expires in between)."""
+    a = _stream(spark, d, "48 hours").where("article_id IS NOT NULL").select(F.col("article_id").cast("string").alias("url"), "created_at")
+    return jobs.available_now(jobs.first_of_url(a)).select("url_hash")
+
+
+@query("""SELECT doc_id AS article_id, CASE WHEN contains(lower(text), 'stupid') THEN 'blocked' WHEN length(text) < 100 THEN 'failed' ELSE 'done' END AS status FROM documents""")
+def stream_crawl_cycle(spark, d):
+    """New articles, batch by batch, through the cheap gates to the articles' table."""
+    path = f"{d}/documents.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+    status = F.when(F.contains(F.lower("text"), F.lit("stupid")), "blocked").when(F.char_length("text") < 100, "failed").otherwise("done")
+    gates = lambda rows: rows.select(F.col("doc_id").alias("article_id"), status.alias("status"))
+    return jobs.available_now(source, process=gates, schema=gates(spark.read.parquet(path)).schema)
 
 
 @query()

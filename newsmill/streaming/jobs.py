@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from newsmill.session import shared_path, ship_package
 
@@ -146,26 +147,47 @@ def circuit_breaker(attempts: DataFrame, most_failures: int = 5, open_seconds: i
     return attempts.groupBy("source_id").applyInPandasWithState(step, BREAKER, "now string, failures int, opened double", "append", GroupStateTimeout.NoTimeout)
 
 
-def crawl_cycle(source: DataFrame, process: Callable[[DataFrame], DataFrame], path: str):
-    """A writer that processes each batch of new articles and appends the result."""
+def first_of_url(articles: DataFrame) -> DataFrame:
+    """Articles (url, …) whose URL didn't arrive within the watermark (set it to 48 hours); older state is dropped."""
+    return articles.withColumn("url_hash", F.md5("url")).dropDuplicatesWithinWatermark(["url_hash"])
+
+
+def _batches(stream: DataFrame, path: str, mode: str, process: Callable[[DataFrame], DataFrame] | None = None):
+    """A writer that puts each batch into a folder of its own, so that a batch that runs again replaces itself."""
 
     def one(batch: DataFrame, number: int) -> None:
-        process(batch).write.mode("append").parquet(path)
+        (process(batch) if process else batch).write.mode("overwrite").parquet(f"{path}/_n={number}")
 
-    return source.writeStream.foreachBatch(one)
+    return stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", path + "-state")
 
 
-def available_now(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows, written to the shared folder."""
-    spark = stream.sparkSession
-    path = shared_path(spark, "stream")
+def crawl_cycle(source: DataFrame, process: Callable[[DataFrame], DataFrame], path: str):
+    """A writer that processes each batch of new articles and adds the result to ``path``; start it with a trigger of its own."""
+    return _batches(source, path, "append", process)
 
-    def one(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
+def written(spark: SparkSession, path: str, schema: StructType, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What a stream wrote to ``path``: all rows, or each key's latest ones."""
+    rows = spark.read.option("basePath", path).schema(StructType([*schema.fields, StructField("_n", LongType())])).parquet(path)
+    if not keys:
+        return rows.drop("_n")
+    rest = [c for c in schema.names if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_n").alias("_v"))
+    return latest.select(*[F.col(f"_v.{c}").alias(c) if c in rest else F.col(c) for c in schema.names])
+
+
+def available_now(stream: DataFrame, keys: tuple[str, ...] = (), process: Callable[[DataFrame], DataFrame] | None = None, schema: StructType | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns its rows, written to the shared folder.
+
+    With ``keys`` (an aggregate's) it runs in update mode: each batch writes the groups it changed, the
+    latest of a key counts, and the watermark evicts the state of windows that are over.
+    """
+    spark, schema = stream.sparkSession, schema or stream.schema
+    path = shared_path(spark, "stream")
+    spark.createDataFrame([], schema).write.parquet(f"{path}/_n=-1")
+    q = _batches(stream, path, "update" if keys else "append", process).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return spark.read.schema(stream.schema).parquet(path)
+    return written(spark, path, schema, keys)
