@@ -57,7 +57,7 @@ FEATURES = {
 D = len(FEATURES)
 FLOORS = np.array([x[1] for x in FEATURES.values()])
 X = [f"x{i}" for i in range(D)]
-BINS, FINE = 64, 1 << 16
+BINS, FINE = 64, 512
 #: Values of the second start are cut at so many deviations; a step that gains less ends a search.
 WRAP, LEAST_GAIN = 1.5, 1e-3
 
