@@ -9,7 +9,7 @@ dynamic programming over its positions, as log10 of the guesses. At ``min_log10_
 or more the value is a span ``guess``.
 
 The dictionary is a ranked list of words: the corpus's own (:func:`ranked_words`: the
-``DICTIONARY`` words that most documents hold, counted in Spark over all whole texts), after
+(at most) ``DICTIONARY`` words that most documents hold, counted in Spark over all whole texts), after
 the words that passwords are made of. A list of any other origin can be passed instead. Its
 size is a parameter of the model, so what goes to the tasks is bounded. A secret that few
 documents hold is no word of it.
@@ -30,10 +30,10 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsmill.session import ship_package
+from newsmill.session import materialize, ship_package
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -153,11 +153,19 @@ class Guesser:
 
 
 def ranked_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least_docs: int = LEAST_DOCS) -> list[str]:
-    """The ``most`` words that most documents hold, ties by name; a row is a document."""
+    """The words that most documents hold, at most ``most``, ties by name; a row is a document.
+
+    Words of one count come in or stay out together: how many words have each count tells the least
+    count, and only the words from it on, ``most`` of them at most, leave the tasks.
+    """
     found = F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))
     words = docs.select(F.explode(found).alias("w")).where(F.char_length("w").between(*LETTERS))
-    ranked = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
-    return [r.w for r in ranked.orderBy(F.desc("n"), "w").limit(most).collect()]
+    ranked = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs), "word-counts")
+    by_count = ranked.groupBy("n").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(F.desc("n"))))
+    least = by_count.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    if least is None:
+        return []
+    return [r.w for r in sorted(ranked.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.w))]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
