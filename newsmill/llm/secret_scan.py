@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 from itertools import accumulate
@@ -33,6 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsmill.llm.batches import slices
 from newsmill.session import materialize, ship_package
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -59,6 +61,10 @@ COMMON_WORDS = (
 ).split()
 #: Words of the corpus's dictionary, documents that hold each at least, letters of a word.
 DICTIONARY, LEAST_DOCS, LETTERS = 20_000, 5, (3, 24)
+#: A word of the dictionary: letters (and numerals that are no digits, such as fractions).
+LETTER_RUN = re.compile(r"[^\W\d_]+")
+#: Different words that a task counts before it hands their counts on; results don't depend on it.
+COUNTED_WORDS = 200_000
 #: Characters of a repeated unit at most.
 UNIT = 16
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -152,15 +158,32 @@ class Guesser:
         return best[n]
 
 
+def _counted_words(counts: Counter[str]) -> pa.RecordBatch:
+    words = [w for w in counts if LETTERS[0] <= len(w) <= LETTERS[1]]
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["w", "n"])
+
+
 def ranked_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least_docs: int = LEAST_DOCS) -> list[str]:
     """The words that most documents hold, at most ``most``, ties by name; a row is a document.
 
     Words of one count come in or stay out together: how many words have each count tells the least
-    count, and only the words from it on, ``most`` of them at most, leave the tasks.
+    count, and only the words from it on, ``most`` of them at most, leave the tasks. Tasks count before
+    they shuffle, and hand on what they have counted when that is ``COUNTED_WORDS`` words.
     """
-    found = F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))
-    words = docs.select(F.explode(found).alias("w")).where(F.char_length("w").between(*LETTERS))
-    ranked = materialize(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs), "word-counts")
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        counts: Counter[str] = Counter()
+        for b in slices(batches, "text", 4 << 20):
+            for text in b.column("text").to_pylist():
+                counts.update(set(LETTER_RUN.findall((text or "").lower())))
+                if len(counts) > COUNTED_WORDS:
+                    yield _counted_words(counts)
+                    counts.clear()
+        yield _counted_words(counts)
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "w string, n long")
+    ranked = materialize(counted.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs), "word-counts")
     by_count = ranked.groupBy("n").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(F.desc("n"))))
     least = by_count.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
     if least is None:
