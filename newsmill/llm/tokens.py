@@ -12,14 +12,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import regex
 
-#: Words kept by a worker; beyond that many the memo starts anew. Results don't depend on it.
-MEMO_WORDS, MEMO_PIECES = 200_000, 400_000
-#: Longer words pass the memo by.
-MEMO_CHARS = 64
+#: Characters of words and of pieces that a worker keeps, each counted with ENTRY_CHARS more; beyond
+#: that the memo starts anew with the next text. Results don't depend on it.
+MEMO_CHARS, ENTRY_CHARS = 40_000_000, 64
 #: str.split() also cuts at these four; the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WORD = regex.compile(r"\S+")
@@ -45,6 +44,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memo(dict):
+    """Values that are made when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.chars = make, 0
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        self.chars += len(key) + ENTRY_CHARS
+        return value
+
+    def trim(self) -> None:
+        """Start anew if it holds too much."""
+        if self.chars > MEMO_CHARS:
+            self.clear()
+            self.chars = 0
+
+
 class WordEncoder:
     """ids(texts): for each text its ids as little-endian unsigned 16-bit integers."""
 
@@ -58,8 +75,7 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.model, self.normalizer, self.pre_tokenizer = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.letters = [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
-        self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.memo, self.pieces = Memo(self._encode), Memo(self._model_ids)
 
     def _packed(self, ids: Iterable[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
@@ -73,37 +89,23 @@ class WordEncoder:
             return cut if word.isascii() else ["".join([self.letters[b] for b in p.encode()]) for p in cut]
         return [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word))]
 
+    def _model_ids(self, piece: str) -> bytes:
+        return self._packed([t.id for t in self.model.tokenize(piece)])
+
     def _encode(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.pieces[word.lower()]
         cut = self._cut(word)
         if cut is None:
             return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        pieces = self.pieces
-        for p in cut:
-            if p not in pieces:
-                if len(pieces) > MEMO_PIECES:
-                    pieces.clear()
-                    return self._encode(word)
-                pieces[p] = self._packed([t.id for t in self.model.tokenize(p)])
-        found = b"".join([pieces[p] for p in cut])
-        for p in cut:
-            if len(p) > MEMO_CHARS:
-                pieces.pop(p, None)
-        return found
+        return b"".join(map(self.pieces.__getitem__, cut))
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        memo = self.memo
         for text in texts:
             words = WORD.findall(text) if SEPARATORS.search(text or "") else (text or "").split()
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            long = []
-            for w in set(words).difference(memo):
-                memo[w] = self._encode(w)
-                if len(w) > MEMO_CHARS:
-                    long.append(w)
-            yield b"".join([memo[w] for w in words])
-            for w in long:
-                del memo[w]
+            self.memo.trim()
+            self.pieces.trim()
+            yield b"".join(map(self.memo.__getitem__, words))
 
 
 def encoder(path: str) -> WordEncoder:
