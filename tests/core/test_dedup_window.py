@@ -33,3 +33,20 @@ def test_copies_take_no_places(spark, most, copies, names):
     df = spark.createDataFrame([(i, f"https://a.example/{i}", at, t, None) for i, at, t in rows], "article_id long, url string, created_at timestamp_ntz, title_original string, embedding array<double>")
     got = {r.article_id: (r.is_duplicate, r.cluster_id) for r in dedup.deduplicate(df, most=most).collect()}
     assert got == sequential(rows, most)
+
+
+@pytest.mark.parametrize("places", [1, 7, 4096])
+def test_settling_follows_chains_over_blocks(spark, places):
+    rng = random.Random(places)
+    n, shuffled = 120, list(range(1, 121))
+    rng.shuffle(shuffled)
+    # A chain of all articles, and some links more.
+    links = {(i, i - 1) for i in range(1, n)} | {(i, i - rng.randint(2, min(i, 9))) for i in rng.sample(range(5, n), 30)}
+    kept = {}
+    for i in range(n):
+        kept[i] = not any(kept[b] for a, b in links if a == i)
+    if places == 1:  # a round settles one place here
+        links, n = {x for x in links if x[0] < 12}, 12
+    df = spark.createDataFrame([(shuffled[a], shuffled[b], a) for a, b in links], "later long, earlier long, later_n long")
+    got = {r.article_id: r.kept for r in dedup.settle(df, places).collect()}
+    assert got == {shuffled[i]: kept[i] for i in range(1, n)}
