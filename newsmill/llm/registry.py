@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsmill.llm import bpe, chunk_dedup, embedding_dedup, exact_dedup, line_dedup, ngram_quality, packing, quality_rules, secret_scan, simhash, sorted_shards
+from newsmill.llm import bpe, chunk_dedup, embedding_dedup, exact_dedup, line_dedup, ngram_quality, packing, quality_rules, secret_scan, simhash, sorted_shards, source_audit
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_packing": packing.query,
     "op8_byte_bpe": bpe.query,
     "op13_exact_dedup": exact_dedup.query,
+    "op12_source_audit": source_audit.query,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
     "op13_exact_dedup": exact_dedup.SQL,
+    "op12_source_audit": source_audit.SQL,
 }
