@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsmill.llm import bpe, chunk_dedup, embedding_dedup, exact_dedup, line_dedup, ngram_quality, packing, quality_rules, secret_scan, simhash, sorted_shards, source_audit
+from newsmill.llm import bpe, chunk_dedup, embedding_dedup, exact_dedup, line_dedup, ngram_quality, packing, quality_rules, secret_scan, simhash, sorted_shards, source_audit, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.query,
     "op13_exact_dedup": exact_dedup.query,
     "op12_source_audit": source_audit.query,
+    "op11_whitening": whitening.query,
 }
 
 ORACLES = {
