@@ -116,7 +116,7 @@ def domain_delays(requests: DataFrame, least_micros: int = 1_500_000) -> DataFra
     this is n distances and the greatest of (at - n distances) so far, a running maximum.
     """
     w = Window.partitionBy("domain").orderBy("at", "request_id")
-    behind = F.row_number().over(w) * F.lit(least_micros)
+    behind = F.row_number().over(w).cast("bigint") * F.lit(least_micros).cast("bigint")
     rows = requests.withColumn("_behind", behind)
     made = F.max(F.col("at") - F.col("_behind")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_behind")
     return rows.withColumn("made_at", made).withColumn("waited", F.col("made_at") - F.col("at")).drop("_behind")

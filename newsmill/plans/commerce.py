@@ -37,9 +37,9 @@ def viewability(spark, d):
     return C.viewability(v.ads(spark, d))
 
 
-@query(with_views("v_ads", body=" SELECT coalesce(sum(impressions), 0)::BIGINT AS impressions, coalesce(sum(viewable_impressions), 0)::BIGINT AS viewable FROM v_ads"))
+@query(with_views("v_ads", body=" SELECT coalesce(sum(impressions), 0)::BIGINT AS ad_impressions, coalesce(sum(clicks), 0)::BIGINT AS ad_clicks FROM v_ads"))
 def ad_totals(spark, d):
-    return v.ads(spark, d).agg(F.coalesce(F.sum("impressions"), F.lit(0)).alias("impressions"), F.coalesce(F.sum("viewable_impressions"), F.lit(0)).alias("viewable"))
+    return v.ads(spark, d).agg(F.coalesce(F.sum("impressions"), F.lit(0)).alias("ad_impressions"), F.coalesce(F.sum("clicks"), F.lit(0)).alias("ad_clicks"))
 
 
 @query(with_views("v_referrals", "v_users", body=" , t AS (SELECT referrer_id, count(*) AS n FROM v_referrals GROUP BY 1 ORDER BY n DESC, referrer_id LIMIT 20) SELECT t.referrer_id, t.n, u.email FROM t JOIN v_users u ON u.user_id = t.referrer_id"))

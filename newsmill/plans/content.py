@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsmill.functions import html, text as X, urls as U, vectors as V, wordlists as L
 from newsmill.operators import dedup, ingest, search
+from newsmill.operators.commerce import insert_new
 from newsmill.operators.engagement import half_up
 from newsmill.operators.feed import reading_seconds, top_per_key
 from newsmill.session import ship_package
@@ -331,9 +332,19 @@ def related_fallback(spark, d):
     return same.orderBy(F.desc("created_at"), "article_id").limit(10).select("article_id", "topic")
 
 
-@query("SELECT key, label, \"order\" FROM (VALUES " + ", ".join(f"('{t}', '{t.capitalize()}', {i})" for i, t in enumerate(v.TOPICS) if t != "insight") + ") AS t(key, label, \"order\")")
+@query(with_views("v_topics", body=' SELECT key, label, "order" FROM v_topics WHERE is_active'))
 def active_topics(spark, d):
-    return v.topics(spark).where("is_active").orderBy("order").select("key", "label", "order")
+    return v.topics(spark, d).where("is_active").orderBy("order").select("key", "label", "order")
+
+
+@query(with_views("v_topics", body=""" , old AS (SELECT key, label, is_active FROM v_topics WHERE "order" % 3 <> 0)
+SELECT * FROM old UNION ALL SELECT key, 'seed ' || key, true FROM v_topics WHERE key NOT IN (SELECT key FROM old)"""))
+def seeded_topics(spark, d):
+    """A collection after its seeds: known keys stay as they are, the others are inserted."""
+    topics = v.topics(spark, d)
+    old = topics.where("`order` % 3 <> 0").select("key", "label", "is_active")
+    seeds = topics.select("key", F.concat(F.lit("seed "), "key").alias("label"), F.lit(True).alias("is_active"))
+    return old.unionByName(insert_new(old, seeds, ["key"]))
 
 
 @query("SELECT p_partkey AS product_id, floor((0.5::DOUBLE * least(((contains(lower(p_name), 'ring'))::INT + (contains(lower(p_name), 'small'))::INT)::DOUBLE / 2.0::DOUBLE, 1.0::DOUBLE) + 0.3::DOUBLE * (CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END) + 0.2::DOUBLE * least(p_size::DOUBLE / 15.0::DOUBLE, 1.0::DOUBLE)) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM part")

@@ -114,8 +114,8 @@ def share_card(title: Column, bullet: Column) -> Column:
 
 
 def newest_cached(rows: DataFrame, most: int = 50) -> DataFrame:
-    """A client's cache: the latest copy of each id, the newest ``most``."""
-    w = Window.partitionBy("id").orderBy(F.desc("cached_at"))
+    """A client's cache: the latest copy of each id, the newest ``most``. Of copies of one time the one of the greatest hash stays."""
+    w = Window.partitionBy("id").orderBy(F.desc("cached_at"), F.desc(F.xxhash64(*sorted(rows.columns))))
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn").orderBy(F.desc("cached_at"), "id").limit(most)
 
 

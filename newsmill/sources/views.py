@@ -33,12 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def article_of(props: Column) -> Column:
+    """The first number in ``props``, or null where there is none or it isn't a bigint."""
+    return F.regexp_extract(props, r"(\d+)", 1).try_cast("bigint")
+
+
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, article_id, action, created_at."""
+    """user_id, article_id, action, created_at. An event that names no article stays, with a null article: it counts as its user's."""
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])[F.col("event_type")], F.lit("other"))
     return table(spark, sf_dir, "events").select(
         F.col("user_id").cast("bigint").alias("user_id"),
-        F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("article_id"),
+        article_of(F.col("props")).alias("article_id"),
         kind.alias("action"),
         F.col("ts").cast("timestamp_ntz").alias("created_at"),
     )
@@ -102,6 +107,7 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(TOPICS, k).alias("topic"),
         (size * 100).alias("impressions"),
         (size * (k % 100)).alias("viewable_impressions"),
+        (size * (k % 7)).alias("clicks"),
         F.col("p_name").alias("name"),
     )
 
@@ -146,9 +152,10 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
 
 
-def topics(spark: SparkSession) -> DataFrame:
-    """key, label, order, is_active of the fixed topics."""
-    return spark.createDataFrame([(t, t.capitalize(), i, t != "insight") for i, t in enumerate(TOPICS)], "key string, label string, `order` int, is_active boolean")
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, label, order, is_active."""
+    key = F.lower(F.translate(F.col("n_name"), " ", "-"))
+    return table(spark, sf_dir, "nation").select(key.alias("key"), F.col("n_name").alias("label"), F.col("n_nationkey").cast("int").alias("order"), (F.col("n_regionkey") != 2).alias("is_active"))
 
 
 def _list(values: tuple) -> str:
@@ -160,7 +167,7 @@ def _of(values: tuple, number: str) -> str:
 
 
 SQL_VIEWS = {
-    "v_interactions": """SELECT CAST(user_id AS BIGINT) AS user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS article_id,
+    "v_interactions": """SELECT CAST(user_id AS BIGINT) AS user_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS article_id,
         CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'click_original' WHEN 'purchase' THEN 'share'
              WHEN 'signup' THEN 'bookmark' ELSE 'other' END AS action, CAST(ts AS TIMESTAMP) AS created_at FROM events""",
     "v_articles": f"""SELECT doc_id AS article_id, substr(string_split(text, chr(10))[1], 1, 80) AS title_original, text AS content_clean,
@@ -178,12 +185,13 @@ SQL_VIEWS = {
     "v_reactions": "SELECT CAST(l_partkey AS BIGINT) AS article_id, CAST(l_orderkey AS BIGINT) AS user_id, l_returnflag AS type FROM lineitem",
     "v_ads": f"""SELECT CAST(p_partkey AS BIGINT) AS ad_id, CAST(round(p_retailprice * 100) AS BIGINT) AS budget_cents, CAST(p_size AS BIGINT) * 3000 AS spent_cents,
         {_of(('active', 'active', 'paused', 'expired'), 'p_partkey')} AS status, DATE '2024-01-01' + CAST(p_partkey % 60 AS INTEGER) AS end_on,
-        {_of(TOPICS, 'p_partkey')} AS topic, CAST(p_size AS BIGINT) * 100 AS impressions, CAST(p_size AS BIGINT) * (p_partkey % 100) AS viewable_impressions, p_name AS name FROM part""",
+        {_of(TOPICS, 'p_partkey')} AS topic, CAST(p_size AS BIGINT) * 100 AS impressions, CAST(p_size AS BIGINT) * (p_partkey % 100) AS viewable_impressions, CAST(p_size AS BIGINT) * (p_partkey % 7) AS clicks, p_name AS name FROM part""",
     "v_affiliates": f"""SELECT CAST(p_partkey AS BIGINT) AS link_id, p_name AS title, {_of(TOPICS, 'p_partkey')} AS topic, CAST(p_size AS DOUBLE) AS commission,
         p_partkey % 3 <> 0 AS is_active, CAST(p_size AS BIGINT) * 3 AS clicks, CAST(p_size AS BIGINT) * 40 AS impressions FROM part""",
     "v_subscriptions": """SELECT CAST(o_orderkey AS BIGINT) AS subscription_id, CAST(o_custkey AS BIGINT) AS user_id,
         CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'trial' ELSE 'expired' END AS status, CAST(o_orderdate AS DATE) + 365 AS expires_on FROM orders""",
     "v_requests": """SELECT CAST(event_id AS BIGINT) AS request_id, 'd' || (user_id % 50) AS domain, (CAST(event_id AS BIGINT) * 7919 % 1000000) * 1000 AS "at" FROM events""",
+    "v_topics": "SELECT lower(replace(n_name, ' ', '-')) AS key, n_name AS label, CAST(n_nationkey AS INTEGER) AS \"order\", n_regionkey <> 2 AS is_active FROM nation",
     "v_sources": """SELECT CAST(s_suppkey AS BIGINT) AS source_id, s_name AS name, CAST(s_suppkey % 11 AS DOUBLE) / 10.0 AS success_rate,
         s_suppkey % 4 <> 3 AS is_active, s_acctbal < 0 AS auto_disabled FROM supplier""",
 }

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from newsmill.session import shared_path, ship_package
+from newsmill.sources.views import article_of
 
 LATE = "1 hour"
 
@@ -27,7 +28,7 @@ def interactions_stream(spark: SparkSession, sf_dir: str, late: str = LATE) -> D
     rows = spark.readStream.schema(schema).parquet(path[:-1] + "[t]")  # a pattern may name a file or a folder
     action = F.when(F.col("event_type") == "click", "click_original").when(F.col("event_type") == "purchase", "share").when(F.col("event_type") == "signup", "bookmark").when(F.col("event_type") == "view", "view").otherwise("other")
     found = rows.select(
-        F.col("user_id").cast("bigint").alias("user_id"), F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("article_id"),
+        F.col("user_id").cast("bigint").alias("user_id"), article_of(F.col("props")).alias("article_id"),
         action.alias("action"), F.col("ts").cast("timestamp").alias("created_at"), F.col("event_id"),
     )
     return found.withWatermark("created_at", late)
