@@ -34,8 +34,8 @@ from newsmill.llm.batches import joined_bytes, slices
 from newsmill.session import drop_shared, materialize, ship_package
 
 MIN_DOCS, MOST_TERMS = 30, 50
-#: Entries (a term of a source) of a shard on average; sources whose pairs one task compares with all later ones.
-SHARD_ENTRIES, BLOCK_SOURCES = 1 << 19, 256
+#: Entries (a term of a source) of a shard on average: as many as its pairs of sources, within these bounds. Sources whose pairs one task compares with all later ones.
+LEAST_ENTRIES, MOST_ENTRIES, BLOCK_SOURCES = 1 << 14, 1 << 20, 256
 #: Bytes of text that are cut into terms at a time, and counted rows that a task holds before it hands them on.
 BATCH_BYTES, HELD_ROWS = 2 << 20, 1 << 20
 
@@ -214,7 +214,7 @@ def divergences(most_terms: int):
     return run
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, most_terms: int = MOST_TERMS, shard_entries: int = SHARD_ENTRIES, **columns) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, most_terms: int = MOST_TERMS, shard_entries: int | None = None, **columns) -> DataFrame:
     """(lang, source, part, item, value, rank): distances to the language's other sources, and the terms that a source has in excess."""
     counts = materialize(term_counts(docs, **columns), "term-counts")
     kept = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
@@ -227,7 +227,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, most_terms: int = MOST_TERM
     drop_shared(counts)
     langs = groups.groupBy("lang").agg(F.sum("n_group").alias("n_lang"), F.sum("entries").alias("entries"), F.count(F.lit(1)).alias("sources"))
     langs = langs.join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v")), "lang", "left").na.fill(0, ["v"])
-    langs = materialize(langs.select("lang", "n_lang", "v", F.ceil(F.greatest(F.col("entries"), F.lit(1)) / shard_entries).alias("shards"), F.ceil(F.col("sources") / BLOCK_SOURCES).alias("blocks")), "languages")
+    size = F.lit(shard_entries) if shard_entries else F.least(F.greatest(F.lit(LEAST_ENTRIES), F.col("sources") * F.col("sources")), F.lit(MOST_ENTRIES))
+    langs = materialize(langs.select("lang", "n_lang", "v", F.ceil(F.greatest(F.col("entries"), F.lit(1)) / size).alias("shards"), F.ceil(F.col("sources") / BLOCK_SOURCES).alias("blocks")), "languages")
 
     block = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block")
     shard = F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1)).alias("shard")

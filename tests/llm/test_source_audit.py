@@ -52,7 +52,7 @@ def made(seed, n, langs, sources):
     return rows + [(None, None, None), ("", "en", "empty"), ("alpha", "lone", None), ("beta " * 20_000, "en", "long"), ("alpha", "en", "a"), ("alpha", "en", "a")]
 
 
-@pytest.mark.parametrize("shard_entries,block", [(1 << 19, 256), (5, 2)])
+@pytest.mark.parametrize("shard_entries,block", [(None, 256), (5, 2)])
 def test_audit_equals_plain_counts(spark, monkeypatch, shard_entries, block):
     monkeypatch.setattr(source_audit, "BLOCK_SOURCES", block)
     rows = made(1, 400, ["en", "de", "", None], ["a", "b", "Ä", "z", None, "", "c"])
