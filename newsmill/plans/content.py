@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsmill.functions import html, text as X, urls as U, vectors as V, wordlists as L
-from newsmill.operators import dedup, ingest, search
+from newsmill.functions.stems import WEAK_STEM_SQL, word_list
+from newsmill.operators import dedup, fulltext, ingest, search
 from newsmill.operators.commerce import insert_new
 from newsmill.operators.engagement import half_up
 from newsmill.operators.feed import reading_seconds, top_per_key
-from newsmill.session import ship_package
+from newsmill.session import shared_path, ship_package
 from newsmill.sources import feeds
 from newsmill.sources import views as v
 from newsmill.sources.views import AS_OF, MID, with_views
@@ -246,11 +247,12 @@ def share_cards(spark, d):
 # --- vectors, search, dedup
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT q.query_id, e.vec_id AS article_id, floor(list_sum(list_transform(range(1, len(q.q) + 1), lambda i: q.q[i] * e.embedding[i]::DOUBLE)) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM embeddings e CROSS JOIN q),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings), p AS (SELECT q.query_id, e.vec_id AS article_id, floor(list_sum(list_transform(range(1, len(q.q) + 1), lambda i: q.q[i] * e.embedding[i]::DOUBLE)) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM embeddings e CROSS JOIN q),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS rank FROM p) SELECT query_id, article_id, score, rank FROM r WHERE rank <= 3""")
 def knn_topk(spark, d):
+    """The three nearest of every vector."""
     e = v.embeddings(spark, d)
-    return search.nearest(e, e.where("article_id % 100 = 0").select(F.col("article_id").alias("query_id"), F.col("embedding").alias("q")), 3)
+    return search.nearest(e, e.select(F.col("article_id").alias("query_id"), F.col("embedding").alias("q")), 3)
 
 
 @query("""WITH e AS (SELECT vec_id AS article_id, embedding::DOUBLE[] AS v, label, row_number() OVER (PARTITION BY label ORDER BY vec_id % 240 DESC, vec_id DESC) AS rn FROM embeddings),
@@ -316,6 +318,66 @@ def search_fuzzy(spark, d):
     return found.orderBy(F.desc("created_at"), "article_id").limit(50).select("article_id", "highlighted")
 
 
+#: The tokens of a column in SQL, as the index finds them.
+SQL_WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
+#: This SQL's edit distance counts bytes, so the letters of two bytes in the driver's texts become capitals, which lowered words don't have.
+ONE_BYTE = "translate({}, 'èéñßêçíüöóä', 'ABCDEFGHIJK')"
+SEARCH_FIELDS = {"title_ai": 3.0, "title_original": 2.0, "summary_text": 1.0, "topic": 1.0, "source": 1.0}
+SEARCH_VIEW = """ , f AS (SELECT article_id AS id, substr(content_clean, 1, 40) AS title_ai, title_original, content_clean AS summary_text, topic, source,
+ created_at, processing_status FROM v_articles)"""
+
+
+def _searched(spark, d):
+    """Articles with the five fields that a search looks at, and an index of them."""
+    a = v.articles(spark, d)
+    a = a.select("article_id", F.substring("content_clean", 1, 40).alias("title_ai"), "title_original", F.col("content_clean").alias("summary_text"), "topic", "source", "created_at", "processing_status")
+    return a, fulltext.build(a, shared_path(spark, "search-index"), SEARCH_FIELDS, ("title_ai", "topic", "created_at", "processing_status"))
+
+
+@query(with_views("v_articles", body=SEARCH_VIEW + f""", w AS (
+ SELECT id, unnest({SQL_WORDS.format('title_ai')}) AS w, 3.0::DOUBLE AS g FROM f UNION ALL SELECT id, unnest({SQL_WORDS.format('title_original')}), 2.0::DOUBLE FROM f
+ UNION ALL SELECT id, unnest({SQL_WORDS.format('summary_text')}), 1.0::DOUBLE FROM f UNION ALL SELECT id, unnest({SQL_WORDS.format('topic')}), 1.0::DOUBLE FROM f
+ UNION ALL SELECT id, unnest({SQL_WORDS.format('source')}), 1.0::DOUBLE FROM f
+), s AS (SELECT id, {WEAK_STEM_SQL} AS term, g FROM w), p AS (SELECT id, term, sum(g) AS tf FROM s GROUP BY 1, 2),
+ n AS (SELECT f.id, coalesce(sum(p.tf), 0.0::DOUBLE) AS length FROM f LEFT JOIN p ON p.id = f.id GROUP BY 1),
+ m AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean FROM n), h AS (SELECT term, count(*)::DOUBLE AS holders FROM p GROUP BY 1),
+ a AS (SELECT id AS query_id, unnest(string_split(title_original, ' ')[1:6]) AS x FROM f WHERE id % 100 = 0),
+ b AS (SELECT query_id, unnest({SQL_WORDS.format('x')}) AS w FROM a), q AS (SELECT DISTINCT query_id, {WEAK_STEM_SQL} AS term FROM b),
+ r AS (SELECT q.query_id, p.id AS article_id, floor(sum(ln(1.0::DOUBLE + (m.n - h.holders + 0.5::DOUBLE) / (h.holders + 0.5::DOUBLE)) * (p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n.length / m.mean)))) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score
+  FROM q JOIN p ON p.term = q.term JOIN h ON h.term = q.term JOIN n ON n.id = p.id, m GROUP BY 1, 2),
+ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article_id) AS rank FROM r)
+SELECT query_id, article_id, score, rank FROM o WHERE rank <= 10"""))
+def search_bm25(spark, d):
+    """The ten best articles for the first six words of each title whose id is divisible by 100."""
+    a, index = _searched(spark, d)
+    asked = a.where("article_id % 100 = 0").select(F.col("article_id").alias("query_id"), F.array_join(F.slice(F.split("title_original", " "), 1, 6), " ").alias("query"))
+    return index.ranked(asked)
+
+
+@query(with_views("v_articles", body=SEARCH_VIEW + f""", w AS (
+ SELECT DISTINCT id, unnest({SQL_WORDS.format('title_ai')}) AS word, 0 AS field FROM f UNION SELECT id, unnest({SQL_WORDS.format('title_original')}), 1 FROM f
+ UNION SELECT id, unnest({SQL_WORDS.format('summary_text')}), 2 FROM f UNION SELECT id, unnest({SQL_WORDS.format('topic')}), 3 FROM f UNION SELECT id, unnest({SQL_WORDS.format('source')}), 4 FROM f
+), a AS (SELECT id AS query_id, unnest(string_split(title_original, ' ')[1:3]) AS x FROM f WHERE id % 100 = 0),
+ b AS (SELECT query_id, unnest({SQL_WORDS.format('x')}) AS y FROM a),
+ q AS (SELECT DISTINCT query_id, CASE WHEN length(y) >= 6 THEN substr(y, 1, 2) || substr(y, 4, length(y) - 3) ELSE y END AS term FROM b),
+ v AS (SELECT DISTINCT word FROM w), t AS (SELECT DISTINCT term FROM q),
+ near AS (SELECT term, word, levenshtein({ONE_BYTE.format('term')}, {ONE_BYTE.format('word')}) AS typos FROM t JOIN v ON abs(length(term) - length(word)) <= 2
+  WHERE levenshtein({ONE_BYTE.format('term')}, {ONE_BYTE.format('word')}) <= CASE WHEN length(term) >= 9 THEN 2 WHEN length(term) >= 5 THEN 1 ELSE 0 END),
+ hit AS (SELECT q.query_id, q.term, w.id, min(near.typos * 10 + w.field) AS m FROM q JOIN near ON near.term = q.term JOIN w ON w.word = near.word GROUP BY 1, 2, 3),
+ n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
+ g AS (SELECT hit.query_id, hit.id, sum(m // 10) AS typos, min(m % 10) AS field FROM hit JOIN n ON n.query_id = hit.query_id GROUP BY 1, 2, n.n HAVING count(*) = n.n),
+ o AS (SELECT g.*, row_number() OVER (PARTITION BY g.query_id ORDER BY g.typos, g.field, f.created_at DESC, g.id) AS rank FROM g JOIN f ON f.id = g.id WHERE f.processing_status = 'done')
+SELECT query_id, id AS article_id, typos::INTEGER AS typos, field::INTEGER AS field, rank FROM o WHERE rank <= 20"""))
+def search_typos(spark, d):
+    """Finished articles with the first three words of each title whose id is divisible by 100, a letter missing in longer ones."""
+    a, index = _searched(spark, d)
+    asked = a.where("article_id % 100 = 0").select(F.col("article_id").alias("query_id"), F.explode(F.slice(F.split("title_original", " "), 1, 3)).alias("x"))
+    y = F.col("y")
+    short = F.when(F.char_length(y) >= 6, F.concat(F.substring(y, 1, 2), F.substring(y, F.lit(4), F.char_length(y) - 3))).otherwise(y)
+    asked = asked.select("query_id", F.explode(word_list(F.col("x"))).alias("y")).groupBy("query_id").agg(F.array_join(F.collect_list(short), " ").alias("query"))
+    return index.with_typos(asked, where=F.col("processing_status") == "done").select("query_id", "article_id", "typos", "field", "rank")
+
+
 @query(with_views("v_articles", body=f""" , t AS (SELECT article_id, topic, title_original, created_at FROM v_articles WHERE processing_status = 'done' AND topic IN ('ai', 'finance') AND created_at >= TIMESTAMP '{MID}' - INTERVAL 24 HOURS AND created_at <= TIMESTAMP '{MID}' ORDER BY created_at DESC, article_id LIMIT 5)
 SELECT coalesce(string_agg(title_original, ' | ' ORDER BY created_at DESC, article_id), '') AS briefing FROM t"""))
 def briefing(spark, d):
