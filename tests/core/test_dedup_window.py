@@ -35,18 +35,63 @@ def test_copies_take_no_places(spark, most, copies, names):
     assert got == sequential(rows, most)
 
 
-@pytest.mark.parametrize("places", [1, 7, 4096])
-def test_settling_follows_chains_over_blocks(spark, places):
-    rng = random.Random(places)
-    n, shuffled = 120, list(range(1, 121))
-    rng.shuffle(shuffled)
-    # A chain of all articles, and some links more.
-    links = {(i, i - 1) for i in range(1, n)} | {(i, i - rng.randint(2, min(i, 9))) for i in rng.sample(range(5, n), 30)}
-    kept = {}
+def made(seed, n, names, minutes):
+    """Chains of titles and vectors that drift apart, in bursts of one time."""
+    rng = random.Random(seed)
+    start, rows, at = datetime(2024, 1, 1), [], 0
+    pool = ["".join(rng.choices("abcdefghijklm nopq", k=24)) for _ in range(names)]
     for i in range(n):
-        kept[i] = not any(kept[b] for a, b in links if a == i)
-    if places == 1:  # a round settles one place here
-        links, n = {x for x in links if x[0] < 12}, 12
-    df = spark.createDataFrame([(shuffled[a], shuffled[b], a) for a, b in links], "later long, earlier long, later_n long")
-    got = {r.article_id: r.kept for r in dedup.settle(df, places).collect()}
-    assert got == {shuffled[i]: kept[i] for i in range(1, n)}
+        at += rng.choice([0, 0, minutes, 3 * minutes])
+        k = rng.randrange(names)
+        title = list(pool[k])
+        title[rng.randrange(24)] = rng.choice("xyz")
+        if rng.random() < 0.3:
+            pool[k] = "".join(title)  # what is similar moves on
+        vec = [rng.choice([0.0, 0.6, 0.8, 1.0]) for _ in range(rng.choice([3, 3, 3, 4]))] if rng.random() < 0.6 else None
+        rows.append((rng.choice([1, -1]) * (i + 1) * 7919, f"https://a.example/{rng.randrange(2 * n)}", start + timedelta(minutes=at), None if rng.random() < 0.02 else "".join(title), vec))
+    return rows
+
+
+def whole_fold(rows, hours, most, title=0.8, cos=0.8):
+    """(duplicate, layer, cluster) of each id by the rule, over all three layers."""
+    first, kept, out = {}, [], {}
+    for i, url, at, text, vec in sorted(rows, key=lambda r: (r[2], r[0])):
+        if url in first:
+            out[i] = (True, 1, first[url])
+            continue
+        first[url] = i
+        near = [k for k in reversed(kept[-most:]) if k[1] >= at - timedelta(hours=hours)]
+        hit = next(((2, k[0]) for k in near if SequenceMatcher(None, text or "", k[2] or "").ratio() >= title), None)
+        if hit is None and vec:
+            scored = [(sum(x * y for x, y in zip(vec, k[3])), -n, k[0]) for n, k in enumerate(near) if k[3] and len(k[3]) == len(vec)]
+            best = max(scored, default=None)
+            hit = (3, best[2]) if best and best[0] >= cos else None
+        out[i] = (hit is not None, *(hit or (None, i)))
+        if hit is None:
+            kept.append((i, at, text, vec))
+    for i, (dup, layer, like) in out.items():
+        if layer == 1:
+            out[i] = (dup, layer, out[like][2] if out[like][0] else like)
+    return out
+
+
+@pytest.mark.parametrize("hours,most,segment,warm", [(48, 200, 20_000, 1000), (2, 10, 40, 15), (48, 30, 25, 0), (1, 5, 7, 7), (1000, 500, 60, 10)])
+def test_segments_give_the_sequential_result(spark, hours, most, segment, warm):
+    rows = made(most + segment, 400, 60, 9)
+    df = spark.createDataFrame(rows, "article_id long, url string, created_at timestamp_ntz, title_original string, embedding array<double>").repartition(5)
+    found = dedup.deduplicate(df, hours, most=most, segment=segment, warm=warm).collect()
+    want = whole_fold(rows, hours, most)
+    assert {r.article_id: (r.is_duplicate, r.layer, r.cluster_id) for r in found} == want
+
+
+def test_places_in_arrival_order(spark):
+    rows = [(i, datetime(2024, 1, 1)) for i in range(500)] + [(1000 - i, datetime(2023, 1, 1) + timedelta(hours=i % 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "article_id long, created_at timestamp_ntz").repartition(6)
+    got = [r.article_id for r in dedup.arrival_order(df).orderBy("n").collect()]
+    assert got == [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert sorted(r.n for r in dedup.arrival_order(df).collect()) == list(range(1, 801))
+
+
+def test_no_articles(spark):
+    empty = spark.createDataFrame([], "article_id long, url string, created_at timestamp_ntz, title_original string, embedding array<double>")
+    assert dedup.deduplicate(empty).count() == 0

@@ -268,13 +268,24 @@ def test_streams_without_sql(spark, sql):
     assert len({(r["user_id"], r["article_id"], r["action"]) for r in kept}) == len(kept) > 0
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(search, "BROADCAST_QUERIES", 3)
+def test_nearest_in_blocks(spark):
     e = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "article_id long, embedding array<double>")
     q = e.where("article_id % 4 = 0").select(F.col("article_id").alias("query_id"), F.col("embedding").alias("q"))
-    got = {tuple(r) for r in search.nearest(e, q, 3).collect()}
-    monkeypatch.setattr(search, "BROADCAST_QUERIES", 1000)
+    got = {tuple(r) for r in search.nearest(e, q, 3, block=4).collect()}
     assert got == {tuple(r) for r in search.nearest(e, q, 3).collect()} and len(got) == 30
+    want = set()
+    for i in range(0, 40, 4):
+        best = sorted((-float((i % 7) * (j % 7) + (i % 5) * (j % 5) + 1), j) for j in range(40))[:3]
+        want |= {(i, j, -s, n + 1) for n, (s, j) in enumerate(best)}
+    assert got == want
+
+
+def test_odd_vectors_have_no_neighbours(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
+    e = spark.createDataFrame(rows, "article_id long, embedding array<double>").withColumn("topic", F.lit("t")).withColumn("created_at", F.lit(1))
+    q = e.select(F.col("article_id").alias("query_id"), F.col("embedding").alias("q"))
+    assert {tuple(r)[:3] for r in search.nearest(e, q, 5).collect()} == {(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 1.0), (6, 6, 1.0)}
+    assert {tuple(r)[:2] for r in search.related(e, "topic").collect()} == {(1, 2), (2, 1)}
 
 
 def test_encoder_hook(spark):
