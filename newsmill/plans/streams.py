@@ -102,6 +102,18 @@ def stream_notification_caps(spark, d):
 
 @query()
 def stream_circuit_breaker(spark, d):
-    a = _stream(spark, d).select((F.col("user_id") % 5).alias("source_id"), "created_at", (F.col("action") != "other").alias("ok"))
+    a = _stream(spark, d).select((F.col("user_id") % 5).alias("source_id"), F.col("event_id").cast("bigint").alias("attempt_id"), "created_at", (F.col("action") != "other").alias("ok"))
     out = jobs.available_now(jobs.circuit_breaker(a, 2, 3600))
     return out.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query()
+def stream_recent_duplicates(spark, d):
+    """What arriving articles duplicate among the last kept ones of their language, by title or vector."""
+    path = f"{d}/documents.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")
+    title = F.substring(F.split("text", "\n")[0], 1, 80).alias("title_original")
+    at = F.expr("TIMESTAMP'2024-01-01 00:00:00' + make_dt_interval(0, cast(pmod(doc_id, 720) as int), 0, 0)")
+    a = source.select(F.col("doc_id").alias("article_id"), title, F.coalesce("lang", F.lit("")).alias("lang"), at.alias("created_at")).withWatermark("created_at", "1 hour")
+    a = a.join(v.embeddings(spark, d).select("article_id", "embedding"), "article_id", "left")
+    return jobs.available_now(jobs.recent_duplicates(a, "lang", embed_threshold=0.4))

@@ -7,18 +7,19 @@ still counts in its window, a later one is dropped. Each function takes and retu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
 
 from newsmill.session import shared_path, ship_package
 from newsmill.sources.views import article_of
+from newsmill.streaming.processors import Breaker, Caps, RecentDuplicates
 
 LATE = "1 hour"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def interactions_stream(spark: SparkSession, sf_dir: str, late: str = LATE) -> DataFrame:
@@ -83,7 +84,18 @@ def without_repeats(candidates: DataFrame) -> DataFrame:
     return candidates.dropDuplicatesWithinWatermark(["user_id", "article_id", "action"])
 
 
-CAPS = "user_id long, article_id long, action string, created_at timestamp, accepted boolean"
+def _micros() -> Column:
+    return F.unix_micros("created_at").alias("time")
+
+
+def _stamped(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(*[F.timestamp_micros("time").alias(name) if c == "time" else c for c in rows.columns])
+
+
+def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, timers: str) -> DataFrame:
+    ship_package(rows.sparkSession)
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # state of lists and timers needs it
+    return rows.groupBy(key).transformWithState(processor, schema, "append", timers)
 
 
 def capped(candidates: DataFrame, by_type: dict[str, int], overall: int, hours: int = 24) -> DataFrame:
@@ -91,61 +103,24 @@ def capped(candidates: DataFrame, by_type: dict[str, int], overall: int, hours:
 
     Rows of one trigger are taken in time; a row older than accepted ones counts from its own time on.
     """
-    ship_package(candidates.sparkSession)
-    span = hours * 3600
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, kinds = (list(x) for x in state.get) if state.exists else ([], [])
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(["created_at", "article_id", "action"], kind="stable")
-        accepted = []
-        for t, kind in zip(rows["created_at"], rows["action"]):
-            now = t.timestamp()
-            live = [(a, k) for a, k in zip(times, kinds) if now - a < span]
-            times, kinds = [a for a, _ in live], [k for _, k in live]
-            ok = len(times) < overall and kinds.count(kind) < by_type.get(kind, overall)
-            if ok:
-                times.append(now)
-                kinds.append(kind)
-            accepted.append(ok)
-        state.update((times, kinds))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int((max(rows["created_at"]).timestamp() + span) * 1000)))
-        yield rows[["user_id", "article_id", "action", "created_at"]].assign(accepted=accepted)
-
-    rows = candidates.select("user_id", "article_id", "action", "created_at")
-    return rows.groupBy("user_id").applyInPandasWithState(fold, CAPS, "times array<double>, kinds array<string>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-BREAKER = "source_id long, at timestamp, state string"
+    rows = candidates.select("user_id", "article_id", "action", _micros(), "created_at")
+    found = _with_state(rows, "user_id", Caps(by_type, overall, hours), "user_id long, article_id long, action string, time long, accepted boolean", "eventTime")
+    return _stamped(found, "created_at")
 
 
 def circuit_breaker(attempts: DataFrame, most_failures: int = 5, open_seconds: int = 30) -> DataFrame:
-    """The state after each attempt (source_id, created_at, ok): closed, open after ``most_failures`` in a row, half open
-    for the first attempt ``open_seconds`` later; attempts while open change nothing."""
-    ship_package(attempts.sparkSession)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, failures, opened = state.get if state.exists else ("closed", 0, 0.0)
-        rows = pd.concat(list(parts)).sort_values("created_at", kind="stable")
-        out = []
-        for t, ok in zip(rows["created_at"], rows["ok"]):
-            at = t.timestamp()
-            if now == "open" and at - opened >= open_seconds:
-                now = "half_open"
-            if now != "open":
-                if ok:
-                    now, failures = "closed", 0
-                else:
-                    failures += 1
-                    if now == "half_open" or failures >= most_failures:
-                        now, opened = "open", at
-            out.append(now)
-        state.update((now, failures, opened))
-        yield pd.DataFrame({"source_id": key[0], "at": rows["created_at"], "state": out})
-
-    return attempts.groupBy("source_id").applyInPandasWithState(step, BREAKER, "now string, failures int, opened double", "append", GroupStateTimeout.NoTimeout)
+    """The state after each attempt (source_id, attempt_id, created_at, ok): closed, open after ``most_failures`` in a row, half open
+    for the first attempt ``open_seconds`` later; attempts while open change nothing. Attempts of one time go by their id."""
+    rows = attempts.select("source_id", "attempt_id", "ok", _micros())
+    return _stamped(_with_state(rows, "source_id", Breaker(most_failures, open_seconds), "source_id long, time long, state string", "none"), "at")
+
+
+def recent_duplicates(articles: DataFrame, by: str, hours: int = 48, most: int = 200, title_threshold: float = 0.8, embed_threshold: float = 0.8) -> DataFrame:
+    """(article_id, layer, like): what each article (article_id, created_at, title_original, embedding, ``by``) duplicates among the last ``most``
+    kept ones of ``hours``, null where it is kept. Each value of ``by`` has a window of its own, which
+    is what spreads the work; a constant has the one window of a single node. The state leaves by a timer."""
+    rows = articles.select(F.col(by).alias("by"), "article_id", "title_original", F.col("embedding").cast("array<double>").alias("embedding"), _micros(), "created_at")
+    return _with_state(rows, "by", RecentDuplicates(hours, most, title_threshold, embed_threshold), "article_id long, layer int, like long", "eventTime")
 
 
 def first_of_url(articles: DataFrame) -> DataFrame:
