@@ -161,27 +161,36 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return source.mapInArrow(run, "id long, row long, pairs array<long>, starts array<int>, halves array<int>")
 
 
+def _one_row_each(table: DataFrame) -> DataFrame:
+    """One row of each (id, row). Only rows that repeat both are moved; their chunks are collapsed in tasks first."""
+    twice = table.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "row")
+    twice = materialize(twice, "repeated-rows")
+    if not twice.limit(1).count():
+        return table
+    again = table.join(twice, ["id", "row"], "left_semi").groupBy("id", "row").agg(*(F.first(c).alias(c) for c in ("pairs", "starts", "halves")))
+    return materialize(table.join(twice, ["id", "row"], "left_anti").unionByName(again), "chunks")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
     """(id, row, start, end, n_words, first_id, kept): the repeated spans in code points, ends exclusive.
 
     ``kept`` parts of a span have the smallest id among the holders of a pair over each of their
     chunks; the others are copies. A span of both kinds is cut where the kind changes.
     """
-    table = materialize(chunks(docs, id_col, text_col).where("id IS NOT NULL"), "chunks")
+    table = _one_row_each(materialize(chunks(docs, id_col, text_col).where("id IS NOT NULL"), "chunks"))
     held = table.select("id", F.explode(F.array_distinct("pairs")).alias("pair"))
     repeated = held.groupBy("pair").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id <> last_id")
     repeated = materialize(repeated.select("pair", "first_id"), "repeated-pairs")
     at = table.select("id", "row", F.posexplode("pairs").alias("seq", "pair"))
     hits = at.join(repeated, "pair").select("id", "row", "seq", "first_id")
     order = Window.partitionBy("id", "row").orderBy("seq")
-    # Rows that repeat an id and a text repeat their hits: equal places have one rank, sets hold them once.
-    runs = hits.withColumn("run", F.col("seq") - F.dense_rank().over(order))
-    spans = runs.groupBy("id", "row", "run").agg(F.sort_array(F.collect_set(F.struct("seq", "first_id"))).alias("hits"))
+    runs = hits.withColumn("run", F.col("seq") - F.row_number().over(order))
+    spans = runs.groupBy("id", "row", "run").agg(F.sort_array(F.collect_list(F.struct("seq", "first_id"))).alias("hits"))
     spans = spans.join(table.select("id", "row", "starts", "halves"), ["id", "row"])
     first = F.col("hits")[0]["seq"]
     count = F.least(F.size("hits") + 1, F.size("halves") - first)  # chunks; a text of one chunk has one pair
     total = F.aggregate(F.slice("halves", first + 1, count), F.lit(0), lambda a, x: a + x)
-    spans = spans.where(total >= 2 * min_words).dropDuplicates(["id", "row", "run"])
+    spans = spans.where(total >= 2 * min_words)
     at_text = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(
         (first + k).alias("seq"), F.greatest(F.get("hits", k - 1)["first_id"], F.get("hits", k)["first_id"]).alias("first_id"),
         F.col("starts")[first + k].alias("start"), F.col("starts")[first + k + 1].alias("end"), F.col("halves")[first + k].alias("h"),

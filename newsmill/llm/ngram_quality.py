@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsmill.llm.batches import slices
@@ -51,6 +51,8 @@ BROADCAST_GRAMS = 4_000_000
 FILTER_BITS = 25
 PAGE_BYTES = 1 << 20
 HELD_OUT, LEAST_HELD_OUT = 10, 20
+#: Bins of a factor e of perplexity, for counts of held-out texts.
+BINS = 1000
 LENGTHS = (200, 1000)  # length classes in characters: below, between, from
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio's odd multiplier
@@ -390,6 +392,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame, broadcast_grams: int = BRO
     return scored.select("id", "lang", "n_chars", rate.alias("perplexity"))
 
 
+def _limits(binned: DataFrame, keys: list[str], quantile: float, margin: float, least: int, name: str) -> DataFrame:
+    """(keys, name): ``margin`` times the upper edge of the bin that holds the quantile, by whole counts, so the same in every run; classes of fewer than ``least`` have none."""
+    added = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    class_ = Window.partitionBy(*keys)  # a row a bin of a class
+    ranked = added.withColumn("upto", F.sum("n").over(class_.orderBy("bin"))).withColumn("all", F.sum("n").over(class_))
+    reached = ranked.where((F.col("all") >= least) & (F.col("upto") >= F.ceil(F.col("all") * F.lit(quantile))))
+    return reached.groupBy(*keys).agg((F.exp((F.min("bin") + 1) / F.lit(float(BINS))) * margin).alias(name))
+
+
 def classify(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     quantile: float = 0.99, margin: float = 1.25, broadcast_grams: int = BROADCAST_GRAMS, unit: Unit = CHARACTERS,
@@ -401,11 +412,11 @@ def classify(
     scored = materialize(perplexities(source, trusted.where(~held_out), broadcast_grams, unit), "perplexities")
     scored = scored.withColumn("l", F.coalesce("lang", F.lit(""))).withColumn("size", sum((F.col("n_chars") >= x).cast("int") for x in LENGTHS))
     good = scored.join(trusted.where(held_out), "id", "left_semi").where("perplexity IS NOT NULL")
-    at = F.percentile_approx("perplexity", quantile, 10_000) * margin
-    enough = F.count(F.lit(1)) >= LEAST_HELD_OUT
-    by_class = materialize(good.groupBy("l", "size").agg(F.when(enough, at).alias("limit_class")), "limits")
-    by_lang = materialize(good.groupBy("l").agg(F.when(enough, at).alias("limit_lang")), "limits")
-    over_all = F.lit(good.agg(at).first()[0]).cast("double")  # one number
+    binned = good.withColumn("bin", F.floor(F.log("perplexity") * BINS)).groupBy("l", "size", "bin").agg(F.count(F.lit(1)).alias("n"))
+    binned = materialize(binned, "held-out-bins")
+    by_class = materialize(_limits(binned, ["l", "size"], quantile, margin, LEAST_HELD_OUT, "limit_class"), "limits")
+    by_lang = materialize(_limits(binned, ["l"], quantile, margin, LEAST_HELD_OUT, "limit_lang"), "limits")
+    over_all = F.lit(next((r[0] for r in _limits(binned, [], quantile, margin, 1, "limit").collect()), None)).cast("double")  # one number
     limits = scored.join(by_class, ["l", "size"], "left").join(by_lang, "l", "left")
     limit = F.coalesce("limit_class", "limit_lang", over_all)
     return limits.select("id", "lang", "n_chars", "perplexity", limit.alias("limit"), F.coalesce(F.col("perplexity") <= limit, F.lit(True)).alias("kept"))

@@ -166,9 +166,9 @@ def _counted_words(counts: Counter[str]) -> pa.RecordBatch:
 def ranked_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least_docs: int = LEAST_DOCS) -> list[str]:
     """The words that most documents hold, at most ``most``, ties by name; a row is a document.
 
-    Words of one count come in or stay out together: how many words have each count tells the least
-    count, and only the words from it on, ``most`` of them at most, leave the tasks. Tasks count before
-    they shuffle, and hand on what they have counted when that is ``COUNTED_WORDS`` words.
+    How many words have each count tells the border's count; the words above it and the first by name of the
+    border's own leave the tasks, ``most`` together at most. Tasks count before they shuffle, and hand on
+    what they have counted when that is ``COUNTED_WORDS`` words.
     """
     ship_package(docs.sparkSession)
 
@@ -185,10 +185,12 @@ def ranked_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "w string, n long")
     ranked = materialize(counted.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs), "word-counts")
     by_count = ranked.groupBy("n").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(F.desc("n"))))
-    least = by_count.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
-    if least is None:
-        return []
-    return [r.w for r in sorted(ranked.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.w))]
+    above = by_count.where(F.col("upto") <= most).agg(F.min("n"), F.max("upto")).first()
+    whole = [] if above[0] is None else ranked.where(F.col("n") >= above[0]).collect()
+    border = by_count.where(F.col("upto") > most).agg(F.max("n")).first()[0]
+    room = most - (above[1] or 0)
+    tied = [] if border is None or not room else ranked.where(F.col("n") == border).orderBy("w").limit(room).collect()
+    return [r.w for r in sorted(whole + tied, key=lambda r: (-r.n, r.w.encode()))]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
