@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsmill.functions import html, text as X, urls as U, vectors as V, wordlists as L
+from newsmill.functions import html, text as X, tree, urls as U, vectors as V, wordlists as L
 from newsmill.functions.stems import WEAK_STEM_SQL, word_list
 from newsmill.operators import dedup, fulltext, ingest, search
 from newsmill.operators.commerce import insert_new
@@ -12,6 +12,7 @@ from newsmill.operators.engagement import half_up
 from newsmill.operators.feed import reading_seconds, top_per_key
 from newsmill.session import shared_path, ship_package
 from newsmill.sources import feeds
+from newsmill.sources.feedsource import FeedSource
 from newsmill.sources import views as v
 from newsmill.sources.views import AS_OF, MID, with_views
 
@@ -219,6 +220,37 @@ def listing_links(spark, d):
     return feeds.listing_links(v.pages(spark, d))
 
 
+@query("""WITH n AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages),
+ a AS (SELECT page_id, root, unnest(regexp_extract_all(nav, '(?s)<a href="[^"]*">.*?</a>')) AS a, unnest(range(len(regexp_extract_all(nav, '(?s)<a href="[^"]*">.*?</a>')))) AS pos FROM n),
+ l AS (SELECT page_id, pos, root || trim(replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&')) AS link, trim(replace(regexp_extract(a, '(?s)>(.*?)<', 1), '&amp;', '&')) AS title FROM a),
+ f AS (SELECT page_id, link, min(pos) AS pos, arg_min(title, pos) AS title FROM l GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS position FROM f)
+SELECT page_id, position::INTEGER AS position, link, title FROM r WHERE position <= 20""")
+def listing_selected(spark, d):
+    """The links that a selector finds on each page, the first of each, twenty at most."""
+    ship_package(spark)
+    found = v.pages(spark, d).select("page_id", F.posexplode(tree.selected_links(F.col("html"), F.col("url"), "nav a")).alias("i", "l"))
+    return found.select("page_id", (F.col("i") + 1).alias("position"), "l.link", "l.title")
+
+
+@query()
+def page_articles(spark, d):
+    """Title and text of each page's article, and how they were found."""
+    ship_package(spark)
+    return v.pages(spark, d).select("page_id", tree.article_of_page(F.col("html")).alias("a")).select("page_id", "a.title", "a.text", "a.via")
+
+
+@query("""SELECT DISTINCT 'https://a.example/' || doc_id AS url, trim(regexp_replace(regexp_replace(substr(text, 1, 40), '[<>&]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents""")
+def feed_files(spark, d):
+    """Entries of feed files, which are written here from the documents and read through the feed source."""
+    ship_package(spark)
+    path = shared_path(spark, "feed-files")
+    title = F.trim(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 40), "[<>&]", " "), r"\s+", " "))
+    items = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://a.example/"), F.col("doc_id").cast("string"), F.lit("</link></item>"))
+    _docs(spark, d).select(items.alias("value")).write.text(path)
+    spark.dataSource.register(FeedSource)
+    return spark.read.format("feed").option("endings", ".txt").load(path).select("url", "title")
+
+
 @query()
 def feed_autodetect(spark, d):
     return feeds.feed_links(v.pages(spark, d))
