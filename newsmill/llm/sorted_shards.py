@@ -44,7 +44,7 @@ from newsmill.session import shared_path, ship_package
 
 BLOCK_BYTES = 256 << 10
 #: Blocks of a shard at most; a block is larger than BLOCK_BYTES only where its last document makes it so.
-SHARD_BLOCKS = 253
+SHARD_BLOCKS = 125
 CATALOGUE = "_catalogue"
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"NMSST01"
@@ -190,7 +190,8 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], ["record"])
 
     by_id = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    by_id = by_id.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    # The text's hash is part of the range, so rows of one id are spread.
+    by_id = by_id.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
     records = by_id.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
     # Every shard but a task's last has this many records, so Spark's files end where shards end.
     records.write.option("maxRecordsPerFile", shard_blocks + 3).text(path)
@@ -305,7 +306,9 @@ def token_starts(spark: SparkSession, path: str) -> DataFrame:
         return [pa.array([len(w) for w in wide], pa.int64()), pa.array([zlib.crc32(w.tobytes()) for w in wide], pa.int64())]
 
     rows = _read(spark, path, "n_tokens long, ids_crc32 long", digests)
-    order = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    # Shards of one id alone are in the order of the tasks that wrote them.
+    task = F.regexp_extract("shard", r"part-(\d+)", 1).try_cast("int")
+    order = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), task, "shard").rowsBetween(Window.unboundedPreceding, -1)
     before = footers(spark, path).select("shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
     return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
