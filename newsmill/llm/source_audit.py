@@ -37,7 +37,7 @@ MIN_DOCS, MOST_TERMS = 30, 50
 #: Entries (a term of a source) of a shard on average: as many as its pairs of sources, within these bounds. Sources whose pairs one task compares with all later ones.
 LEAST_ENTRIES, MOST_ENTRIES, BLOCK_SOURCES = 1 << 14, 1 << 20, 256
 #: Bytes of text that are cut into terms at a time, and counted rows that a task holds before it hands them on.
-BATCH_BYTES, HELD_ROWS = 2 << 20, 1 << 20
+BATCH_BYTES, HELD_ROWS = 2 << 20, 1 << 19
 
 IN_TERM = np.array([b >= 0x80 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
 LOWERED = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
