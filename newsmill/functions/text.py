@@ -10,10 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsmill.functions import wordlists as L
+from newsmill.functions.keywords import contained, group_counts
 from newsmill.functions.repeats import repeated_phrases
 
 VN = "[" + L.vietnamese_letters() + "]"
 LETTER = r"\p{L}"
+#: Keywords up to which a scan each, within the plan, costs less than handing the text to a task's Python.
+LONG_LIST = 64
 URL = r"(?i)https?://\S+"
 CAPS = r"(?U)\b[A-ZÀÁẠẢÃÂẦẤẬẨẪĂẰẮẶẲẴ]{5,}\b"
 
@@ -102,15 +105,11 @@ def overall_quality(length: Column, structure: Column, vietnamese: Column, spam:
 # --- topics, sentiment, moderation
 
 
-def keyword_hits(text: Column, keywords: list[str]) -> Column:
-    """Whole keywords, longest first, without overlap, in either case."""
-    return F.regexp_count(text, F.lit(rf"(?iU)(?<!\w)(?:{quoted(keywords)})(?!\w)"))
-
-
 def topic_scores(title: Column, text: Column, topics: dict[str, list[str]]) -> Column:
-    """A map of title hits twice and text hits once."""
-    pairs = [x for t, k in topics.items() for x in (F.lit(t), 2 * keyword_hits(title, k) + keyword_hits(text, k))]
-    return F.create_map(*pairs)
+    """A map of title hits twice and text hits once: whole keywords, longest first, without overlap, in either case; one scan a field."""
+    groups = list(topics.values())
+    both = lambda counts: F.create_map(*[x for i, t in enumerate(topics) for x in (F.lit(t), 2 * counts["a"][i] + counts["b"][i])])
+    return _let(F.struct(group_counts(title, groups).alias("a"), group_counts(text, groups).alias("b")), both)
 
 
 def best_topic(scores: Column, topics: list[str], default: str = L.DEFAULT_TOPIC) -> Column:
@@ -135,8 +134,11 @@ def hybrid_topic(keyword: Column, zero_shot: Column, topics: list[str], threshol
 
 
 def containing(text: Column, keywords: list[str]) -> Column:
-    """The keywords that the lower-case text contains anywhere."""
+    """The keywords that the lower-case text contains anywhere; a long list is looked for in one scan."""
     low = F.lower(text)
+    if len(keywords) > LONG_LIST:
+        written = {k.lower(): k for k in keywords}
+        return F.transform(contained(low, list(written)), lambda k: F.element_at(F.create_map(*[F.lit(x) for kv in written.items() for x in kv]), k))
     return F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(low, F.lower(k)))
 
 

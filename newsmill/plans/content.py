@@ -67,6 +67,7 @@ def _token_count(words: list[str]) -> str:
 
 @query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}_]+') AS w FROM documents), s AS (SELECT doc_id, " + ", ".join(f"{_token_count(k)} AS n_{t}" for t, k in FIXTURE_TOPICS.items()) + " FROM t) SELECT *, CASE " + " ".join(f"WHEN n_{t} > 0 AND n_{t} = greatest({', '.join('n_' + o for o in FIXTURE_TOPICS)}) THEN '{t}'" for t in FIXTURE_TOPICS) + " ELSE 'lifestyle' END AS topic FROM s")
 def topic_scores(spark, d):
+    ship_package(spark)
     rows = _docs(spark, d).withColumn("s", X.topic_scores(F.lit(""), F.col("text"), FIXTURE_TOPICS))
     return rows.select("doc_id", *[F.col("s")[t].cast("bigint").alias(f"n_{t}") for t in FIXTURE_TOPICS], X.best_topic(F.col("s"), list(FIXTURE_TOPICS)).alias("topic"))
 
@@ -86,6 +87,7 @@ SELECT article_id, CASE WHEN {' + '.join('k_' + t for t in names)} > 2 OR articl
 @query(_hybrid_sql())
 def hybrid_topics(spark, d):
     """Keyword topics, with scores of a model joined in for a fifth of the articles (here: made from the id)."""
+    ship_package(spark)
     a = v.articles(spark, d)
     names = list(FIXTURE_TOPICS)
     model = F.when(F.col("article_id") % 5 == 0, F.create_map(*[x for i, t in enumerate(names) for x in (F.lit(t), (F.pmod(F.col("article_id") + i, F.lit(7)) / 7.0))]))

@@ -1,5 +1,6 @@
 """Column functions against plain restatements of their rules."""
 
+import random
 import re
 import unicodedata
 
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from newsmill.functions import html, text as X, urls as U, wordlists as L
+from newsmill.functions.keywords import count_groups, group_counts
 
 TEXT = st.text(st.characters(codec="utf-8", exclude_characters="\x00"), max_size=400)
 VN = st.text(st.sampled_from("aăâeêioôơuưyđáàảãạ ĐẾ.!?\n xyz ai"), min_size=1, max_size=300)
@@ -57,8 +59,8 @@ def plain_topic(title, text, topics):
 
 def test_topics(spark):
     rows = [
-        ("AI", "x"), ("", "éai ai-ai"), ("bóng đá", "nhạc phim"), ("", "không có gì"), ("Fed", "gdp GDP data"), ("", "deep dive vào dữ liệu data"),
-        ("", "the who and WHO"), ("sức khỏe", ""), ("game", "game game"), ("", "fanfare fan."),
+        ("AI", "x"), ("", "éai ai-ai"), ("bóng đá", "nhạc phim"), ("", "không có gì"), ("Dividend", "gdp GDP data"), ("", "Language Model và dữ liệu data"),
+        ("", "box office BOX OFFICE"), ("SỨC KHỎE", ""), ("game", "game game"), ("", "fanfare fan."),
     ]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, title string, body string")
     s = X.topic_scores(F.col("title"), F.col("body"), L.TOPIC_KEYWORDS)
@@ -66,6 +68,29 @@ def test_topics(spark):
     assert got == [plain_topic(a, b, L.TOPIC_KEYWORDS) for a, b in rows]
 
 
+def test_a_dictionary_of_thousands_equals_the_patterns(spark):
+    rng = random.Random(8)
+    part = lambda: "".join(rng.choices("abcđeéAK ", k=rng.randint(1, 5))).strip() or "a"
+    topics = {f"t{i}": list({part() for _ in range(400)} | {part() + " " + part() for _ in range(200)}) for i in range(6)}
+    texts = ["".join(rng.choices("abcđeéĐÉAKk _-1.", k=rng.randint(0, 400))) for _ in range(40)] + ["", "Đé", "a" * 5000, "K\u212a \u0130 i ſ s"]
+    groups = tuple(tuple(k) for k in topics.values())
+    patterns = [re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(k, key=len, reverse=True))) + r")(?!\w)", re.I) for k in topics.values()]
+    for t in texts[:-1]:
+        assert count_groups(t, groups) == [len(p.findall(t)) for p in patterns]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", group_counts(F.col("t"), list(topics.values())).alias("c")).collect()}
+    assert got[0] == count_groups(texts[0], groups) and got[99] is None
+    many = sorted({k for g in groups for k in g})
+    some = {r.i: r.c for r in df.select("i", X.containing(F.col("t"), many).alias("c")).collect()}
+    assert {k.lower() for k in some[3]} == {k.lower() for k in many if k.lower() in texts[3].lower()} and some[99] is None
+
+
+def test_topics_of_a_table(spark):
+    rows = [("sport", "b"), ("own", "x"), ("ai", "a"), ("sport", "a"), ("sport", "a")]
+    assert L.topics_from(spark.createDataFrame(rows, "topic string, keyword string")) == {"ai": ["a"], "sport": ["a", "b"], "own": ["x"]}
+    assert list(L.topics_from(spark.createDataFrame(rows, "topic string, keyword string"))) == ["ai", "sport", "own"]
+
+
 def test_hybrid_topic_uses_the_model_only_at_few_hits(spark):
     names = ["a", "b"]
     df = spark.createDataFrame([(0, {"a": 3.0, "b": 0.0}, {"a": 0.0, "b": 1.0}), (1, {"a": 2.0, "b": 0.0}, {"a": 0.0, "b": 1.0}), (2, {"a": 1.0, "b": 0.0}, None)], "i int, k map<string,double>, z map<string,double>")
