@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from newsmill.operators import commerce as C
 from newsmill.operators import engagement as E
 from newsmill.operators import feed, notify
+from newsmill.operators.keyed import KeyedTable
+from newsmill.session import shared_path
 from newsmill.sources import views as v
 from newsmill.sources.views import AS_OF, MID, with_views
 
@@ -76,6 +78,27 @@ def reaction_upsert(spark, d):
     return C.latest_wins(v.reactions(spark, d).withColumn("t", F.col("type")), ["article_id", "user_id"], "t", ["type"])
 
 
+@query(ORACLES["reaction_upsert"])
+def reaction_table(spark, d):
+    """The same as a table that three batches change, one of them twice."""
+    rows = v.reactions(spark, d).select("article_id", "user_id", "type")
+    table = KeyedTable(spark, shared_path(spark, "reactions"), ["article_id", "user_id"], rows.schema, 16)
+    for n in (0, 1, 1, 2):
+        table.upsert(rows.where(F.pmod("user_id", F.lit(3)) == n), n, "type")
+    return table.read()
+
+
+@query(with_views("v_interactions", body=" SELECT article_id, count(*) FILTER (WHERE action = 'view') AS views, count(*) FILTER (WHERE action = 'share') AS shares FROM v_interactions WHERE article_id IS NOT NULL GROUP BY 1"))
+def article_counters(spark, d):
+    """Views and shares of each article as a table that batches add to."""
+    rows = v.interactions(spark, d).where("article_id IS NOT NULL")
+    rows = rows.select("article_id", (F.col("action") == "view").cast("bigint").alias("views"), (F.col("action") == "share").cast("bigint").alias("shares"), F.pmod(F.col("user_id"), F.lit(3)).alias("part"))
+    table = KeyedTable(spark, shared_path(spark, "counters"), ["article_id"], rows.drop("part").schema, 16)
+    for n in (0, 1, 2, 2):
+        table.increment(rows.where(F.col("part") == n).drop("part"), n, ["views", "shares"])
+    return table.read()
+
+
 RECENT = "created_at >= TIMESTAMP '2024-01-16 12:00:00' - INTERVAL 24 HOURS"
 
 

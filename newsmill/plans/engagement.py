@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsmill.operators import engagement as E
+from newsmill.operators import bitmaps, engagement as E
 from newsmill.operators import feed
+from newsmill.session import materialize
 from newsmill.sources import views as v
 from newsmill.sources.views import AS_OF, MID, with_views
 
@@ -97,6 +98,26 @@ def retention_d7(spark, d):
     return E.retention(activity(spark, d)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+def _daily(spark, d):
+    """The bitmaps of all days, as the table that a daily job keeps."""
+    return materialize(bitmaps.daily_users(v.interactions(spark, d)), "daily-users")
+
+
+@query(ORACLES["dau"])
+def dau_bitmaps(spark, d):
+    return bitmaps.active_users(_daily(spark, d), F.date_format("day", "yyyy-MM-dd"))
+
+
+@query(ORACLES["mau"])
+def mau_bitmaps(spark, d):
+    return bitmaps.active_users(_daily(spark, d), F.date_format("day", "yyyy-MM"))
+
+
+@query(ORACLES["retention_d7"])
+def retention_bitmaps(spark, d):
+    return bitmaps.retention(_daily(spark, d)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query(with_views("v_interactions", body=ACTIVITY + " SELECT floor(avg(sessions) * 1000000 + 0.5) / 1000000 AS avg_sessions, floor(avg(articles_viewed) * 1000000 + 0.5) / 1000000 AS avg_articles FROM act"))
 def engagement_avg(spark, d):
     a = E.engagement_averages(activity(spark, d))
