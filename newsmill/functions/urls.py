@@ -36,6 +36,12 @@ def is_image_url(url: Column) -> Column:
     return F.coalesce(F.startswith(url, F.lit("http")), F.lit(False))
 
 
+def valid_image(url: Column, status: Column, content_type: Column, length: Column, least: int) -> Column:
+    """The address if the reply to a request for its head (joined in) is an image of at least ``least`` bytes, or of unknown size; else null."""
+    good = is_image_url(url) & (status == 200) & F.startswith(content_type, F.lit("image/")) & (F.coalesce(length, F.lit(least)) >= least)
+    return F.when(good, url)
+
+
 def authority(url: Column) -> Column:
     """Host with port and user, in lower case; empty without one."""
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))

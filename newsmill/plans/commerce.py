@@ -211,7 +211,15 @@ def trending_targets(spark, d):
     return notify.opted_in(v.users(spark, d), "pref_trending").select("user_id").crossJoin(five)
 
 
-@query()
+#: The fold in SQL: a step a candidate of a user, with what was accepted within 24 hours as a list.
+CAPS = """ , n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, article_id NULLS FIRST, action) AS i FROM v_interactions),
+ r AS (SELECT user_id, article_id, action, created_at, i, true AS accepted, [{'t': created_at, 'k': action}] AS sent FROM n WHERE i = 1
+  UNION ALL SELECT user_id, article_id, action, created_at, i, ok, CASE WHEN ok THEN list_append(live, {'t': created_at, 'k': action}) ELSE live END FROM
+   (SELECT n.*, live, len(live) < 3 AND len(list_filter(live, lambda x: x.k = n.action)) < CASE n.action WHEN 'share' THEN 1 ELSE 3 END AS ok FROM
+    (SELECT n.*, list_filter(r.sent, lambda x: x.t > n.created_at - INTERVAL 24 HOURS) AS live FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1) n))"""
+
+
+@query("WITH RECURSIVE" + with_views("v_interactions", body=CAPS + " SELECT user_id, article_id, action AS type, created_at, accepted FROM r")[4:])
 def notification_caps(spark, d):
     """Candidates accepted under the caps, one after another in time for each user."""
     c = v.interactions(spark, d).select("user_id", "article_id", F.col("action").alias("type"), "created_at")

@@ -235,7 +235,15 @@ def clean_html(spark, d):
     return v.pages(spark, d).select("page_id", html.clean_html(F.col("html")).alias("text"))
 
 
-@query()
+ANCHORS = """(?is)<a\\b[^>]*\\bhref=["''][^"'']+["''][^>]*>.*?</a>"""
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_extract_all(html, '{ANCHORS}') AS a FROM pages),
+ x AS (SELECT page_id, root, unnest(a) AS a, unnest(range(len(a))) AS pos FROM p),
+ l AS (SELECT page_id, pos, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h ELSE root || h END AS link, title FROM
+  (SELECT page_id, root, pos, trim(regexp_extract(a, '(?is)\\bhref=["'']([^"'']+)["'']', 1)) AS h, trim(regexp_replace(regexp_extract(a, '(?is)>(.*)</a>', 1), '<[^>]*>', '', 'g')) AS title FROM x) WHERE NOT regexp_matches(h, '(?i)^(#|javascript:)')),
+ f AS (SELECT page_id, link, min(pos) AS pos, arg_min(title, pos) AS title FROM l GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS position FROM f)
+SELECT page_id, position, link, title FROM r WHERE position <= 20""")
 def listing_links(spark, d):
     return feeds.listing_links(v.pages(spark, d))
 
@@ -271,7 +279,8 @@ def feed_files(spark, d):
     return spark.read.format("feed").option("endings", ".txt").load(path).select("url", "title")
 
 
-@query()
+@query("""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS domain, len(list_filter(regexp_extract_all(html, '(?is)<link\\b[^>]*>'), lambda t: regexp_matches(t, '(?is)rel=["'']?alternate'))) AS n FROM pages)
+SELECT page_id, n > 0 AS in_page, 'https://' || domain || unnest(['/rss', '/rss/home.rss', '/rss/tin-moi-nhat.rss', '/feed', '/feed/rss', '/atom.xml', '/rss.xml']) AS feed FROM p""")
 def feed_autodetect(spark, d):
     return feeds.feed_links(v.pages(spark, d))
 
@@ -296,6 +305,46 @@ def share_cards(spark, d):
     return _docs(spark, d).select("doc_id", feeds.share_card(F.col("text"), F.lit("")).alias("c")).select("doc_id", "c.line1", "c.line2")
 
 
+ESCAPED = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+SVG_LINE = "'<text x=\"64\" y=\"{}\" font-size=\"{}\" fill=\"#f8fafc\">' || {} || '</text>'"
+
+
+@query(with_views("v_articles", body=f""" SELECT article_id, '<svg xmlns="http://www.w3.org/2000/svg" width="1200" height="630"><rect width="100%" height="100%" fill="#0f172a"/><g font-family="sans-serif">'
+ || {SVG_LINE.format(88, 24, "upper(topic)")} || {SVG_LINE.format(172, 46, ESCAPED.format("substr(title_original, 1, 60)"))}
+ || CASE WHEN length(title_original) > 60 THEN {SVG_LINE.format(232, 46, ESCAPED.format("substr(title_original, 61, 60)"))} ELSE '' END
+ || {SVG_LINE.format(328, 28, ESCAPED.format("substr(content_clean, 81, 80)"))} || {SVG_LINE.format(552, 26, "'News &amp; more'")} || {SVG_LINE.format(590, 20, "'news.example'")} || '</g></svg>' AS svg FROM v_articles"""))
+def share_images(spark, d):
+    """Each article's share image; its bullet is what follows the title."""
+    a = v.articles(spark, d)
+    return a.select("article_id", feeds.share_image(F.col("topic"), F.col("title_original"), F.substring("content_clean", 81, 1000), "News & more", "news.example").alias("svg"))
+
+
+@query("""WITH h AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 404 ELSE 200 END AS status, CASE page_id % 4 WHEN 1 THEN 'text/html' WHEN 2 THEN NULL ELSE 'image/png' END AS kind, CASE WHEN page_id % 5 > 0 THEN page_id * 40 END AS size FROM pages)
+SELECT page_id, CASE WHEN url LIKE 'http%' AND status = 200 AND kind LIKE 'image/%' AND coalesce(size, 5000) >= 5000 THEN url END AS image_url FROM h""")
+def valid_images(spark, d):
+    """Addresses whose replies are images (replies are made from the pages' ids here)."""
+    n = F.col("page_id")
+    kind = F.when(n % 4 == 1, "text/html").when(n % 4 == 2, F.lit(None)).otherwise("image/png")
+    status, size = F.when(n % 3 == 0, 404).otherwise(200), F.when(n % 5 > 0, n * 40)
+    return v.pages(spark, d).select("page_id", U.valid_image(F.col("url"), status, kind, size, 5000).alias("image_url"))
+
+
+@query(with_views("v_articles", body=" SELECT * EXCLUDE (content_clean, created_at), strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM v_articles"))
+def article_listing(spark, d):
+    """All of an article but its text, which a listing doesn't read."""
+    return v.articles(spark, d).drop("content_clean").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH d AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'm.facebook.com' WHEN 1 THEN 'x.com' WHEN 2 THEN 'box.com' ELSE regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') END AS domain FROM pages)
+SELECT page_id, domain, domain IN ('m.facebook.com', 'x.com') AS skipped, array_to_string(list_transform(string_split(replace(split_part(domain, '.', 1), '-', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM d""")
+def skipped_domains(spark, d):
+    """Whether a domain is passed over, itself or as part of one that is, and the name of its source."""
+    n = F.col("page_id") % 5
+    name = F.when(n == 0, "m.facebook.com").when(n == 1, "x.com").when(n == 2, "box.com").otherwise(U.domain(F.col("url")))
+    rows = v.pages(spark, d).select("page_id", name.alias("domain"))
+    return rows.select("page_id", "domain", U.is_skipped(F.col("domain")).alias("skipped"), U.source_name(F.col("domain")).alias("name"))
+
+
 # --- vectors, search, dedup
 
 
@@ -364,7 +413,8 @@ def search_tokens(spark, d):
     return found.orderBy(F.desc("score"), "article_id").limit(20).select("article_id", "score")
 
 
-@query()
+@query(with_views("v_articles", body=""" , t AS (SELECT article_id, created_at, title_original, list_filter(regexp_split_to_array(lower(title_original), '[^\\p{L}\\p{M}\\p{Nd}_]+'), lambda w: levenshtein(translate(w, 'èéñßêçíüöóä', 'ABCDEFGHIJK'), 'ering') <= 1) AS hits FROM v_articles)
+SELECT article_id, replace(regexp_replace(regexp_replace(title_original, '([^\\p{L}\\p{M}\\p{Nd}_])', '\\1' || chr(1), 'g'), '(^|' || chr(1) || ')(' || array_to_string(list_distinct(hits), '|') || ')($|[^\\p{L}\\p{M}\\p{Nd}_])', '\\1<mark>\\2</mark>\\3', 'gi'), chr(1), '') AS highlighted FROM t WHERE len(hits) > 0 ORDER BY created_at DESC, article_id LIMIT 50"""))
 def search_fuzzy(spark, d):
     found = search.fuzzy_search(v.articles(spark, d), "ering", "title_original")
     return found.orderBy(F.desc("created_at"), "article_id").limit(50).select("article_id", "highlighted")

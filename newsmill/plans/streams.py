@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsmill.plans.commerce import CAPS
 from newsmill.sources import views as v
 from newsmill.sources.views import with_views
 from newsmill.streaming import jobs
@@ -89,18 +90,24 @@ def stream_crawl_cycle(spark, d):
     return jobs.available_now(source, process=gates, schema=gates(spark.read.parquet(path)).schema)
 
 
-@query()
+@query(with_views("v_interactions", body=" SELECT DISTINCT user_id, article_id, action FROM v_interactions"))
 def stream_without_repeats(spark, d):
-    return jobs.available_now(jobs.without_repeats(_stream(spark, d, "24 hours"))).select("user_id", "article_id", "action", "event_id")
+    """The stream reads all files at once, so nothing expires in between."""
+    return jobs.available_now(jobs.without_repeats(_stream(spark, d, "24 hours"))).select("user_id", "article_id", "action")
 
 
-@query()
+@query("WITH RECURSIVE" + with_views("v_interactions", body=CAPS + " SELECT user_id, article_id, action, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, accepted FROM r")[4:])
 def stream_notification_caps(spark, d):
     out = jobs.available_now(jobs.capped(_stream(spark, d), {"view": 3, "share": 1}, 3))
     return out.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT user_id % 5 AS source_id, CAST(ts AS TIMESTAMP) AS t, event_type IN ('view', 'click', 'purchase', 'signup') AS ok, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS i FROM events),
+ r AS (SELECT source_id, t, i, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failures, t AS opened FROM n WHERE i = 1
+  UNION ALL SELECT source_id, t, i, CASE WHEN now = 'open' THEN 'open' WHEN ok THEN 'closed' WHEN now = 'half_open' OR failures + 1 >= 2 THEN 'open' ELSE now END,
+    CASE WHEN now = 'open' THEN failures WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN now <> 'open' AND NOT ok AND (now = 'half_open' OR failures + 1 >= 2) THEN t ELSE opened END FROM
+   (SELECT n.*, r.failures, r.opened, CASE WHEN r.state = 'open' AND n.t - r.opened >= INTERVAL 1 HOUR THEN 'half_open' ELSE r.state END AS now FROM r JOIN n ON n.source_id = r.source_id AND n.i = r.i + 1))
+SELECT source_id, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS "at", state FROM r""")
 def stream_circuit_breaker(spark, d):
     a = _stream(spark, d).select((F.col("user_id") % 5).alias("source_id"), F.col("event_id").cast("bigint").alias("attempt_id"), "created_at", (F.col("action") != "other").alias("ok"))
     out = jobs.available_now(jobs.circuit_breaker(a, 2, 3600))

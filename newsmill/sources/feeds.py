@@ -113,6 +113,15 @@ def share_card(title: Column, bullet: Column) -> Column:
     return F.struct(cut(title, 1, 60).alias("line1"), cut(title, 61, 60).alias("line2"), cut(bullet, 1, 80).alias("bullet"))
 
 
+def share_image(topic: Column, title: Column, bullet: Column, brand: str, site: str) -> Column:
+    """The share image of an article as SVG: its topic, its title in one or two lines and its first bullet; ``brand`` and ``site`` stand below."""
+    card, line = share_card(title, F.coalesce(bullet, F.lit(""))), lambda y, size, c: F.concat(F.lit(f'<text x="64" y="{y}" font-size="{size}" fill="#f8fafc">'), c, F.lit("</text>"))
+    head = '<svg xmlns="http://www.w3.org/2000/svg" width="1200" height="630"><rect width="100%" height="100%" fill="#0f172a"/><g font-family="sans-serif">'
+    second = F.when(F.char_length(title) > 60, line(232, 46, card["line2"])).otherwise(F.lit(""))
+    foot = line(552, 26, xml_escaped(F.lit(brand))), line(590, 20, xml_escaped(F.lit(site)))
+    return F.concat(F.lit(head), line(88, 24, xml_escaped(F.upper(topic))), line(172, 46, card["line1"]), second, line(328, 28, card["bullet"]), *foot, F.lit("</g></svg>"))
+
+
 def newest_cached(rows: DataFrame, most: int = 50) -> DataFrame:
     """A client's cache: the latest copy of each id, the newest ``most``. Of copies of one time the one of the greatest hash stays."""
     w = Window.partitionBy("id").orderBy(F.desc("cached_at"), F.desc(F.xxhash64(*sorted(rows.columns))))
