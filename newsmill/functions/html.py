@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsmill.functions.recent import common_length
 from newsmill.functions.text import without_artifacts
 from newsmill.functions.wordlists import STRIPPED_NAMES, STRIPPED_TAGS
 
@@ -77,7 +78,7 @@ def clean_html(html: Column) -> Column:
 
 
 def title_ratio(a: Column, b: Column, least: float = 0.5) -> Column:
-    """The matching-blocks ratio; not symmetric. Pairs whose letters rule out ``least`` get an upper bound below it instead."""
+    """The matching-blocks ratio; not symmetric. Pairs whose letters or common subsequence rule out ``least`` get an upper bound below it instead."""
 
     @F.arrow_udf("double")
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -88,6 +89,8 @@ def title_ratio(a: Column, b: Column, least: float = 0.5) -> Column:
             of_y = letters(y)
             common = sum([min(n, of_y[c]) for c, n in letters(x).items() if c in of_y])
             bound = 2.0 * common / (len(x) + len(y)) if x or y else 1.0
+            if bound >= least and (x or y):
+                bound = 2.0 * common_length(x, y) / (len(x) + len(y))
             out.append(bound if bound < least else SequenceMatcher(None, x, y).ratio())
         return pa.array(out, pa.float64())
 

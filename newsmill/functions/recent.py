@@ -3,18 +3,64 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import numpy as np
 
-#: Letters are counted in so many classes; counts of classes bound what two titles can have in common.
-CLASSES = 64
+class Common:
+    """How long a common subsequence a title has with each of many others, all at once.
+
+    Each of the others has a field of bits in one whole number, a bit a character; a step a character of the title does for all fields what
+    the bit-parallel algorithm of the longest common subsequence does for one.
+    """
+
+    def __init__(self, fields: int):
+        self.titles, self.width = [""] * fields, 64
+        self._fill()
+
+    def _fill(self) -> None:
+        self.at, self.ones = {}, 0
+        for i, t in enumerate(self.titles):
+            self._set(i, t)
+
+    def _set(self, i: int, title: str) -> None:
+        place = i * self.width
+        self.ones |= (1 << len(title)) - 1 << place
+        for k, c in enumerate(title):
+            self.at[c] = self.at.get(c, 0) | 1 << place + k
+
+    def put(self, i: int, title: str) -> None:
+        old, self.titles[i] = self.titles[i], title
+        if len(title) >= self.width:  # a bit more for what is carried
+            self.width = 64 * (len(title) // 64 + 1)
+            self._fill()
+            return
+        gone = (1 << self.width) - 1 << i * self.width
+        self.ones &= ~gone
+        for c in set(old):
+            self.at[c] &= ~gone
+        self._set(i, title)
+
+    def lengths(self, title: str) -> np.ndarray:
+        v, ones = self.ones, self.ones
+        for c in title:
+            if m := self.at.get(c):
+                u = v & m
+                v = (v + u | v & ~m) & ones
+        left = np.frombuffer(v.to_bytes(len(self.titles) * self.width // 8, "little"), np.uint64).reshape(len(self.titles), -1)
+        return np.array([len(t) for t in self.titles]) - np.bitwise_count(left).sum(1, dtype=np.int64)
 
 
-@lru_cache(8192)
-def _letters(title: str) -> np.ndarray:
-    codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.bincount(codes % CLASSES, minlength=CLASSES).astype(np.int32)
+def common_length(a: str, b: str) -> int:
+    """The length of a longest common subsequence."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    ones = v = (1 << len(a)) - 1
+    for c in b:
+        if m := at.get(c):
+            u = v & m
+            v = (v + u | v & ~m) & ones
+    return len(a) - v.bit_count()
 
 
 class Recent:
@@ -28,7 +74,7 @@ class Recent:
     def __init__(self, hours: int, most: int, title_threshold: float, embed_threshold: float):
         self.span, self.most, self.title_threshold, self.embed_threshold = hours * 3_600_000_000, most, title_threshold, embed_threshold
         self.ids, self.times, self.titles = [None] * most, np.full(most, np.iinfo(np.int64).min), [""] * most
-        self.letters, self.sizes = np.zeros((most, CLASSES), np.int32), np.zeros(most, np.int64)
+        self.sizes, self.common = np.zeros(most, np.int64), Common(most)
         self.vectors: dict[int, np.ndarray] = {}  # by length; a row without a vector is null
         self.next, self.filled = 0, 0
 
@@ -45,7 +91,8 @@ class Recent:
     def keep(self, id_: int, time: int, title: str | None, vector) -> None:
         i = self.next
         self.ids[i], self.times[i], self.titles[i] = id_, time, title or ""
-        self.letters[i], self.sizes[i] = _letters(title or ""), len(title or "")
+        self.sizes[i] = len(title or "")
+        self.common.put(i, title or "")
         for m in self.vectors.values():
             m[i] = np.nan
         if vector is not None and len(vector):
@@ -57,9 +104,8 @@ class Recent:
         age = (self.next - 1 - np.arange(self.most)) % self.most
         open_ = (age < self.filled) & (self.times >= time - self.span)
         title = title or ""
-        common = np.minimum(self.letters, _letters(title)).sum(1)
-        whole = self.sizes + len(title)
-        may = np.flatnonzero(open_ & (2.0 * common >= self.title_threshold * whole))
+        # The blocks that the ratio counts are a common subsequence, so its length bounds them.
+        may = np.flatnonzero(open_ & (2.0 * self.common.lengths(title) >= self.title_threshold * (self.sizes + len(title))))
         for i in may[np.argsort(age[may])].tolist():
             if SequenceMatcher(None, title, self.titles[i]).ratio() >= self.title_threshold:
                 return 2, self.ids[i]

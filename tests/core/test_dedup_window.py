@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
+from newsmill.functions.recent import Common, common_length
 from newsmill.operators import dedup
 
 
@@ -95,3 +96,23 @@ def test_places_in_arrival_order(spark):
 def test_no_articles(spark):
     empty = spark.createDataFrame([], "article_id long, url string, created_at timestamp_ntz, title_original string, embedding array<double>")
     assert dedup.deduplicate(empty).count() == 0
+
+
+def test_common_subsequences_of_all_fields():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = old[j] + 1 if x == y else max(row[j], old[j + 1])
+        return row[-1]
+
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choices("abcé ", k=rng.randint(0, n)))
+    held, all_ = [""] * 7, Common(7)
+    for step in range(60):
+        i = rng.randrange(7)
+        held[i] = text(20 if step < 30 else 200)
+        all_.put(i, held[i])
+        title = text(90)
+        assert all_.lengths(title).tolist() == [plain(title, t) for t in held] == [common_length(title, t) for t in held]
