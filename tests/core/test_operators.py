@@ -132,8 +132,8 @@ def test_stream_caps_equal_batch(spark):
 
 
 WITHOUT_SQL = {
-    "clean_html", "dedup_three_layers", "dedup_title_pairs", "discovery", "distinct_paragraphs", "extractive_summary", "feed_autodetect", "ingestion", "ingestion_stats",
-    "listing_links", "notification_caps", "quality_scores", "search_fuzzy", "stream_circuit_breaker", "stream_notification_caps", "stream_without_repeats", "summary_validate",
+    "clean_html", "dedup_three_layers", "dedup_title_pairs", "detected_languages", "discovery", "distinct_paragraphs", "extractive_summary", "ingestion", "ingestion_stats",
+    "page_articles", "quality_scores", "stream_recent_duplicates", "summary_validate",
 }
 
 

@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 from test_dedup_window import whole_fold
 
+from newsmill.functions.recent import Recent
+from newsmill.plans import registry
 from newsmill.streaming import jobs
 
 START = datetime(2024, 1, 1)
@@ -64,3 +66,15 @@ def test_attempts_of_one_time_go_by_id(spark, tmp_path):
     run(jobs.circuit_breaker(stream, 2, 30), f"{tmp_path}/out")
     found = spark.read.parquet(f"{tmp_path}/out").orderBy("at", F.desc("state")).collect()
     assert sorted(r.state for r in found) == sorted(["closed", "closed", "closed", "open", "open", "closed"])
+
+
+def test_the_stream_query_equals_a_fold_of_each_language(spark):
+    d = "/root/testdata/sf0.001"
+    vectors = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    windows, want = {}, {}
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang").collect()
+    for r in sorted(docs, key=lambda r: (r.doc_id % 720, r.doc_id)):
+        window = windows.setdefault(r.lang, Recent(48, 200, 0.8, 0.4))
+        want[r.doc_id] = window.arrive(r.doc_id, r.doc_id % 720 * 3_600_000_000, r.text.split("\n")[0][:80], vectors.get(r.doc_id))
+    got = {r.article_id: r.layer and (r.layer, r.like) for r in registry.QUERIES["stream_recent_duplicates"](spark, d).collect()}
+    assert got == want and any(want.values())
