@@ -54,7 +54,24 @@ def term_slices(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def group_slices(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, digest=xxhash.xxh64_intdigest) -> tuple[np.ndarray, np.ndarray]:
-    """(group of each slice, a slice of each group): slices of a group hold the same bytes, those of different groups don't."""
+    """(group of each slice, a slice of each group): slices of a group hold the same bytes, those of different groups don't.
+
+    Terms hold no zero byte, so the eight bytes of a short one are a number of its own: of its copies one is hashed.
+    """
+    sizes = stops - starts
+    short, long = np.flatnonzero(sizes <= 8), np.flatnonzero(sizes > 8)
+    eight = np.r_[raw, np.zeros(8, np.uint8)][starts[short, None] + np.arange(8)]
+    eight[np.arange(8) >= sizes[short, None]] = 0
+    names, firsts, same = np.unique(eight.view("<u8")[:, 0], return_index=True, return_inverse=True)
+    one = np.r_[short[firsts], long]
+    of = np.empty(len(starts), np.int64)
+    of[short], of[long] = same, len(names) + np.arange(len(long))
+    group, firsts = _hashed_groups(raw, starts[one], stops[one], digest)
+    return group[of], one[firsts]
+
+
+def _hashed_groups(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, digest) -> tuple[np.ndarray, np.ndarray]:
+    """The same by hashes, whose groups are compared byte by byte."""
     data, n = raw.tobytes(), len(starts)
     h = np.fromiter((digest(data[a:b]) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64, n)
     _, firsts, group = np.unique(h, return_index=True, return_inverse=True)
