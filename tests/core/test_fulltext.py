@@ -174,3 +174,22 @@ def test_an_empty_table(spark, tmp_path):
     ix = fulltext.build(spark.createDataFrame([], SCHEMA), f"{tmp_path}/i", FIELDS, ("created_at",))
     q = spark.createDataFrame(QUERIES, "query_id long, query string")
     assert ix.ranked(q).count() == 0 and ix.with_typos(q).count() == 0
+
+
+def test_a_search_makes_no_row_a_query_and_article(spark, index):
+    """Searches that ask with a share of all articles would else grow with the square of the table."""
+    _, ix = index
+    asked = spark.createDataFrame([(i, "story governments the") for i in range(40)], "query_id long, query string")
+    for found in (ix.ranked(asked, 3), ix.with_typos(asked, 3)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "explode" not in plan
+        assert found.count() == 120
+
+
+def test_an_index_for_one_search(spark, tmp_path):
+    rows = spark.createDataFrame(made(2, 60), SCHEMA)
+    asked = spark.createDataFrame(QUERIES, "query_id long, query string")
+    both, one, other = (fulltext.build(rows, f"{tmp_path}/{name}", FIELDS, ("created_at",), 100, searches=s) for name, s in (("both", ("ranked", "typos")), ("one", ("ranked",)), ("other", ("typos",))))
+    assert both.ranked(asked).sort("query_id", "rank").collect() == one.ranked(asked).sort("query_id", "rank").collect() != []
+    assert both.with_typos(asked).sort("query_id", "rank").collect() == other.with_typos(asked).sort("query_id", "rank").collect() != []
+    assert not (tmp_path / "one/words").exists() and not (tmp_path / "other/stems").exists()
