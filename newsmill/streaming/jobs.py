@@ -92,10 +92,12 @@ def _stamped(rows: DataFrame, name: str) -> DataFrame:
     return rows.select(*[F.timestamp_micros("time").alias(name) if c == "time" else c for c in rows.columns])
 
 
-def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, timers: str) -> DataFrame:
+def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, timers: str, frames: bool = False) -> DataFrame:
+    """``frames``: the processor takes and gives pandas frames of bounded size rather than rows, which Spark gathers for a whole key."""
     ship_package(rows.sparkSession)
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # state of lists and timers needs it
-    return rows.groupBy(key).transformWithState(processor, schema, "append", timers)
+    grouped = rows.groupBy(key)
+    return (grouped.transformWithStateInPandas if frames else grouped.transformWithState)(processor, schema, "append", timers)
 
 
 def capped(candidates: DataFrame, by_type: dict[str, int], overall: int, hours: int = 24) -> DataFrame:
@@ -111,8 +113,9 @@ def capped(candidates: DataFrame, by_type: dict[str, int], overall: int, hours:
 def circuit_breaker(attempts: DataFrame, most_failures: int = 5, open_seconds: int = 30) -> DataFrame:
     """The state after each attempt (source_id, attempt_id, created_at, ok): closed, open after ``most_failures`` in a row, half open
     for the first attempt ``open_seconds`` later; attempts while open change nothing. Attempts of one time go by their id."""
-    rows = attempts.select("source_id", "attempt_id", "ok", _micros())
-    return _stamped(_with_state(rows, "source_id", Breaker(most_failures, open_seconds), "source_id long, time long, state string", "none"), "at")
+    first = F.coalesce("attempt_id", F.lit(-(2**63)))
+    rows = attempts.select("source_id", first.alias("attempt_id"), F.coalesce("ok", F.lit(False)).alias("ok"), _micros())
+    return _stamped(_with_state(rows, "source_id", Breaker(most_failures, open_seconds), "source_id long, time long, state string", "none", frames=True), "at")
 
 
 def recent_duplicates(articles: DataFrame, by: str, hours: int = 48, most: int = 200, title_threshold: float = 0.8, embed_threshold: float = 0.8) -> DataFrame:
@@ -120,7 +123,7 @@ def recent_duplicates(articles: DataFrame, by: str, hours: int = 48, most: int =
     kept ones of ``hours``, null where it is kept. Each value of ``by`` has a window of its own, which
     is what spreads the work; a constant has the one window of a single node. The state leaves by a timer."""
     rows = articles.select(F.col(by).alias("by"), "article_id", "title_original", F.col("embedding").cast("array<double>").alias("embedding"), _micros(), "created_at")
-    return _with_state(rows, "by", RecentDuplicates(hours, most, title_threshold, embed_threshold), "article_id long, layer int, like long", "eventTime")
+    return _with_state(rows, "by", RecentDuplicates(hours, most, title_threshold, embed_threshold), "article_id long, layer int, like long", "eventTime", frames=True)
 
 
 def first_of_url(articles: DataFrame) -> DataFrame:

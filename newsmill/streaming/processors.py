@@ -2,18 +2,51 @@
 
 Rows of a key and trigger are taken in the order of (time, id), so equal times have an order; a trigger's size
 is bounded at the source (``maxFilesPerTrigger``), and the state holds what the rule can still ask for.
+
+Keys are few where a window or a breaker belongs to a language or a source, so a trigger may bring a key many rows. Those
+processors take and give frames of bounded size: a row waits for its turn as a few numbers in arrays, not as an object, and what is decided leaves at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from newsmill.functions.recent import Recent
 
 KEPT = "id long, time long, title string, vec array<double>"
+#: Rows of a frame that a processor gives.
+CHUNK = 10_000
+
+
+class _Texts:
+    """Many short texts, null ones among them, in one piece of memory."""
+
+    def __init__(self):
+        self.bytes, self.ends = bytearray(), [np.zeros(1, np.int64)]
+
+    def add(self, texts: list) -> None:
+        coded = [b"\xff" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]  # no text has that byte
+        self.ends.append(np.cumsum([len(x) for x in coded], dtype=np.int64) + len(self.bytes))
+        self.bytes += b"".join(coded)
+
+    def done(self) -> _Texts:
+        self.ends = np.concatenate(self.ends)
+        return self
+
+    def __getitem__(self, i: int) -> str | None:
+        x = bytes(self.bytes[self.ends[i] : self.ends[i + 1]])
+        return None if x == b"\xff" else x.decode("utf-8", "surrogatepass")
+
+
+def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    found = np.concatenate(parts) if parts else np.zeros(0, kind)
+    parts.clear()
+    return found
 
 
 class _Expiring(StatefulProcessor):
@@ -38,20 +71,30 @@ class RecentDuplicates(_Expiring):
         super().init(handle)
         self.kept = handle.getListState("kept", KEPT)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         window, last = Recent(*self.rule), None
         for e in self.kept.get() if self.kept.exists() else ():
             window.keep(*e)
-        for r in sorted(rows, key=lambda r: (r.time, r.article_id)):
-            found = window.arrive(r.article_id, r.time, r.title_original, r.embedding)
-            last = r.time
-            yield Row(article_id=r.article_id, layer=found and found[0], like=found and found[1])
+        ids, times, titles, vectors, n = [], [], _Texts(), {}, 0
+        for f in rows:
+            ids.append(f["article_id"].to_numpy(np.int64))
+            times.append(f["time"].to_numpy(np.int64))
+            titles.add([None if t is None or t != t else t for t in f["title_original"]])
+            vectors |= {n + i: np.array(v, np.float64) for i, v in enumerate(f["embedding"]) if v is not None and not isinstance(v, float)}
+            n += len(f)
+        ids, times, titles = _joined(ids, np.int64), _joined(times, np.int64), titles.done()
+        order = np.lexsort((ids, times))
+        for start in range(0, n, CHUNK):
+            part = order[start : start + CHUNK]
+            found = [window.arrive(int(ids[i]), int(times[i]), titles[i], vectors.pop(i, None)) or (None, None) for i in part.tolist()]
+            last = int(times[part[-1]])
+            yield pd.DataFrame({"article_id": ids[part], "layer": pd.array([x for x, _ in found], "Int32"), "like": pd.array([x for _, x in found], "Int64")})
         entries = window.entries(last)
         if entries:
             self.kept.put(entries)
             self.expire_at(entries[-1][1] // 1000 + self.rule[0] * 3_600_000 + 1, timerValues)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.kept.clear()
         return iter(())
 
@@ -94,17 +137,29 @@ class Breaker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("breaker", "now string, failures int, opened long")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, failures, opened = self.state.get() if self.state.exists() else ("closed", 0, 0)
-        for r in sorted(rows, key=lambda r: (r.time, r.attempt_id)):
-            if now == "open" and r.time - opened >= self.open_for:
-                now = "half_open"
-            if now != "open":
-                if r.ok:
-                    now, failures = "closed", 0
-                else:
-                    failures += 1
-                    if now == "half_open" or failures >= self.most_failures:
-                        now, opened = "open", r.time
-            yield Row(source_id=r.source_id, time=r.time, state=now)
+        times, ids, good = [], [], []
+        for f in rows:
+            times.append(f["time"].to_numpy(np.int64))
+            ids.append(f["attempt_id"].to_numpy(np.int64))
+            good.append(f["ok"].to_numpy(bool))
+        times, ids, good = _joined(times, np.int64), _joined(ids, np.int64), _joined(good, bool)
+        order = np.lexsort((ids, times))
+        del ids
+        for start in range(0, len(order), CHUNK):
+            part = order[start : start + CHUNK]
+            at, states = times[part], []
+            for time, ok in zip(at.tolist(), good[part].tolist()):
+                if now == "open" and time - opened >= self.open_for:
+                    now = "half_open"
+                if now != "open":
+                    if ok:
+                        now, failures = "closed", 0
+                    else:
+                        failures += 1
+                        if now == "half_open" or failures >= self.most_failures:
+                            now, opened = "open", time
+                states.append(now)
+            yield pd.DataFrame({"source_id": np.full(len(at), key[0], np.int64), "time": at, "state": states})
         self.state.update((now, failures, opened))

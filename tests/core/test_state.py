@@ -1,14 +1,18 @@
 """Keyed state over several triggers and a restart, against folds in arrival order."""
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from test_dedup_window import whole_fold
 
 from newsmill.functions.recent import Recent
 from newsmill.plans import registry
 from newsmill.streaming import jobs
+from newsmill.streaming.processors import Breaker
 
 START = datetime(2024, 1, 1)
 ARTICLES = "article_id long, created_at timestamp, title_original string, embedding array<double>, lang string"
@@ -78,3 +82,41 @@ def test_the_stream_query_equals_a_fold_of_each_language(spark):
         want[r.doc_id] = window.arrive(r.doc_id, r.doc_id % 720 * 3_600_000_000, r.text.split("\n")[0][:80], vectors.get(r.doc_id))
     got = {r.article_id: r.layer and (r.layer, r.like) for r in registry.QUERIES["stream_recent_duplicates"](spark, d).collect()}
     assert got == want and any(want.values())
+
+
+class _OneValue:
+    """A state variable and the handle that gives it."""
+
+    def __init__(self):
+        self.value = None
+
+    def __getattr__(self, name):
+        if name in ("getValueState", "getListState"):
+            return lambda *_: self
+        raise AttributeError(name)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_breaker_gives_a_large_key_in_frames():
+    """A key's rows leave in frames of bounded size, and wait as arrays; as row objects 200,000 attempts took over 100 MB."""
+    n = 200_000
+    frames = (pd.DataFrame({"source_id": 3, "attempt_id": np.arange(i, i + 10_000), "time": np.arange(i, i + 10_000)[::-1] * 1000, "ok": np.arange(i, i + 10_000) % 7 > 2}) for i in range(0, n, 10_000))
+    breaker, handle = Breaker(2, 1), _OneValue()
+    breaker.init(handle)
+    tracemalloc.start()
+    sizes, last = [], -1
+    for f in breaker.handleInputRows((3,), frames, None):
+        sizes.append(len(f))
+        assert f["time"].is_monotonic_increasing and f["time"].iloc[0] > last and set(f["source_id"]) == {3}
+        last = f["time"].iloc[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == n and max(sizes) <= 10_000 and peak < 20e6 and handle.value[0] in ("open", "closed", "half_open")
