@@ -116,3 +116,9 @@ def test_common_subsequences_of_all_fields():
         all_.put(i, held[i])
         title = text(90)
         assert all_.lengths(title).tolist() == [plain(title, t) for t in held] == [common_length(title, t) for t in held]
+
+
+def test_segments_keep_their_number(spark):
+    """Rounds of wrong guesses follow the number of segments, so a larger table has longer ones, not more."""
+    sizes = [dedup.segment_size(n) for n in (1, 4_000 * 96, 1_000_000, 3_000_000, 10**9)]
+    assert sizes == [4_000, 4_000, 10_417, 31_250, 50_000]
