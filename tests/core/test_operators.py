@@ -292,3 +292,22 @@ def test_encoder_hook(spark):
     a = spark.createDataFrame([(1, "t", "text")], "article_id long, title string, text string").withColumn("embedding_input", feed.embedding_input(F.col("title"), F.col("text")))
     e = feed.with_embeddings(a, lambda c: F.array(F.char_length(c).cast("double"), F.lit(0.0), F.lit(6.0))).first()
     assert e.embedding_input == "t\ntext" and e.embedding == pytest.approx([0.5**0.5, 0.0, 0.5**0.5])
+
+
+def test_a_feed_makes_no_row_a_user_and_candidate(spark):
+    """What a user viewed moves down among its own rows; only rows that are asked for are made."""
+    at = datetime(2024, 1, 30)
+    top = spark.createDataFrame([(i, "ai" if i % 3 else "sport", at - timedelta(hours=i % 7), (i % 5) / 10) for i in range(60)], "article_id long, topic string, created_at timestamp_ntz, feed_score double")
+    users = spark.createDataFrame([(1, ["sport"]), (2, ["sport", "ai"]), (3, None), (4, [])], "user_id long, interests array<string>")
+    viewed = spark.createDataFrame([(1, i) for i in range(0, 60, 2)] * 2 + [(4, 59), (4, 999), (9, 1), (2, None)], "user_id long, article_id long")
+    every = feed.ranked_feed(top, users, viewed, "2024-01-31 00:00:00", 50).collect()
+    first = feed.ranked_feed(top, users, viewed, "2024-01-31 00:00:00", 50, keep=7)
+    assert sorted(first.collect()) == sorted(r for r in every if r["rank"] <= 7) and len(every) == 200
+    listed = sorted(top.collect(), key=lambda r: (-r.feed_score, -r.created_at.timestamp(), r.article_id))[:50]
+    for user, likes in ((1, ["sport"]), (2, ["sport", "ai"]), (3, []), (4, [])):
+        old = {i for u, i in [(v.user_id, v.article_id) for v in viewed.collect()] if u == user}
+        score = lambda r: (r.feed_score or max(0.0, 1 - (datetime(2024, 1, 31) - r.created_at).total_seconds() / 3600 / 48)) + 2.0 * (r.topic in likes) - 5.0 * (r.article_id in old)
+        want = [r.article_id for r in sorted(listed, key=lambda r: (-score(r), -r.created_at.timestamp(), r.article_id))]
+        assert [r.article_id for r in sorted((r for r in every if r.user_id == user), key=lambda r: r["rank"])] == want
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "seen#" in plan
