@@ -12,7 +12,7 @@ from test_dedup_window import whole_fold
 from newsmill.functions.recent import Recent
 from newsmill.plans import registry
 from newsmill.streaming import jobs
-from newsmill.streaming.processors import Breaker
+from newsmill.streaming.processors import Breaker, RecentDuplicates
 
 START = datetime(2024, 1, 1)
 ARTICLES = "article_id long, created_at timestamp, title_original string, embedding array<double>, lang string"
@@ -120,3 +120,31 @@ def test_a_breaker_gives_a_large_key_in_frames():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(sizes) == n and max(sizes) <= 10_000 and peak < 20e6 and handle.value[0] in ("open", "closed", "half_open")
+
+
+class _Timed(_OneValue):
+    put = _OneValue.update
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, millis):
+        self.timer = millis
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_recent_duplicates_give_a_large_key_in_frames():
+    """A key's articles leave in frames of bounded size, in the order of the fold, with null titles and vectors among them."""
+    rng, n = random.Random(8), 12_000
+    rows = [(i, rng.randrange(n) * 1_000_000, rng.choice([None, "", f"é title {i % 50}"]), np.array([0.6, 0.8]) if i % 9 == 0 else None) for i in range(n)]
+    frames = [pd.DataFrame(rows[i : i + 1000], columns=["article_id", "time", "title_original", "embedding"]) for i in range(0, n, 1000)]
+    processor, handle = RecentDuplicates(1, 5, 0.8, 0.8), _Timed()
+    processor.init(handle)
+    got = list(processor.handleInputRows(("vi",), iter(frames), handle))
+    window = Recent(1, 5, 0.8, 0.8)
+    want = {r[0]: window.arrive(r[0], *r[1:]) for r in sorted(rows, key=lambda r: (r[1], r[0]))}
+    assert [len(f) for f in got] == [10_000, 2_000] and handle.timer > 0 and len(handle.value) <= 5
+    found = {int(i): None if pd.isna(layer) else (int(layer), int(like)) for f in got for i, layer, like in zip(f["article_id"], f["layer"], f["like"])}
+    assert found == want and any(want.values())
