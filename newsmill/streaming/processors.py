@@ -23,26 +23,52 @@ KEPT = "id long, time long, title string, vec array<double>"
 CHUNK = 10_000
 
 
-class _Texts:
-    """Many short texts, null ones among them, in one piece of memory."""
+class _Pieces:
+    """Many short pieces of bytes in one piece of memory."""
 
     def __init__(self):
         self.bytes, self.ends = bytearray(), [np.zeros(1, np.int64)]
 
-    def add(self, texts: list) -> None:
-        coded = [b"\xff" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]  # no text has that byte
+    def put(self, coded: list[bytes]) -> None:
         self.ends.append(np.cumsum([len(x) for x in coded], dtype=np.int64) + len(self.bytes))
         self.bytes += b"".join(coded)
 
-    def done(self) -> _Texts:
+    def done(self) -> _Pieces:
         self.ends = np.concatenate(self.ends)
         return self
 
+    def piece(self, i: int) -> bytes:
+        return bytes(self.bytes[self.ends[i] : self.ends[i + 1]])
+
+
+class _Texts(_Pieces):
+    """Texts, null ones among them."""
+
+    def add(self, texts: list) -> None:
+        self.put([b"\xff" if t is None else t.encode("utf-8", "surrogatepass") for t in texts])  # no text has that byte
+
     def __getitem__(self, i: int) -> str | None:
-        x = bytes(self.bytes[self.ends[i] : self.ends[i + 1]])
+        x = self.piece(i)
         return None if x == b"\xff" else x.decode("utf-8", "surrogatepass")
 
 
+class _Vectors(_Pieces):
+    """Vectors of any lengths; null ones are empty. What four bytes an entry hold exactly takes no more."""
+
+    def add(self, vectors: list) -> None:
+        self.put([b"" if v is None else self._coded(np.asarray(v, np.float64)) for v in vectors])
+
+    @staticmethod
+    def _coded(v: np.ndarray) -> bytes:
+        with np.errstate(over="ignore", invalid="ignore"):
+            short = v.astype(np.float32)
+        return b"f" + short.tobytes() if (short == v).all() else b"d" + v.tobytes()
+
+    def __getitem__(self, i: int) -> np.ndarray | None:
+        x = self.piece(i)
+        return np.frombuffer(x, x[:1].decode(), offset=1).astype(np.float64) if len(x) > 1 else None
+
+
 def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
     found = np.concatenate(parts) if parts else np.zeros(0, kind)
     parts.clear()
@@ -75,18 +101,17 @@ class RecentDuplicates(_Expiring):
         window, last = Recent(*self.rule), None
         for e in self.kept.get() if self.kept.exists() else ():
             window.keep(*e)
-        ids, times, titles, vectors, n = [], [], _Texts(), {}, 0
+        ids, times, titles, vectors = [], [], _Texts(), _Vectors()
         for f in rows:
             ids.append(f["article_id"].to_numpy(np.int64))
             times.append(f["time"].to_numpy(np.int64))
             titles.add([None if t is None or t != t else t for t in f["title_original"]])
-            vectors |= {n + i: np.array(v, np.float64) for i, v in enumerate(f["embedding"]) if v is not None and not isinstance(v, float)}
-            n += len(f)
-        ids, times, titles = _joined(ids, np.int64), _joined(times, np.int64), titles.done()
+            vectors.add([None if v is None or isinstance(v, float) else v for v in f["embedding"]])
+        ids, times, titles, vectors = _joined(ids, np.int64), _joined(times, np.int64), titles.done(), vectors.done()
         order = np.lexsort((ids, times))
-        for start in range(0, n, CHUNK):
+        for start in range(0, len(order), CHUNK):
             part = order[start : start + CHUNK]
-            found = [window.arrive(int(ids[i]), int(times[i]), titles[i], vectors.pop(i, None)) or (None, None) for i in part.tolist()]
+            found = [window.arrive(int(ids[i]), int(times[i]), titles[i], vectors[i]) or (None, None) for i in part.tolist()]
             last = int(times[part[-1]])
             yield pd.DataFrame({"article_id": ids[part], "layer": pd.array([x for x, _ in found], "Int32"), "like": pd.array([x for _, x in found], "Int64")})
         entries = window.entries(last)
