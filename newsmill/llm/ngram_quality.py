@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsmill.llm import word_shards
 from newsmill.llm.batches import slices
 from newsmill.session import materialize, ship_package
 
@@ -186,20 +187,21 @@ def gram_counts(texts: DataFrame, unit: Unit = CHARACTERS) -> DataFrame:
     return texts.select("text").mapInArrow(run, f"gram {unit.kind}, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def discounts_of(n: list[int]) -> tuple[float, float, float]:
+    """D1, D2 and D3+ from how many n-grams have the counts one to four; halves and more where these are too few."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    raw = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else i / 2 for i in (1, 2, 3)]
+    return tuple(min(max(d, 0.05), i) for i, d in zip((1, 2, 3), raw))
+
+
 def _discounts(levels: list[DataFrame]) -> list[tuple[float, float, float]]:
-    """D1, D2 and D3+ of each order from its counts of counts; halves and more where these are too few."""
+    """The discounts of each order."""
     exact = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
     all_levels = levels[0].select(F.lit(0).alias("k"), "n")
     for k, level in enumerate(levels[1:], 1):
         all_levels = all_levels.unionAll(level.select(F.lit(k).alias("k"), "n"))
     found = {r.k: r for r in all_levels.groupBy("k").agg(*exact).collect()}
-    out = []
-    for k in range(len(levels)):
-        n = [found[k][f"n{i}"] for i in (1, 2, 3, 4)] if k in found else [0] * 4
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        raw = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else i / 2 for i in (1, 2, 3)]
-        out.append(tuple(min(max(d, 0.05), i) for i, d in zip((1, 2, 3), raw)))
-    return out
+    return [discounts_of([found[k][f"n{i}"] for i in (1, 2, 3, 4)] if k in found else [0] * 4) for k in range(len(levels))]
 
 
 def train(texts: DataFrame, unit: Unit = CHARACTERS) -> DataFrame:
@@ -382,12 +384,19 @@ def score_with_joins(docs: DataFrame, model: DataFrame, unit: Unit = CHARACTERS)
 def perplexities(docs: DataFrame, trusted: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, unit: Unit = CHARACTERS) -> DataFrame:
     """(id, lang, n_chars, perplexity) of every row of ``docs`` (id, lang, text); ``trusted`` has the ids (id) of trusted documents."""
     ship_package(docs.sparkSession)
-    model = train(trusted_texts(docs, trusted), unit)
-    size = model.count()
-    if size == 1 + 1 or size == 1:  # no n-gram at all
+    by_shards = unit is WORDS and not broadcast_grams
+    if by_shards:
+        model, numbers = word_shards.learn(trusted_texts(docs, trusted), word_shards.spelling(docs))
+        size = numbers.alphabet if numbers else 0
+    else:
+        model = train(trusted_texts(docs, trusted), unit)
+        size = model.count() - 2  # the empty gram and the context of pads
+    if size <= 0:  # no n-gram at all
         scored = docs.select("id", "lang", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(None).cast("double").alias("logp"))
+    elif by_shards:
+        scored = word_shards.score(docs, model, numbers)
     else:
-        scored = (score_with_broadcast if size <= broadcast_grams else score_with_joins)(docs, model, unit)
+        scored = (score_with_broadcast if size + 2 <= broadcast_grams else score_with_joins)(docs, model, unit)
     rate = F.when(F.col("n_tokens") > 0, F.pow(F.lit(10.0), -F.col("logp") / F.col("n_tokens")))
     return scored.select("id", "lang", "n_chars", rate.alias("perplexity"))
 
