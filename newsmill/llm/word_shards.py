@@ -33,12 +33,12 @@ TABLE = 1 << 18
 FILTER_BITS = 25
 PAGE_BYTES = 8 << 20
 #: Places of words in a shard, shards at least, and places of one word in a shard.
-SHARD_PLACES, LEAST_SHARDS, SPLIT = 8_000_000, 24, 2_000_000
+SHARD_PLACES, LEAST_SHARDS, SPLIT = 3_000_000, 24, 2_000_000
 #: One text in so many (by a hash) is looked at for the spelling and the number of shards, as a range partitioner looks
 #: for its borders. No result depends on it; all texts are counted and scored.
 LAYOUT_TEXTS = 8
 #: Texts are scored in so many rounds, each text in one, so that a round's blocks are gone before the next.
-ROUNDS = 3
+ROUNDS = 2
 FRACTION = 28
 END, PAD, UNKNOWN = 0, 1, 2  # names that no word has; the table's first three
 
@@ -117,11 +117,14 @@ class Spelling:
         return shard
 
 
+ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def _squeezed(x: np.ndarray) -> bytes:
     """Whole numbers by planes of bytes; planes of zeros take no place."""
     out = []
     for plane in x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T:
-        z = pa.compress(np.ascontiguousarray(plane), codec="zstd", asbytes=True) if plane.any() else b""
+        z = ZSTD.compress(np.ascontiguousarray(plane), asbytes=True) if plane.any() else b""
         out.append(struct.pack("<I", len(z)) + z)
     return b"".join(out)
 
@@ -139,17 +142,14 @@ def _expanded(raw: memoryview, at: int, n: int, kind: str) -> tuple[np.ndarray,
 
 def packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, rare: np.ndarray, table: int, *more: np.ndarray) -> bytes:
     """A block of different triples of codes, sorted by v, w, u; ``more`` are further columns of any length."""
-    used = np.zeros(len(rare), bool)
-    for x in (u, v, w):
-        used[x[x >= table] - table] = True
-    again = np.cumsum(used) - 1
-    u, v, w = (np.where(x >= table, table + again[np.maximum(x - table, 0)], x) if used.any() else x for x in (u, v, w))
+    used = np.unique(np.concatenate([x[x >= table] for x in (u, v, w)]))
+    u, v, w = (np.where(x >= table, table + np.searchsorted(used, x), x) if len(used) else x for x in (u, v, w))
     new_v = np.diff(v, prepend=-1) != 0
     new_w = new_v | (np.diff(w, prepend=-1) != 0)
     # Renumbering keeps the order, so steps within equal v and equal (v, w) aren't negative.
     columns = [np.diff(v, prepend=0), np.where(new_v, w, np.diff(w, prepend=0)), np.where(new_w, u, np.diff(u, prepend=0))]
-    names = rare[used].tobytes()
-    return b"".join([struct.pack("<III", len(v), int(used.sum()), table), names, *(_squeezed(c.astype("<u4")) for c in columns), *(struct.pack("<I", len(m)) + _squeezed(m.astype("<i8")) for m in more)])
+    names = rare[used - table].tobytes()
+    return b"".join([struct.pack("<III", len(v), len(used), table), names, *(_squeezed(c.astype("<u4")) for c in columns), *(struct.pack("<I", len(m)) + _squeezed(m.astype("<i8")) for m in more)])
 
 
 def _from_starts(steps: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -159,11 +159,11 @@ def _from_starts(steps: np.ndarray, new: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[first] - steps[first], np.diff(np.append(first, len(steps))))
 
 
-def unpacked(block: bytes, words: np.ndarray) -> tuple[np.ndarray, ...]:
-    """u, v, w as names, then the further columns."""
+def unpacked(block: bytes) -> tuple[np.ndarray, ...]:
+    """The names beyond the table, u, v, w as codes, then the further columns."""
     raw = memoryview(block)
-    n, m, table = struct.unpack_from("<III", raw, 0)
-    names, at = np.concatenate([words, np.frombuffer(raw[12 : 12 + 8 * m], "<u8")]), 12 + 8 * m
+    n, m, _ = struct.unpack_from("<III", raw, 0)
+    names, at = np.frombuffer(raw[12 : 12 + 8 * m], "<u8"), 12 + 8 * m
     steps = []
     for _ in range(3):
         x, at = _expanded(raw, at, n, "<u4")
@@ -172,7 +172,7 @@ def unpacked(block: bytes, words: np.ndarray) -> tuple[np.ndarray, ...]:
     new_v = np.diff(v, prepend=-1) != 0
     w = _from_starts(steps[1], new_v)
     u = _from_starts(steps[2], new_v | (np.diff(w, prepend=-1) != 0))
-    out = [names[u], names[v], names[w]]
+    out = [names, u, v, w]
     while at < len(raw):
         (k,) = struct.unpack_from("<I", raw, at)
         x, at = _expanded(raw, at + 4, k, "<i8")
@@ -180,6 +180,23 @@ def unpacked(block: bytes, words: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
+def _looked_up(codes: np.ndarray, words: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """What ``words`` has for codes of the table, and ``rare`` for those beyond."""
+    out = words[np.minimum(codes, len(words) - 1)]
+    far = codes >= len(words)
+    out[far] = rare[codes[far] - len(words)]
+    return out
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from those before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
 def _sorted_places(u: np.ndarray, v: np.ndarray, w: np.ndarray, shard: np.ndarray, codes: int) -> np.ndarray:
     """The order by shard, v, w, u that keeps equal ones in place."""
     if codes <= 1 << 21:
@@ -238,19 +255,21 @@ def spelling(docs: DataFrame) -> Spelling:
     found = counts.where((F.floor(F.log2("n") * 16) >= least) & ~F.col("v").isin(END, PAD, UNKNOWN)).toPandas().sort_values(["n", "v"], ascending=False)
     pads = counts.where(F.col("v") == PAD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     drop_shared(counts)
+    release_shuffles(docs.sparkSession)
     n = np.concatenate([[0, pads, 0], found["n"].to_numpy(np.int64)])
     words = np.concatenate([np.array([END, PAD, UNKNOWN], np.uint64), found["v"].to_numpy(np.int64).view(np.uint64)])
     return Spelling(words, 1 + n // SPLIT, max(LEAST_SHARDS, 1 + int(by_size["places"].sum()) // SHARD_PLACES))
 
 
-def _contexts(u, v, w, n) -> tuple[np.ndarray, ...]:
-    """v, u, total, and how often the counts one, two and more of each context: of pairs (u, v), then of single words (u is END)."""
+def _contexts(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of sorted triples: v, u, total, and how often the counts one, two and more of each context: of pairs (u, v), then of single words (u is END)."""
     pairs, first, place = np.unique(mixed(u, v), return_index=True, return_inverse=True)
     add = lambda x, place, size: np.bincount(place, x, size).astype(np.int64)
     ofs = [(v[first], u[first], n, place, len(pairs))]
-    _, of, c2 = np.unique(mixed(v, w), return_index=True, return_counts=True)
-    singles, first, place = np.unique(v[of], return_index=True, return_inverse=True)
-    ofs.append((singles, np.full(len(singles), END, np.uint64), c2, place, len(singles)))
+    of = np.flatnonzero(_runs(v, w))
+    new = _runs(v[of])
+    singles = v[of][new]
+    ofs.append((singles, np.full(len(singles), END, np.uint64), np.diff(np.append(of, len(v))), np.cumsum(new) - 1, len(singles)))
     rows = [(a, b, add(x, p, k), *(add(y, p, k) for y in (x == 1, x == 2, x >= 3))) for a, b, x, p, k in ofs]
     return tuple(np.concatenate(c) for c in zip(*rows))
 
@@ -284,18 +303,25 @@ def model_parts(texts: DataFrame, shared) -> DataFrame:
 
     def add_up(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         sp, shard = shared.value, key[0].as_py()
-        u, v, w, n = (np.concatenate(x) for x in zip(*(unpacked(b, sp.words) for b in rows.column("triples").to_pylist())))
-        _, first, place = np.unique(mixed(u, v, w), return_index=True, return_inverse=True)
-        n = np.bincount(place, n, len(first)).astype(np.int64)
+        found, table = [unpacked(b) for b in rows.column("triples").to_pylist()], len(sp.words)
+        rare = np.unique(np.concatenate([x[0] for x in found]))
+        own = np.arange(table)
+        u, v, w = (np.concatenate([_looked_up(x[k], own, table + np.searchsorted(rare, x[0])) for x in found]) for k in (1, 2, 3))
+        n = np.concatenate([x[4] for x in found])
+        del found
+        order = np.argsort(v << 42 | w << 21 | u) if table + len(rare) <= 1 << 21 else np.lexsort((u, w, v))
+        u, v, w, n = u[order], v[order], w[order], n[order]
+        first = np.flatnonzero(_runs(v, w, u))
+        n = np.add.reduceat(n, first)
         u, v, w = u[first], v[first], w[first]
-        _, of, c2 = np.unique(mixed(v, w), return_index=True, return_counts=True)
-        ends, c1 = np.unique(w[of], return_counts=True)
-        split = sp.parts_of(sp.codes(v)) > 1
-        context = _contexts(u[split], v[split], w[split], n[split])
-        codes, rare = sp.spell(np.concatenate([u, v, w]))
-        cu, cv, cw = np.split(codes, 3)
-        order = np.lexsort((cu, cw, cv))
-        block = packed(cu[order], cv[order], cw[order], rare, len(sp.words), n[order])
+        of = np.flatnonzero(_runs(v, w))
+        c2 = np.diff(np.append(of, len(v)))
+        c1 = np.bincount(w[of], minlength=table + len(rare))
+        names = np.concatenate([sp.words, rare])
+        split = sp.parts_of(v) > 1
+        context = _contexts(*(names[x[split]] for x in (u, v, w)), n[split])
+        block = packed(u, v, w, rare, table, n)
+        ends, c1 = names[c1 > 0], c1[c1 > 0]
         of_counts = [[int((x == k).sum()) for x in (n, c2)] for k in (1, 2, 3, 4)]
         names = ("v", "u", "total", "n1", "n2", "n3")
         return pa.concat_tables([
@@ -368,33 +394,39 @@ class Shard:
         column = lambda rows, c: rows.column(c).to_numpy().astype(np.int64)
         rare = parts.filter(pa.array(kinds == ENDING))
         self.rare = Values(column(rare, "v").view(np.uint64), column(rare, "total"))
-        none = np.empty(0, np.uint64)
         blocks = [b for b in parts.column("triples").to_pylist() if b is not None]
-        u, v, w, n = unpacked(blocks[0], sp.words) if blocks else (none, none, none, np.empty(0, np.int64))
-        whole = sp.parts_of(sp.codes(v)) == 1
+        empty = np.empty(0, np.int64)
+        rare, u, v, w, n = unpacked(blocks[0]) if blocks else (np.empty(0, np.uint64), *[empty] * 4)
+        whole = sp.parts_of(v) == 1
+        names = np.concatenate([sp.words, rare])
+        u, v, w = names[u], names[v], names[w]
         own = _contexts(u[whole], v[whole], w[whole], n[whole])
         given = parts.filter(pa.array(kinds == CONTEXT))
         of_v, of_u, total, n1, n2, n3 = (np.concatenate([a, column(given, c).view(a.dtype)]) for a, c in zip(own, ("v", "u", "total", "n1", "n2", "n3")))
         d = np.where((of_u == END)[:, None], numbers.discounts[2], numbers.discounts[3])
         left = d[:, 0] * n1 + d[:, 1] * n2 + d[:, 2] * n3
-        names = mixed(of_u, of_v)
-        self.weight, left_of, total_of = Values(names, np.log10(left / total)), Values(names, left), Values(names, total)
-        _, of, place, c2 = np.unique(mixed(v, w), return_index=True, return_inverse=True, return_counts=True)
-        single = mixed(np.full(len(of), END, np.uint64), v[of])
-        lower = left_of(single) * self.unigram(w[of])
-        p2 = (numbers.own(2, c2) + lower) / total_of(single)
-        self.two = Values(mixed(v[of], w[of]), np.log10(p2 * total_of(single) / lower))
-        lower = left_of(mixed(u, v)) * p2[place]
+        self.context = Values(mixed(of_u, of_v), np.arange(1, len(left) + 1))
+        self.weights, left, total = (np.append(x, y) for x, y in ((0.0, np.log10(left / total)), (1.0, left), (1.0, total)))
+        pair = _runs(v, w)
+        of = np.flatnonzero(pair)
+        c2 = np.diff(np.append(of, len(v)))
+        single = self.context(mixed(np.full(len(of), END, np.uint64), v[of]))
+        lower = left[single] * self.unigram(w[of])
+        p2 = (numbers.own(2, c2) + lower) / total[single]
+        self.two = Values(mixed(v[of], w[of]), np.log10(p2 * total[single] / lower))
+        lower = left[self.context(mixed(u, v))] * p2[np.cumsum(pair) - 1]
         self.three = Values(mixed(u, v, w), np.log10((numbers.own(3, n) + lower) / lower))
 
+    def weight(self, names: np.ndarray) -> np.ndarray:
+        return self.weights[self.context(names)]
+
     def unigram(self, names: np.ndarray) -> np.ndarray:
         codes = self.numbers.spelling.codes(names)
         return self.numbers.unigram(np.where(codes >= 0, self.numbers.counts[codes], self.rare(names)))
 
     def score(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Whole numbers of 2 ** -FRACTION for triples in the order of a block."""
-        new = np.append(True, v[1:] != v[:-1])
-        pair = new | np.append(True, w[1:] != w[:-1])
+        new, pair = _runs(v), _runs(v, w)
         at_v, at_pair = np.flatnonzero(new), np.flatnonzero(pair)
         one, two = v[at_v], (v[at_pair], w[at_pair])
         own = np.where(one == PAD, 0.0, np.log10(self.unigram(one)))
@@ -497,16 +529,16 @@ def score(docs: DataFrame, model: DataFrame, numbers: Numbers) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([page] * len(shards), pa.int64()), pa.array(blocks, pa.binary()), pa.array(texts, pa.binary())], ["shard", "page", "block", "texts"])
 
     def add_up(asked: pa.Table, parts: pa.Table) -> pa.Table:
-        own, sums = Shard(shared.value, parts) if asked.num_rows else None, []
+        own, sums, words = Shard(shared.value, parts) if asked.num_rows else None, [], shared.value.spelling.words
         for block in asked.column("block"):
             if not block.is_valid:
                 sums.append(None)
                 continue
-            u, v, w, per, docs_of, counts = unpacked(block.as_buffer(), shared.value.spelling.words)
+            rare, *triple, per, docs_of, counts = unpacked(block.as_buffer())
             first = np.zeros(len(docs_of), bool)
             first[np.cumsum(per + 1) - per - 1] = True
             place = _from_starts(docs_of, first)
-            value = np.repeat(own.score(u, v, w), per + 1) * (counts + 1)
+            value = np.repeat(own.score(*(_looked_up(x, words, rare) for x in triple)), per + 1) * (counts + 1)
             added = np.zeros(int(place.max()) + 1, np.int64)
             np.add.at(added, place, value)
             found = np.flatnonzero(np.bincount(place))

@@ -23,7 +23,8 @@ def test_blocks_keep_triples_texts_and_counts():
     shard = sp.shard(names, codes, v, w)
     got = []
     for s, block in word_shards._blocks(codes[u], codes[v], codes[w], text, rare, shard, len(sp.words), True):
-        bu, bv, bw, per, docs, counts = word_shards.unpacked(block, sp.words)
+        more, bu, bv, bw, per, docs, counts = word_shards.unpacked(block)
+        bu, bv, bw = (np.concatenate([sp.words, more])[x] for x in (bu, bv, bw))
         first = np.zeros(len(docs), bool)
         first[np.cumsum(per + 1) - per - 1] = True
         at = np.repeat(np.arange(len(bu)), per + 1)
