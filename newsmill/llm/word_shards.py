@@ -31,7 +31,7 @@ from newsmill.session import drop_shared, materialize, release_shuffles
 
 TABLE = 1 << 18
 FILTER_BITS = 25
-PAGE_BYTES = 8 << 20
+PAGE_BYTES = 2 << 20
 #: Places of words in a shard, shards at least, and places of one word in a shard.
 SHARD_PLACES, LEAST_SHARDS, SPLIT = 3_000_000, 24, 2_000_000
 #: One text in so many (by a hash) is looked at for the spelling and the number of shards, as a range partitioner looks
