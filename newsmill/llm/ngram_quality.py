@@ -8,11 +8,10 @@ from all trusted texts; discounts from the counts of counts of each order. Proba
 joins of count tables that are sharded by n-gram, context and suffix, and make one table of
 (n-gram, log10 probability, log10 backoff weight).
 
-A text's perplexity needs its n-grams' rows of that table. Texts are cut into pages, each page
-asks for its distinct n-grams, the requests are joined with the sharded table (each order's
-distinct n-grams once), and each page meets its answers. The registered query always does so.
-A caller may let a table of at most ``broadcast_grams`` rows (checked) go to every task
-instead. Both ways give the same result.
+The registered query scores words by shards of the middle word (``word_shards``), from which only sums of texts come. Otherwise
+a text's perplexity needs its n-grams' rows of that table: texts are cut into pages, each page asks for its distinct n-grams, the
+requests are joined with the sharded table (each order's distinct n-grams once), and each page meets its answers; or a caller lets
+a table of at most ``broadcast_grams`` rows (checked) go to every task. All ways give the same result.
 
 One in ``HELD_OUT`` trusted texts (by a hash of the id) is not trained on: the model scores it
 like any other text, so limits come from these. A document is kept if its perplexity is at
