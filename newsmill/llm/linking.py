@@ -5,6 +5,9 @@ than a block is cut into blocks by a hash of the member, and each pair of blocks
 of its own, so no task holds a large bucket and every pair of members still meets once.
 Groups return a row a member (the least member that its links reach there, and how many links it
 has), never their pairs.
+
+Tables here grow with the input, so none is broadcast: joins are hinted to merge. Spark takes an exploded
+table for no larger than what it was exploded from, and files for no larger than they are compressed, and would send both through the driver.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ def candidate_groups(keys: DataFrame) -> DataFrame:
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = materialize(sizes, "bucket-sizes")  # the join then stands on plain exchanges, whose hot keys Spark splits
     most = F.least(F.greatest(F.lit(BLOCK), F.ceil(4 * F.sqrt("n"))), F.lit(LARGEST_BLOCK))
-    rows = keys.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
+    rows = keys.hint("merge").join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / most).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "member"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "member")
@@ -190,10 +193,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").hint("merge").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large, _ = _round(large)
         below = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "below")
-        apart = large.join(below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        apart = large.hint("merge").join(below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small, after = _round(apart.unionByName(below.select("u", F.col("m").alias("v"))).distinct())
         for x in (e, low, large, below):
             drop_shared(x)

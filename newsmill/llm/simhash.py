@@ -124,17 +124,17 @@ def fingerprint_components(fps: DataFrame, most: int = 4) -> DataFrame:
     keys = distinct.where(F.col("rep").isNotNull()).select("fp", F.explode(tables).alias("x"))
     keys = keys.select(F.xxhash64("x.t", "x.k").alias("bucket"), F.col("fp").alias("member"))
     groups = candidate_groups(keys).withColumnRenamed("member", "fp")
-    groups = groups.join(distinct.select("fp", "coordinates", F.col("rep").alias("member")), "fp")
+    groups = groups.hint("merge").join(distinct.select("fp", "coordinates", F.col("rep").alias("member")), "fp")
     edges = link_groups(groups, pivot_check(most)).select(F.col("member").alias("u"), F.col("root").alias("v"))
     found = components(edges)
-    return distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return distinct.hint("merge").join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, most: int = 4) -> DataFrame:
     """(id, row, fp, component) of every row."""
     fps = materialize(fingerprints(docs, id_col, text_col, words), "document-fingerprints")
     found = materialize(fingerprint_components(fps, most), "fingerprint-components")
-    return fps.join(found, "fp").select("id", "row", "fp", "component")
+    return fps.hint("merge").join(found, "fp").select("id", "row", "fp", "component")
 
 
 def keepers(found: DataFrame) -> DataFrame:
