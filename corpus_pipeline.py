@@ -22,9 +22,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id and text hash are among ``keys`` (id, row)."""
+    """The rows of ``docs`` whose id and text hash are among ``keys`` (id, row), which are as many as documents and so are not broadcast."""
     same = docs["doc_id"].eqNullSafe(keys["id"]) & F.xxhash64(docs["text"]).eqNullSafe(keys["row"])
-    return docs.join(keys, same, "left_semi").select(*COLUMNS)
+    return docs.hint("merge").join(keys, same, "left_semi").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
