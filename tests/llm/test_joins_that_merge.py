@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsmill.llm import linking, simhash
+from newsmill.operators import components
 
 
 @pytest.fixture
@@ -19,7 +20,7 @@ def plans(monkeypatch):
 
         return run
 
-    for module in (linking, simhash, corpus_pipeline):
+    for module in (linking, simhash, components, corpus_pipeline):
         monkeypatch.setattr(module, "materialize", noted(module.materialize))
     return found
 
