@@ -11,7 +11,7 @@ from test_dedup_window import whole_fold
 from test_pairs import ARTICLES, made, plain
 
 from newsmill.functions.alike import Alike
-from newsmill.functions.recent import Recent, Whole
+from newsmill.functions.recent import Grouped, Recent, Whole
 from newsmill.operators import dedup, windows
 from newsmill.plans import content
 
@@ -86,3 +86,18 @@ def test_places_follow_what_is_met():
         assert whole.arrive(i, at, title, vec) == most.arrive(i, at, title, vec)
         assert whole.entries(at) == most.entries(at)
     assert 8 < whole.most <= 256
+
+
+def test_groups_that_the_window_has_left_go():
+    """Titles of different letters never meet, so each letter is a group."""
+    grouped, most, rng = Grouped(1, 0.9, 0.9), Recent(1, 500, 0.9, 0.9), random.Random(4)
+    for i in range(3_000):
+        letter = rng.randrange(100, 3_000)
+        at, title, vec = i * 20_000_000, chr(letter) * 9 + "x" * rng.randrange(3), [rng.random(), rng.random()] if i % 3 else None
+        assert grouped.arrive(i, at, title, vec, letter) == most.arrive(i, at, title, vec)
+    assert len(grouped.titles) <= 360 and len(grouped.vectors[2].ids) < 400
+
+
+def test_three_layers_go_beyond_the_newest_200(spark, monkeypatch):
+    monkeypatch.setattr(content, "_arrivals", lambda spark, d: beyond(spark))
+    assert {r.article_id: r.cluster_id for r in content.dedup_three_layers(spark, "").where("is_duplicate").collect()} == {301: 0}
